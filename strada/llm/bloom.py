@@ -73,7 +73,7 @@ def _build(bits: int):
     return run
 
 
-def _merge(key, table: pa.Table) -> pa.Table:
+def _merge(key, table):
     once, more = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
     for a, b in zip(table.column("once").to_pylist(), table.column("more").to_pylist()):
         own = _plane(a)
