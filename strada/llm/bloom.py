@@ -86,14 +86,39 @@ def _merge(key, table):
 
 def repeated(hashes: DataFrame, bits: int):
     """The packed `more` plane of a one-column DataFrame of longs, as a Spark broadcast of at most bits / 8 bytes and a little."""
-    spark = hashes.sparkSession
     parts = hashes.mapInArrow(_build(bits), "block int, once binary, more binary")
     merged = parts.groupBy("block").applyInArrow(_merge, "block int, more binary")
+    return _broadcast(merged, bits)
+
+
+def _set(bits: int):
+    def run(batches):
+        taken = [b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) for b in batches if b.num_rows]
+        if taken:
+            own = _per_block(np.concatenate(slots(np.concatenate(taken), bits)))
+            yield pa.RecordBatch.from_pydict({"block": pa.array(list(own), pa.int32()), "plane": list(own.values())})
+
+    return run
+
+
+def _join(key, table):
+    plane = np.zeros(BLOCK_BITS, bool)
+    for packed in table.column("plane").to_pylist():
+        plane |= _plane(packed)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "plane": pa.array([_pack(np.flatnonzero(plane))], pa.binary())})
+
+
+def members(hashes: DataFrame, bits: int):
+    """A plain filter of a one-column DataFrame of longs, as a Spark broadcast of at most bits / 8 bytes and a little."""
+    merged = hashes.mapInArrow(_set(bits), "block int, plane binary").groupBy("block").applyInArrow(_join, "block int, plane binary")
+    return _broadcast(merged, bits)
+
+
+def _broadcast(merged: DataFrame, bits: int):
     plane = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        packed = np.packbits(_plane(bytes(row["more"])))
-        plane[row["block"] * (BLOCK_BITS // 8) : (row["block"] + 1) * (BLOCK_BITS // 8)] = packed
-    return spark.sparkContext.broadcast(plane)
+    for block, packed in merged.toLocalIterator():
+        plane[block * (BLOCK_BITS // 8) : (block + 1) * (BLOCK_BITS // 8)] = np.packbits(_plane(bytes(packed)))
+    return merged.sparkSession.sparkContext.broadcast(plane)
 
 
 def holds(plane: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import drr_packing, exact_dedup, fertility_quality, sst_tokens
+from . import drr_packing, exact_dedup, fertility_quality, omh_dedup, rlz_substring, sst_tokens
 from .common import table
 
 
@@ -34,10 +34,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_omh_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op4_sst_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst_tokens.read(spark, sst_tokens.write(table(spark, sf_dir, "documents"), byte_bpe()))
 
 
+def op6_rlz_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rlz_substring.remove(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op7_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_quality.measure(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
@@ -57,7 +65,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op4_sst_tokens, op7_fertility_quality, op10_drr_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_omh_dedup, op4_sst_tokens, op6_rlz_substring, op7_fertility_quality, op10_drr_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

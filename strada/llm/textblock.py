@@ -12,7 +12,7 @@ import numpy as np
 from .common import text_offsets
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
+WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -105,7 +105,7 @@ class TextBlock:
         """(index of the first word, hash) of each k words in a row of one document."""
         at = np.arange(max(0, len(words) - k + 1))
         at = at[self.doc_of_word[at] == self.doc_of_word[at + k - 1]] if len(at) else at
-        return at, Prefix(words, _WORD_BASE).ranges(at, at + k)
+        return at, Prefix(words, WORD_BASE).ranges(at, at + k)
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, document) of the \\n-split lines of the texts that aren't empty."""
