@@ -126,14 +126,15 @@ def tokenised(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> D
 
         encode = encoder(vocabulary.path, vocabulary.end, vocabulary.spaces).encode
         part, queue = TaskContext.get().partitionId(), {}
-        for batch in blocks(batches):
-            held = encode(batch.column(1).to_pylist())
-            ids = [np.frombuffer(raw, "<u4").astype(f"<u{vocabulary.width}").tobytes() for raw in held]
-            at = []
-            for s, raw in zip(batch.column(2).to_pylist(), held):
+        for batch in blocks(batches, size=2 << 20):
+            flat, offsets = encode(batch.column(1))
+            raw = flat.astype(f"<u{vocabulary.width}").tobytes()
+            n, at = np.diff(offsets), []
+            for s, m in zip(batch.column(2).to_pylist(), n.tolist()):
                 at.append(queue.get(s, 0))
-                queue[s] = at[-1] + len(raw) // 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array([len(raw) // 4 for raw in held], pa.int64()), pa.array(ids, pa.binary())], names=["key", "source", "part", "at", "n", "ids"])
+                queue[s] = at[-1] + m
+            ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((offsets * vocabulary.width).astype(np.int32)), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(n), ids], names=["key", "source", "part", "at", "n", "ids"])
 
     # "0" and the name, or "1" for null, which so comes last
     source = F.coalesce(F.concat(F.lit("0"), docs["source"].cast("string")), F.lit("1"))

@@ -215,14 +215,15 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str | None = None, ke
         encode = encoder(vocabulary.path, vocabulary.end, vocabulary.spaces).encode
         path = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst"
         out = writer = None
-        for batch in blocks(batches):
+        for batch in blocks(batches, size=2 << 20):
             if writer is None:
                 where, at = fs.FileSystem.from_uri(path)
                 where.create_dir(at.rpartition("/")[0])
                 out = where.open_output_stream(at)
                 writer = Writer(out, vocabulary.width)
-            for k, raw in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())):
-                writer.add(encode_key(k), np.frombuffer(raw, "<u4"))
+            ids, offsets = encode(batch.column(1))
+            for k, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                writer.add(encode_key(k), ids[a:b])
         if writer is not None:
             writer.close()
             out.close()

@@ -7,17 +7,24 @@ shifted back to the origin and mixed; so no loop runs over texts or words.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from .common import text_offsets
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+@lru_cache
+def _table(separators: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(separators)] = True
+    return out
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of base and of its inverse, modulo 2**64."""
     have = _POWERS.get(base)
@@ -57,11 +64,11 @@ class Prefix:
 
 
 class TextBlock:
-    def __init__(self, column):
+    def __init__(self, column, separators: bytes = b" \t\n\x0b\x0c\r"):
         self.data, self.offsets = text_offsets(column)
         self.n_docs = len(self.offsets) - 1
         n = len(self.data)
-        self.space = _IS_SPACE[self.data]
+        self.space = _table(separators)[self.data]
         start = ~self.space
         end = start.copy()
         first = self.offsets[:-1][self.offsets[:-1] < self.offsets[1:]]
@@ -74,11 +81,20 @@ class TextBlock:
             end[last] |= ~self.space[last]
         self.starts = np.flatnonzero(start)
         self.ends = np.flatnonzero(end) + 1
+        self._bytes = None
+        self._count()
+
+    def _count(self) -> None:
         #: Words before each document.
         self.first_word = np.searchsorted(self.starts, self.offsets)
         self.n_words = np.diff(self.first_word)
         self.doc_of_word = np.repeat(np.arange(self.n_docs), self.n_words)
-        self._bytes = None
+
+    def cut(self, at: np.ndarray) -> None:
+        """Begin new words at these places inside words."""
+        self.starts = np.sort(np.concatenate([self.starts, at]))
+        self.ends = np.sort(np.concatenate([self.ends, at]))
+        self._count()
 
     @property
     def bytes_hash(self) -> Prefix:

@@ -1,88 +1,146 @@
 """Token ids of whole texts by the tokenizers library, word by word where that is the same.
 
-Both vocabularies' patterns never join characters across a single space between
+The patterns of both vocabularies never join characters across a single space between
 words, so a word (for byte-level vocabularies with the space before it) has the same
-ids wherever it stands. Texts of plain Latin letters with single spaces are therefore
-cut at the spaces and only words not met before go to the library, many in one call.
+ids wherever it stands. Nor do they join a letter and a mark or digit after it, or
+what is beside a single line break. Texts of plain Latin letters with single spaces are
+therefore cut there, and only pieces not met before go to the library, many in one call.
 Every other text goes to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
+from .textblock import TextBlock, mix
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Characters for which the cut is known to be exact: Latin up to U+024F, without controls and odd spaces.
-_ODD = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ]")
-_EDGE = re.compile(r"^ | $|[ \t\n\r] | [\t\n\r]")
+
+def _plain_bytes() -> np.ndarray:
+    """First or only bytes of characters up to U+024F that aren't controls; continuation bytes too."""
+    ok = np.zeros(256, bool)
+    ok[[0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA)]] = True
+    return ok
+
+
+_PLAIN = _plain_bytes()
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = ~_LETTER
+_MARK[[*range(0x21), *range(0x7F, 256)]] = False
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x09, 0x0A, 0x0D, 0x20]] = True
+
+
+def _odd(block: TextBlock, edges: bool) -> np.ndarray:
+    """Documents for which the cut is not known to be exact; with edges, those too where a space stands beside white space or at an end."""
+    data, after = block.data, np.append(block.data[1:], np.uint8(0)) if len(block.data) else block.data
+    bad = ~_PLAIN[data]
+    bad |= (data == 0xC2) & ((after <= 0xA0) | (after == 0xAD))  # controls, the hard space and the soft hyphen
+    bad |= (data == 0xC9) & (after > 0x8F)
+    bad |= (data == ord("<")) & (after == ord("|"))  # may be the name of a special token
+    if edges:
+        space = data == 0x20
+        bad |= (space & _BLANK[after]) | (_BLANK[data] & (after == 0x20))
+        full = np.flatnonzero(np.diff(block.offsets))
+        bad[block.offsets[full]] |= space[block.offsets[full]]
+        bad[block.offsets[full + 1] - 1] |= space[block.offsets[full + 1] - 1]
+    return block.in_docs(bad) > 0
+
+
+def _cut(block: TextBlock) -> None:
+    """Cut words further: between a letter and a mark or digit, and around single tabs and line breaks."""
+    data = block.data
+    if len(data) < 2:
+        return
+    blank = _BLANK[data]
+    at = _LETTER[data[:-1]] & _MARK[data[1:]]
+    at |= ~blank[:-1] & blank[1:]
+    at[1:] |= ~blank[:-2] & blank[1:-1] & ~blank[2:]
+    at &= ~block.space[1:] & ~block.space[:-1]
+    at = np.flatnonzero(at) + 1
+    inside = np.ones(len(data) + 1, bool)
+    inside[block.offsets] = False
+    at = at[inside[at]]
+    block.cut(at)
 
 
 class Encoder:
-    #: Words kept by a worker, with about 200 bytes each.
-    MOST = 1_000_000
+    #: Words kept by a worker, with about 25 bytes each.
+    MOST = 4_000_000
 
     def __init__(self, path: str, end: int, spaces: bool):
         """end: the id put after each text. spaces: whether white space gets ids (byte-level) or is dropped."""
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.end = np.array([end], "<u4").tobytes()
-        self.spaces = spaces
-        #: Ids of words as they follow a space; of first words, where that differs.
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], words: list[str], before: str) -> None:
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            got = self.library.encode([before + w for w in some] if before else some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            owner = np.fromiter((-1 if w is None else w for w in got.word_ids), np.int64, len(ids))
-            edges = np.searchsorted(owner, np.arange(len(some) + 1)) * 4
-            raw = ids.tobytes()
-            known.update((w, raw[a:b]) for w, a, b in zip(some, edges[:-1].tolist(), edges[1:].tolist()))
-
-    def _words(self, text: str) -> list[str] | None:
-        if _ODD.search(text) or any(s in text for s in self.special):
-            return None
-        if not self.spaces:
-            return text.split()
-        return None if _EDGE.search(text) else text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        cut = [self._words(t) for t in texts]
-        heads = [words.pop(0) if words and self.spaces else "" for words in cut]
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        if len(self.first) > self.MOST // 10:
-            self.first.clear()
-        known, get = self.known, self.known.__getitem__
-        late, out = [], []
-        for words in cut:
-            try:
-                out.append(b"".join(map(get, words or ())))
-            except KeyError:
-                late.append(len(out))
-                out.append(b"")
-        if late:
-            self._learn(known, list({w for i in late for w in cut[i] if w not in known}), " " if self.spaces else "")
-            for i in late:
-                out[i] = b"".join(map(get, cut[i]))
-        if new := {w for w in heads if w and w not in self.first}:
-            self._learn(self.first, list(new), "")
-        for i, (text, words, head) in enumerate(zip(texts, cut, heads)):
-            if words is None and text:
-                out[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            elif head:
-                out[i] = self.first[head] + out[i]
-            out[i] += self.end
-        return out
+        self.end, self.spaces = end, spaces
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, np.uint32)
+        owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
+        size = np.bincount(owner[owner >= 0], minlength=len(words)).astype(np.int32)
+        begin = len(self.flat) + np.cumsum(size) - size
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.begin = np.concatenate([self.begin, begin])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.flat = np.concatenate([self.flat, ids])
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with the end id; where each text begins in them, and the end)."""
+        block = TextBlock(column, b" ") if self.spaces else TextBlock(column)
+        odd = _odd(block, self.spaces)
+        _cut(block)
+        keys = block.word_hashes()
+        head = np.zeros(len(keys), bool)
+        if self.spaces:  # what no space stands before
+            head = (block.starts == block.offsets[:-1][block.doc_of_word]) | (block.data[block.starts - 1] != 0x20)
+            keys = np.where(head, mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)), keys)
+        own = np.flatnonzero(~odd[block.doc_of_word])
+        keys, doc = keys[own], block.doc_of_word[own]
+        distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) > self.MOST:
+            self._forget()
+        at = np.searchsorted(self.keys, distinct)
+        missing = np.ones(len(distinct), bool)
+        inside = at < len(self.keys)
+        missing[inside] = self.keys[at[inside]] != distinct[inside]
+        if missing.any():
+            raw, new = block.data.tobytes(), own[first[missing]]
+            before = np.where(head[new], "", " ") if self.spaces else np.full(len(new), "")
+            words = [b + raw[s:e].decode() for b, s, e in zip(before.tolist(), block.starts[new].tolist(), block.ends[new].tolist())]
+            self._learn(distinct[missing], words)
+            at = np.searchsorted(self.keys, distinct)
+        n = self.size[at][which].astype(np.int64)
+        sizes = np.bincount(doc, weights=n, minlength=block.n_docs).astype(np.int64) + 1
+        whole = {}
+        for d in np.flatnonzero(odd).tolist():
+            text = block.data[block.offsets[d] : block.offsets[d + 1]].tobytes().decode()
+            whole[d] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+            sizes[d] = len(whole[d]) + 1
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(offsets[-1], np.uint32)
+        out[offsets[1:] - 1] = self.end
+        before = np.concatenate([[0], np.cumsum(n)])
+        in_doc = before[:-1] - before[np.searchsorted(doc, doc)]
+        step = np.arange(before[-1]) - np.repeat(before[:-1], n)
+        out[np.repeat(offsets[doc] + in_doc, n) + step] = self.flat[np.repeat(self.begin[at][which], n) + step]
+        for d, ids in whole.items():
+            out[offsets[d] : offsets[d + 1] - 1] = ids
+        return out, offsets
 
 
 _LOADED: dict[tuple, Encoder] = {}
