@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import drr_packing, exact_dedup, fertility_quality, omh_dedup, rlz_substring, sst_tokens
+from . import cross_parse_langid, drr_packing, exact_dedup, fertility_quality, nnpu_toxicity, omh_dedup, rlz_substring, sst_tokens
 from .common import table
 
 
@@ -38,6 +38,15 @@ def op2_omh_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def _fold(n: int, k: int) -> Column:
+    """Whether crc32 of doc_id as text, modulo n, is k."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)) == k, F.lit(False))
+
+
+def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nnpu_toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), _fold(3, 1))
+
+
 def op4_sst_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst_tokens.read(spark, sst_tokens.write(table(spark, sf_dir, "documents"), byte_bpe()))
 
@@ -50,6 +59,10 @@ def op7_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_quality.measure(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 
+def op9_cross_parse_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parse_langid.predict(table(spark, sf_dir, "documents"), _fold(4, 2))
+
+
 def op10_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drr_packing.pack(table(spark, sf_dir, "documents"), word_bpe()).drop("source", "ids")
 
@@ -65,7 +78,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_omh_dedup, op4_sst_tokens, op6_rlz_substring, op7_fertility_quality, op10_drr_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_omh_dedup, op3_nnpu_toxicity, op4_sst_tokens, op6_rlz_substring, op7_fertility_quality, op9_cross_parse_langid, op10_drr_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
