@@ -49,9 +49,13 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def plain(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further ones, whatever their names, don't matter."""
-    return docs.select(*[docs[f"`{n}`"] for n in names])
+#: Rows up to which a table of a few narrow columns is broadcast; a longer one is joined by a shuffle.
+SMALL = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if its counted rows allow it."""
+    return F.broadcast(df) if rows <= SMALL else df
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cross_parse_langid, drr_packing, exact_dedup, fertility_quality, nnpu_toxicity, omh_dedup, rlz_substring, sst_tokens
+from . import cross_parse_langid, drr_packing, exact_dedup, fertility_quality, mvh_mixing, nnpu_toxicity, omh_dedup, pii_sanitise, rlz_substring, sst_tokens
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op4_sst_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst_tokens.read(spark, sst_tokens.write(table(spark, sf_dir, "documents"), byte_bpe()))
 
 
+def op5_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_sanitise.report(table(spark, sf_dir, "documents"))
+
+
 def op6_rlz_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz_substring.remove(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -59,6 +63,10 @@ def op7_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_quality.measure(table(spark, sf_dir, "documents"), vocabulary_file("piece_bpe_32k.model"))
 
 
+def op8_mvh_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mvh_mixing.plan(table(spark, sf_dir, "documents")).drop("shards")
+
+
 def op9_cross_parse_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_parse_langid.predict(table(spark, sf_dir, "documents"), _fold(4, 2))
 
@@ -78,7 +86,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_omh_dedup, op3_nnpu_toxicity, op4_sst_tokens, op6_rlz_substring, op7_fertility_quality, op9_cross_parse_langid, op10_drr_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_omh_dedup, op3_nnpu_toxicity, op4_sst_tokens, op5_pii_sanitise, op6_rlz_substring, op7_fertility_quality, op8_mvh_mixing, op9_cross_parse_langid, op10_drr_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
