@@ -62,8 +62,8 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, text, row): row is unique and in the order of the key.
+def numbered(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, bool]:
+    """(key, text, row), and whether row is the key: row is unique and in the order of the key.
 
     It is the key itself where that is an integer, unique and never null; else a sort by
     (key, text) numbers the rows, so that repeated rows stay apart.
@@ -73,9 +73,9 @@ def numbered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(key).isNull().cast("long")).alias("nulls")).first()
         again = rows.groupBy(key).count().where("count > 1").limit(1).count()
         if not counts["nulls"] and not again:
-            return rows.withColumn("row", F.col(key).cast("long"))
+            return rows.withColumn("row", F.col(key).cast("long")), True
     ordered = rows.repartitionByRange(key, "text").sortWithinPartitions(key, "text")
-    return scratch(ordered.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return scratch(ordered.withColumn("row", F.monotonically_increasing_id()), "rows"), False
 
 
 def blocks(batches, text: str = "text", size: int = 1 << 20):

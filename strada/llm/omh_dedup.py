@@ -31,12 +31,13 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import blocks, numbered, scratch
+from .common import blocks, numbered, scratch, text_or_empty
 from .components import components
 from .textblock import WORD_BASE, Prefix, TextBlock, mix, repeats
 
@@ -148,19 +149,16 @@ def _linked(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document: key, class_id, copy_of (the first of its exact copies), kept."""
-    rows = numbered(docs, key)
+    rows, same = numbered(docs, key)
     found = _classes(rows)
-    if key in rows.columns and docs.schema[key].dataType.typeName() == "long" and not _renumbered(rows):
-        return found.select(F.col("row").alias(key), F.col("label").alias("class_id"), F.col("first").alias("copy_of"), (F.col("row") == F.col("label")).alias("kept"))
+    kept = (F.col("row") == F.col("label")).alias("kept")
+    if same:
+        return found.select(F.col("row").alias(key), F.col("label").alias("class_id"), F.col("first").alias("copy_of"), kept)
     names = rows.select("row", key)
     own = found.join(names, "row")
     for column, name in (("label", "class_id"), ("first", "copy_of")):
         own = own.join(names.select(F.col("row").alias(column), F.col(key).alias(name)), column)
-    return own.select(key, "class_id", "copy_of", (F.col("row") == F.col("label")).alias("kept"))
-
-
-def _renumbered(rows: DataFrame) -> bool:
-    return "row" in rows.columns and bool(rows.inputFiles()) and any("/strada-rows-" in f for f in rows.inputFiles()[:1])
+    return own.select(key, "class_id", "copy_of", kept)
 
 
 def _classes(rows: DataFrame) -> DataFrame:
@@ -229,27 +227,21 @@ def _left(members: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The first document of each class, all columns.
 
-    A filter of the keys that go lets most rows pass without a shuffle; the rest are
-    checked by a join.
+    Rows are known by a hash of their key and text. A filter of the hashes that go lets
+    most rows pass without a shuffle; the others are checked by a join.
     """
-    found = scratch(classes(docs, key).select(F.col(key).alias("k"), "kept"), "kept")
-    gone = found.where("not kept or k is null").select("k", F.xxhash64("k").alias("h"))
-    plane = bloom.members(gone.select("h"), bloom.bits_for(gone.count()))
+    rows, _ = numbered(docs, key)
+    hashed = rows.select("row", F.xxhash64(key, "text").alias("h"))
+    found = scratch(_classes(rows).join(hashed, "row").select("h", (F.col("row") == F.col("label")).alias("kept")), "kept")
+    gone, stay = found.where("not kept").select("h"), found.where("kept").select("h")
+    plane = bloom.members(gone, bloom.bits_for(gone.count()))
 
     @F.pandas_udf("boolean")
-    def may_go(h):
-        import pandas as pd
-
+    def may_go(h: pd.Series) -> pd.Series:
         return pd.Series(bloom.holds(plane.value, h.to_numpy().astype(np.uint64)))
 
-    tested = docs.withColumn("__maybe", may_go(F.xxhash64(docs[key])))
-    stay = tested.where("not __maybe").drop("__maybe")
-    kept = found.where("kept").select(F.col("k").alias("__k")).distinct()
-    again = tested.where("__maybe").drop("__maybe")
-    checked = again.join(kept, again[key].eqNullSafe(kept["__k"]), "left_semi")
-    # rows with one key and a class in common are repeated rows: one of them stays
-    repeated = found.groupBy("k").count().where("count > 1").limit(1).count()
-    if repeated:
-        whole = stay.unionByName(checked)
-        return whole.dropDuplicates([key])
-    return stay.unionByName(checked)
+    tested = docs.withColumn("__h", F.xxhash64(docs[key], text_or_empty())).withColumn("__maybe", may_go("__h"))
+    again = tested.where("__maybe").join(stay.select(F.col("h").alias("__h")), "__h", "left_semi")
+    if stay.join(gone, "h", "left_semi").limit(1).count():  # repeated rows: one of them stays
+        again = again.dropDuplicates(["__h"])
+    return tested.where("not __maybe").select(docs.columns).unionByName(again.select(docs.columns))

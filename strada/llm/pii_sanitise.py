@@ -153,7 +153,7 @@ def _joined(spans_: Column) -> Column:
 
 def report(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One row per document: key, counts by kind, base_sha256 and all spans."""
-    rows = numbered(docs, key)
+    rows, _ = numbered(docs, key)
     found = spans(rows, **options).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
     each = rows.select("row", key).join(found, "row", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")))
     counts = [F.size(F.filter("spans", partial(_is_kind, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
@@ -163,7 +163,7 @@ def report(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
 def sanitise(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """(key, text) with base spans replaced by their kind, and disclosing terms generalised or removed."""
-    rows = numbered(docs, key)
+    rows, _ = numbered(docs, key)
     # Overlapping base spans of two kinds: the earlier, then longer one stands.
     found = spans(rows, **options).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), "to"))).alias("spans"))
     step = F.aggregate(

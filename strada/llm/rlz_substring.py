@@ -168,7 +168,7 @@ def _apply(keep_text: bool):
 
 def remove(docs: DataFrame, key: str = "doc_id", keep_text: bool = True) -> DataFrame:
     """One row per document: key, n_words, n_removed, kept_sha256, and the text that is left."""
-    rows = numbered(docs, key)
+    rows, _ = numbered(docs, key)
     found = spans(rows.select("row", "text"))
     joined = rows.join(found, "row", "left").select(key, "text", "spans")
     kind = docs.schema[key].dataType.simpleString()
