@@ -15,9 +15,11 @@ similarity at most (a + b) / 9 shingles are not common, so no wider diagonal can
 
 Copies are collapsed to representatives first. In each bucket of a band all members are
 compared with one centre; some rounds with other centres follow for those whose class is
-not the centre's; then, so that no link is lost, every pair of a bucket whose members
-are still in different classes. Pairs within a class are not compared: they change
-nothing. Classes are connected components, found with DataFrames.
+not the centre's. Then, so that no link is lost, the members of a bucket that are not in
+its largest class are compared with all others: both sides are dealt into chunks of bounded
+size, a task compares two chunks in arrays and returns only links that join classes, so
+no pairs become rows. Pairs within a class are not compared: they change nothing.
+Classes are connected components, found with DataFrames.
 
 Defined results: a null text counts as empty; texts of equal words are copies, all
 empty ones of each other; a text of under five words has copies only; rows with one key
@@ -43,8 +45,10 @@ from .textblock import WORD_BASE, Prefix, TextBlock, mix, repeats
 
 SHINGLE, SIMILARITY = 5, 0.8
 FUNCTIONS, ROWS, PICKED = 32, 2, 2
-#: Further rounds of one centre a bucket before all pairs that are left.
+#: Further rounds of one centre a bucket before chunks are compared.
 CENTRES = 2
+#: Members, and shingles, of a chunk.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
 _FACTORS = np.random.default_rng(20_240_229).integers(1 << 62, 1 << 63, FUNCTIONS, np.uint64) | np.uint64(1)
 _SECOND_BASE = 0xA24BAED4963EE407 | 1
 
@@ -170,14 +174,15 @@ def _classes(rows: DataFrame) -> DataFrame:
     members = scratch(sketches.select("row", "n", F.explode("bands").alias("band")).join(firsts, "row", "left_semi"), "members")
 
     def centred(labels: DataFrame | None, turn: int) -> DataFrame:
-        """Pairs of each bucket's member and its centre whose classes differ and whose lengths allow the similarity."""
+        """Distinct pairs of each bucket's member and its centre whose classes differ and whose lengths allow the similarity."""
         own = members if labels is None else members.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
         own = own if labels is not None else own.withColumn("label", F.col("row"))
         rank = F.struct("row") if not turn else F.struct(F.xxhash64("row", F.lit(turn)).alias("r"), "row")
         centre = F.min_by(F.struct(F.col("row").alias("c"), F.col("n").alias("m"), F.col("label").alias("l")), rank)
         tops = own.groupBy("band").agg(centre.alias("top"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band", "top.*", F.xxhash64("band").alias("x"))
         both = own.withColumn("x", F.xxhash64("band")).join(tops, ["band", "x"]).where("label <> l")
-        return _pairs(both.select("row", "n", "c", "m"))
+        alike = both.where(f"least(n, m) >= {SIMILARITY} * greatest(n, m)")
+        return alike.select(F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b")).distinct()
 
     first_pairs = scratch(centred(None, 0), "pairs")
     # Contents of documents that any bucket holds with another, told by a filter of bounded size.
@@ -187,15 +192,9 @@ def _classes(rows: DataFrame) -> DataFrame:
     contents = scratch(rows.select("row", "text").mapInArrow(_contents(plane), "row long, shingles array<int>"), "contents")
 
     links = _linked(first_pairs, contents)
-    tried = first_pairs
     labels = components(links)
     for turn in range(1, CENTRES + 2):
-        pairs = centred(labels, turn) if turn <= CENTRES else _left(members, labels)
-        pairs = scratch(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            continue
-        more = _linked(pairs, contents)
-        tried = tried.union(pairs)
+        more = _linked(centred(labels, turn), contents) if turn <= CENTRES else _joining(members, labels, contents)
         if more.limit(1).count():
             links = scratch(links.union(more), "links")
             labels = components(links)
@@ -208,20 +207,67 @@ def _mixed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().astype(np.uint64)).view(np.int64))], names=["h"])
 
 
-def _pairs(both: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of (row, n, c, m); a length below 0.8 of the other's rules the similarity out."""
-    alike = both.where(f"least(n, m) >= {SIMILARITY} * greatest(n, m)")
-    return alike.select(F.least("row", "c").alias("a"), F.greatest("row", "c").alias("b")).distinct()
-
-
-def _left(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of one bucket and different classes."""
+def _joining(members: DataFrame, labels: DataFrame, contents: DataFrame) -> DataFrame:
+    """Links between members of one bucket that are in different classes, enough to join what is linked."""
     own = members.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("label", "row"))
-    open_ = own.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.xxhash64("band").alias("x")).where("low <> high").select("band", "x")
-    some = scratch(own.withColumn("x", F.xxhash64("band")).join(open_, ["band", "x"], "left_semi").select("band", "row", "n", "label"), "open")
-    other = some.select("band", F.col("row").alias("c"), F.col("n").alias("m"), F.col("label").alias("l"))
-    near = f"label < l and least(n, m) >= {SIMILARITY} * greatest(n, m)"
-    return _pairs(some.join(other, "band").where(near).select("row", "n", "c", "m"))
+    classes_ = own.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    most = F.max_by("label", F.struct("k", "label"))
+    totals = classes_.groupBy("band").agg(most.alias("main"), F.max("k").alias("main_k"), F.max_by("s", F.struct("k", "label")).alias("main_s"), F.sum("k").alias("k"), F.sum("s").alias("s"))
+    chunks = lambda k, s: F.ceil(F.greatest(k / CHUNK, s / CHUNK_SHINGLES)).cast("int")
+    open_ = totals.where("k > main_k").select("band", "main", chunks(F.col("k") - F.col("main_k"), F.col("s") - F.col("main_s")).alias("few"), chunks(F.col("main_k"), F.col("main_s")).alias("many"), F.xxhash64("band").alias("x"))
+    some = own.withColumn("x", F.xxhash64("band")).join(open_, ["band", "x"])
+    held = some.withColumn("small", F.col("label") != F.col("main")).withColumn("at", F.pmod(F.xxhash64("row"), F.when(F.col("small"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+    # A cell is (chunk of the small classes, whether of the main class, the other chunk).
+    to_main = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: F.struct(F.col("at").alias("i"), F.lit(True).alias("main"), j.alias("j")))
+    to_small = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda j: F.struct(F.least("at", j).alias("i"), F.lit(False).alias("main"), F.greatest("at", j).alias("j")))
+    from_main = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: F.struct(i.alias("i"), F.lit(True).alias("main"), F.col("at").alias("j")))
+    cells = F.explode(F.when(F.col("small"), F.concat(to_main, to_small)).otherwise(from_main)).alias("cell")
+    dealt = held.select("band", "row", "label", "at", "small", cells).join(contents, "row")
+    got = dealt.select("band", F.col("cell.i").alias("i"), F.col("cell.main").alias("main"), F.col("cell.j").alias("j"), "row", "label", "at", "small", "shingles")
+    return scratch(got.groupBy("band", "i", "main", "j").applyInArrow(_compare, "a long, b long").distinct(), "joining")
+
+
+def _compare(key, table):
+    """Links between two chunks, or within one, that join classes not joined before."""
+    _, i, main, j = (k.as_py() for k in key)
+    row, label, at = (table.column(c).to_numpy() for c in ("row", "label", "at"))
+    lists = table.column("shingles").combine_chunks()
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    offsets, flat = offsets - offsets[0], flat[offsets[0] : offsets[-1]]
+    small = table.column("small").to_numpy(zero_copy_only=False)
+    left = np.flatnonzero(small & (at == i))
+    right = np.flatnonzero(~small) if main else np.flatnonzero(at == j)
+    links: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        vocabulary, code = np.unique(flat, return_inverse=True)
+        size = np.diff(offsets)
+        others = np.concatenate([code[offsets[r] : offsets[r + 1]] for r in right])
+        begin = np.cumsum(size[right]) - size[right]
+        mark = np.zeros(len(vocabulary), bool)
+        for a in left.tolist():
+            mine = code[offsets[a] : offsets[a + 1]]
+            mark[mine] = True
+            common = np.add.reduceat(mark[others], begin, dtype=np.int64)
+            mark[mine] = False
+            # no alignment is longer than what the two have in common
+            near = (label[right] != label[a]) & (common >= SIMILARITY * (size[a] + size[right] - common))
+            for b in right[near].tolist():
+                x, y = root(int(label[a])), root(int(label[b]))
+                if x == y:
+                    continue
+                c = aligned(flat[offsets[a] : offsets[a + 1]], flat[offsets[b] : offsets[b + 1]])
+                if c >= SIMILARITY * (size[a] + size[b] - c):
+                    parent[x] = y
+                    links.append((int(row[a]), int(row[b])))
+    first, second = [min(p) for p in links], [max(p) for p in links]
+    return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
