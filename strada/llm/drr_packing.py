@@ -13,8 +13,8 @@ without a serial pass; in every window each source is within about a token of it
 Every window is full but the last tokens of the whole corpus, which are laid out in
 sequences whose lengths are powers of two, so that nothing is padded. The plan is one
 scan that tokenises to a table in the shared folder, a small sum per (partition, source),
-and one map over that table; texts and ids are never shuffled unless the table of sums
-outgrows Spark's broadcast threshold.
+and one map over that table; texts are never shuffled, and ids only if the table of sums,
+whose rows are counted, is too long to be broadcast.
 
 Defined results: a null text counts as empty and has its end id only; a null source is
 a source of its own, the last; repeated rows are packed each by itself; an empty table
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch, text_or_empty
+from .common import blocks, scratch, small, text_or_empty
 from .sst_tokens import Vocabulary
 from .tokenise import encoder
 
@@ -145,7 +145,7 @@ def tokenised(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> D
 def pack(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids."""
     rows = tokenised(docs, vocabulary, key)
-    sums = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
+    sums = scratch(rows.groupBy("source", "part").agg(F.sum("n").alias("n")), "sums")
     order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("source", "part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     per_source = sorted((r["source"], r["n"]) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).collect())
@@ -172,5 +172,5 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFr
                     names=[key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"],
                 )
 
-    placed = rows.join(bases, ["source", "part"]).select("key", "source", "n", (F.col("base") + F.col("at")).alias("start"), "ids")
+    placed = rows.join(small(bases, sums.count()), ["source", "part"]).select("key", "source", "n", (F.col("base") + F.col("at")).alias("start"), "ids")
     return placed.mapInArrow(run, f"`{key}` long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
