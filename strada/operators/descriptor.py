@@ -125,7 +125,7 @@ def normalize_cap(vec: Column, cap: float) -> Column:
     one = F.transform(vec, lambda x: x / F.nullif(size(vec), F.lit(0.0)))
     if cap >= 1:
         return one
-    cut = F.transform(one, lambda x: F.least(x, F.lit(cap)))
+    cut = F.transform(one, lambda x: F.when(x > cap, F.lit(cap)).otherwise(x))
     return F.transform(cut, lambda x: x / F.nullif(size(cut), F.lit(0.0)))
 
 
