@@ -87,20 +87,20 @@ def raw_descriptors(seen: DataFrame, angles: DataFrame, config: DescriptorConfig
     along = F.rint(dx * F.cos(a) + dy * F.sin(a)).cast("int")
     across = F.rint(dy * F.cos(a) - dx * F.sin(a)).cast("int")
     inside = both.withColumns({"__i": across + r, "__j": along + r}).where("__i >= 0 and __i < 2 * radius and __j >= 0 and __j < 2 * radius")
-    # Summed by place and angle first, so the eight shares are made of fewer rows.
     low, up, f = orientation_bins(F.pmod(F.col("angle_u") - a, F.lit(math.pi)), bins)
-    binned = inside.select(*KEY, "angle", "__i", "__j", low.alias("l"), up.alias("u"), (F.col("v") * (1 - f)).alias("vl"), (F.col("v") * f).alias("vu"))
-    summed = binned.groupBy(*KEY, "angle", "__i", "__j", "l", "u").agg(F.sum("vl").alias("vl"), F.sum("vu").alias("vu"))
     col, wx = cell_position(F.col("__i"), r, config)
     row, wy = cell_position(F.col("__j"), r, config)
-    shares = []
-    for down, y in ((0, F.col("wy")), (1, 1 - F.col("wy"))):
-        for back, x in ((0, F.col("wx")), (1, 1 - F.col("wx"))):
-            for b, v in (("l", "vl"), ("u", "vu")):
-                shares.append(F.struct((F.col("row") - down).alias("row"), (F.col("col") - back).alias("col"), F.col(b).alias("b"), (F.col(v) * x * y).alias("v")))
-    each = summed.select(*KEY, "angle", col.alias("col"), row.alias("row"), wx.alias("wx"), wy.alias("wy"), "l", "u", "vl", "vu").select(*KEY, "angle", F.explode(F.array(*shares)).alias("s"))
+    placed = inside.select(*KEY, "angle", "v", low.alias("l"), up.alias("u"), f.alias("f"), col.alias("col"), wx.alias("wx"), row.alias("row"), wy.alias("wy"))
+    halves = F.array(F.struct(F.col("l").alias("b"), (F.col("v") * (1 - F.col("f"))).alias("v")), F.struct(F.col("u").alias("b"), (F.col("v") * F.col("f")).alias("v")))
+    two = placed.select(*KEY, "angle", "col", "row", "wx", "wy", F.explode(halves).alias("s")).select(*KEY, "angle", "col", "row", "wx", "wy", "s.*")
+    # The shares of the four cells are summed where they arise; only those few sums are dealt to the cells.
+    x, y = {0: F.col("wx"), 1: 1 - F.col("wx")}, {0: F.col("wy"), 1: 1 - F.col("wy")}
+    corners = [(down, back) for down in (0, 1) for back in (0, 1)]
+    summed = two.groupBy(*KEY, "angle", "col", "row", "b").agg(*[F.sum(F.col("v") * y[d] * x[e]).alias(f"v{d}{e}") for d, e in corners])
+    shares = F.array(*[F.struct((F.col("row") - d).alias("row"), (F.col("col") - e).alias("col"), F.col(f"v{d}{e}").alias("v")) for d, e in corners])
+    each = summed.select(*KEY, "angle", "b", F.explode(shares).alias("s"))
     kept = each.where(f"s.row between 0 and {n - 1} and s.col between 0 and {n - 1}")
-    at = (F.col("s.row") * n + F.col("s.col")) * bins + F.col("s.b")
+    at = (F.col("s.row") * n + F.col("s.col")) * bins + F.col("b")
     entries = kept.select(*KEY, "angle", at.alias("at"), F.col("s.v").alias("v")).groupBy(*KEY, "angle", "at").agg(F.sum("v").alias("v"))
     vectors = entries.groupBy(*KEY, "angle").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))  # n * n * bins entries at most
     return vectors.select(*KEY, "angle", F.transform(F.sequence(F.lit(0), F.lit(config.length - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("desc"))
