@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -58,6 +59,23 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def whole(docs: DataFrame) -> Column:
+    """All columns as one struct, whatever their names are; `parts` takes it apart."""
+    return F.struct(*[docs[f"`{n}`"].alias(f"c{i}") for i, n in enumerate(docs.columns)])
+
+
+def parts(names: list[str], row: str = "row") -> list[Column]:
+    return [F.col(row)[f"c{i}"].alias(n) for i, n in enumerate(names)]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -78,6 +96,19 @@ def numbered(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, bool]:
     return scratch(ordered.withColumn("row", F.monotonically_increasing_id()), "rows"), False
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that was freed back to the system: an executor's workers share its limit with the JVM."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def blocks(batches, text: str = "text", size: int = 1 << 20):
     """Slices of Arrow batches with about `size` bytes of text each; a longer text stands alone."""
     for batch in batches:
@@ -85,6 +116,7 @@ def blocks(batches, text: str = "text", size: int = 1 << 20):
         if not n:
             continue
         offsets = text_offsets(batch.column(batch.schema.get_field_index(text)))[1]
+        release()
         at = 0
         while at < n:
             to = at + 1
@@ -92,6 +124,7 @@ def blocks(batches, text: str = "text", size: int = 1 << 20):
                 to += 1
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def text_offsets(column):

@@ -35,6 +35,8 @@ from .sst_tokens import Vocabulary
 from .tokenise import encoder
 
 WINDOW = 2048
+#: Documents that a task lays out at once.
+ROWS = 512
 
 
 def served(windows: np.ndarray, totals: np.ndarray, size: int = WINDOW) -> np.ndarray:
@@ -126,7 +128,7 @@ def tokenised(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> D
 
         encode = encoder(vocabulary.path, vocabulary.end, vocabulary.spaces).encode
         part, queue = TaskContext.get().partitionId(), {}
-        for batch in blocks(batches, size=2 << 20):
+        for batch in blocks(batches):
             flat, offsets = encode(batch.column(1))
             raw = flat.astype(f"<u{vocabulary.width}").tobytes()
             n, at = np.diff(offsets), []
@@ -154,9 +156,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> DataFr
     width = vocabulary.width
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             names = batch.schema.names
             key_, source, ids = (batch.column(names.index(c)).to_pylist() for c in ("key", "source", "ids"))
             n, start = (batch.column(names.index(c)).to_numpy() for c in ("n", "start"))

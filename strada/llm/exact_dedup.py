@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import SPACE, scratch, text_or_empty
+from .common import SPACE, parts, scratch, text_or_empty, whole
 
 OUT = ("keep_id", "group_size", "kept", "text_sha256")
 
@@ -73,13 +73,9 @@ def keep_first(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     def may_repeat(h: pd.Series) -> pd.Series:
         return pd.Series(bloom.holds(plane.value, h.to_numpy().astype(np.uint64)))
 
-    names = docs.columns
-    whole = F.struct(*[docs[f"`{n}`"].alias(f"c{i}") for i, n in enumerate(names)])
     normal = F.regexp_replace(text_or_empty(), f"{SPACE}+", " ")
-    held = docs.select(whole.alias("row"), docs[key].alias("id"), F.sha2(normal.cast("binary"), 256).alias("sha"))
+    held = docs.select(whole(docs).alias("row"), docs[key].alias("id"), F.sha2(normal.cast("binary"), 256).alias("sha"))
     tested = held.withColumn("again", may_repeat(F.xxhash64("sha")))
-    again = tested.where("again")
-    # The winning row is told by (key, a number that is its own), found on narrow columns first.
-    first = again.groupBy("sha").agg(F.min_by("row", F.struct("id")).alias("row"))
+    first = tested.where("again").groupBy("sha").agg(F.min_by("row", F.struct("id")).alias("row"))
     every = tested.where(~F.col("again")).select("row").unionByName(first.select("row"))
-    return every.select(*[F.col("row")[f"c{i}"].alias(n) for i, n in enumerate(names)])
+    return every.select(parts(docs.columns))

@@ -25,10 +25,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import blocks
+from .common import blocks, parts, text_or_empty, whole
 from .textblock import TextBlock, repeats
+from .wordcache import WordCache, only
 
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -80,37 +81,28 @@ _SCRIPTS = np.array(["none", "latin", "greek_cyrillic", "other"])
 
 
 class Vocabulary:
-    """Pieces of single words, cached by the word's hash; the cache is bounded."""
-
-    MOST = 300_000
+    """Pieces of single words."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known: dict[int, np.ndarray] = {}
+        self.known = WordCache()
 
     def encode(self, block: TextBlock, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all words in order, number of pieces of each word)."""
         distinct, first, which = np.unique(words, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        missing = [i for i, k in enumerate(keys) if k not in self.known]
-        if missing:
-            at = first[missing]
-            raw = block.data.tobytes()
+        missing = self.known.missing(distinct)
+        if missing.any():
+            at, raw = first[missing], block.data.tobytes()
             texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(block.starts[at].tolist(), block.ends[at].tolist())]
-            for i, ids in zip(missing, self.model.encode(texts, num_threads=1)):
-                self.known[keys[i]] = np.array(ids, np.int32)
-        rows = [self.known[k] for k in keys]
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-        begin = np.cumsum(size) - size
-        n = size[which]
+            ids = self.model.encode(texts, num_threads=1)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.known.add(distinct[missing], size, np.fromiter((x for one in ids for x in one), np.int64, size.sum()))
+        begin, n = self.known.sizes(distinct, which)
         to = np.cumsum(n)
-        return flat[np.arange(n.sum()) + np.repeat(begin[which] - (to - n), n)], n
+        return self.known.flat[np.arange(n.sum()) + np.repeat(begin - (to - n), n)], n
 
 
 def measure_block(block: TextBlock, vocabulary: Vocabulary, bands: Bands) -> dict[str, np.ndarray]:
@@ -160,30 +152,27 @@ def measure_block(block: TextBlock, vocabulary: Vocabulary, bands: Bands) -> dic
     }
 
 
-_LOADED: dict[str, Vocabulary] = {}
-
-
 def _mapper(path: str, bands: Bands, carry: bool):
     def run(batches):
-        vocabulary = _LOADED.get(path) or _LOADED.setdefault(path, Vocabulary(path))
-        for batch in blocks(batches, "__text"):
-            got = measure_block(TextBlock(batch.column(batch.schema.get_field_index("__text"))), vocabulary, bands)
-            names = [n for n in batch.schema.names if n != "__text"]
+        vocabulary = only(("vocabulary", path), lambda: Vocabulary(path))
+        for batch in blocks(batches):
+            got = measure_block(TextBlock(batch.column(1)), vocabulary, bands)
             if carry:
-                yield batch.select(names).filter(pa.array(got["kept"]))
+                yield batch.select([0]).filter(pa.array(got["kept"]))
             else:
-                yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in names], *map(pa.array, got.values())], names=[*names, *got])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, got.values())], names=[batch.schema.names[0], *got])
 
     return run
 
 
 def measure(docs: DataFrame, model: str, key: str = "doc_id", bands: Bands | None = None) -> DataFrame:
     """One row per document: its key, the base counts, the measures and the verdict."""
-    rows = docs.select(docs[key].alias(key), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("__text"))
+    rows = docs.select(docs[key].alias(key), text_or_empty().alias("text"))
     return rows.mapInArrow(_mapper(model, bands or Bands(), False), f"`{key}` {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
 def keep_good(docs: DataFrame, model: str, bands: Bands | None = None) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    rows = docs.withColumn("__text", F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return rows.mapInArrow(_mapper(model, bands or Bands(), True), docs.schema)
+    rows = docs.select(whole(docs).alias("row"), text_or_empty().alias("text"))
+    kept = rows.mapInArrow(_mapper(model, bands or Bands(), True), T.StructType([rows.schema["row"]]))
+    return kept.select(parts(docs.columns))

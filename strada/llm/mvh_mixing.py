@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, scratch, small, text_or_empty
+from .common import WORD, parts, scratch, small, text_or_empty, whole
 
 WEIGHTS = (1.0, 2.0, 3.0)
 REPEAT = 3
@@ -179,10 +179,9 @@ def plan(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mixed documents, a row for each time one is taken, shard by shard, in mixed order; all columns."""
     made = Plan(docs, key, **options)
-    names = docs.columns
-    whole = docs.select(F.struct(*[docs[f"`{n}`"].alias(f"c{i}") for i, n in enumerate(names)]).alias("row"), _source(docs).alias("source"), _hash(docs, key, made.seed).alias("h"))
-    each = made.of(whole).select("row", "h", F.posexplode("shards").alias("copy", "shard"))
+    rows = docs.select(whole(docs).alias("row"), _source(docs).alias("source"), _hash(docs, key, made.seed).alias("h"))
+    each = made.of(rows).select("row", "h", F.posexplode("shards").alias("copy", "shard"))
     each = each.withColumn("order", F.xxhash64("h", "copy", F.lit(made.seed)))
     # A shard is a run of the order (shard, order); range partitioning splits a shard that outgrows a task.
     sorted_ = each.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order")
-    return sorted_.select(*[F.col("row")[f"c{i}"].alias(n) for i, n in enumerate(names)])
+    return sorted_.select(parts(docs.columns))

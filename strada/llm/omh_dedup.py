@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import blocks, numbered, scratch, text_or_empty
+from .common import blocks, fresh, numbered, scratch, text_or_empty
 from .components import components
 from .textblock import WORD_BASE, Prefix, TextBlock, mix, repeats
 
@@ -286,8 +286,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     def may_go(h: pd.Series) -> pd.Series:
         return pd.Series(bloom.holds(plane.value, h.to_numpy().astype(np.uint64)))
 
-    tested = docs.withColumn("__h", F.xxhash64(docs[key], text_or_empty())).withColumn("__maybe", may_go("__h"))
-    again = tested.where("__maybe").join(stay.select(F.col("h").alias("__h")), "__h", "left_semi")
+    h, maybe = fresh(docs, "__h"), fresh(docs, "__maybe")
+    tested = docs.withColumn(h, F.xxhash64(docs[key], text_or_empty())).withColumn(maybe, may_go(F.col(h)))
+    again = tested.where(maybe).join(stay.select(F.col("h").alias(h)), h, "left_semi")
     if stay.join(gone, "h", "left_semi").limit(1).count():  # repeated rows: one of them stays
-        again = again.dropDuplicates(["__h"])
-    return tested.where("not __maybe").select(docs.columns).unionByName(again.select(docs.columns))
+        again = again.dropDuplicates([h])
+    return tested.where(f"not {maybe}").drop(h, maybe).unionByName(again.drop(h, maybe))

@@ -15,6 +15,7 @@ import os
 import numpy as np
 
 from .textblock import TextBlock, mix
+from .wordcache import WordCache, only
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -69,35 +70,18 @@ def _cut(block: TextBlock) -> None:
 
 
 class Encoder:
-    #: Words kept by a worker, with about 25 bytes each.
-    MOST = 4_000_000
-
     def __init__(self, path: str, end: int, spaces: bool):
         """end: the id put after each text. spaces: whether white space gets ids (byte-level) or is dropped."""
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.end, self.spaces = end, spaces
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.uint32)
+        self.known = WordCache()
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, np.uint32)
         owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-        size = np.bincount(owner[owner >= 0], minlength=len(words)).astype(np.int32)
-        begin = len(self.flat) + np.cumsum(size) - size
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.size = np.concatenate([self.size, size])[order]
-        self.flat = np.concatenate([self.flat, ids])
+        self.known.add(keys, np.bincount(owner[owner >= 0], minlength=len(words)), np.array(got.ids, np.int64))
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; where each text begins in them, and the end)."""
@@ -112,19 +96,13 @@ class Encoder:
         own = np.flatnonzero(~odd[block.doc_of_word])
         keys, doc = keys[own], block.doc_of_word[own]
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) > self.MOST:
-            self._forget()
-        at = np.searchsorted(self.keys, distinct)
-        missing = np.ones(len(distinct), bool)
-        inside = at < len(self.keys)
-        missing[inside] = self.keys[at[inside]] != distinct[inside]
+        missing = self.known.missing(distinct)
         if missing.any():
             raw, new = block.data.tobytes(), own[first[missing]]
             before = np.where(head[new], "", " ") if self.spaces else np.full(len(new), "")
             words = [b + raw[s:e].decode() for b, s, e in zip(before.tolist(), block.starts[new].tolist(), block.ends[new].tolist())]
             self._learn(distinct[missing], words)
-            at = np.searchsorted(self.keys, distinct)
-        n = self.size[at][which].astype(np.int64)
+        begin, n = self.known.sizes(distinct, which)
         sizes = np.bincount(doc, weights=n, minlength=block.n_docs).astype(np.int64) + 1
         whole = {}
         for d in np.flatnonzero(odd).tolist():
@@ -137,18 +115,12 @@ class Encoder:
         before = np.concatenate([[0], np.cumsum(n)])
         in_doc = before[:-1] - before[np.searchsorted(doc, doc)]
         step = np.arange(before[-1]) - np.repeat(before[:-1], n)
-        out[np.repeat(offsets[doc] + in_doc, n) + step] = self.flat[np.repeat(self.begin[at][which], n) + step]
+        out[np.repeat(offsets[doc] + in_doc, n) + step] = self.known.flat[np.repeat(begin, n) + step]
         for d, ids in whole.items():
             out[offsets[d] : offsets[d + 1] - 1] = ids
         return out, offsets
 
 
-_LOADED: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, end: int, spaces: bool) -> Encoder:
     """One encoder a worker and vocabulary."""
-    found = _LOADED.get((path, end))
-    if found is None:
-        found = _LOADED[path, end] = Encoder(path, end, spaces)
-    return found
+    return only(("encoder", path, end), lambda: Encoder(path, end, spaces))
