@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import blocks, text_offsets, text_or_empty
 
 ROWS, SYMBOLS, SEGMENT = 40, 24_000, 256
-_ENDED = 1 << 30
+#: Above the state, an entry has the number of phrases that end.
+_ENDED = 1 << 29
 OTHER, UNKNOWN, PAD = 0, 1, 2
 
 
@@ -94,15 +95,16 @@ class Model:
         for k in self.languages:
             machine = Automaton(self.classes(raw[k]).tolist())
             n = len(machine.next)
-            root = np.full(self.width, _ENDED, np.int64)
+            # A mismatch ends a phrase; a symbol that the labelled text never has is one by itself.
+            root = np.full(self.width, 2 * _ENDED, np.int64)
             for c, to in machine.next[0].items():
-                root[c] = to * self.width | _ENDED
+                root[c] = to * self.width + _ENDED
             table = np.tile(root, (n, 1))
+            table[0] = _ENDED
             for s, to in enumerate(machine.next):
                 for c, t in to.items():
                     table[s, c] = t * self.width
             table[:, PAD] = np.arange(n) * self.width
-            # at the root a known symbol begins a phrase, an unknown one is a phrase
             tables.append((table + base).astype(np.int32).ravel())
             self.roots.append(base)
             base += n * self.width
@@ -141,7 +143,7 @@ def phrases(model: Model, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarra
         while live and size[live - 1] <= t:
             live -= 1
         got = model.table[state[:, :live] + symbols[start[:live] + t]]
-        ended[:, :live] += got >> 30
+        ended[:, :live] += got >> 29
         state[:, :live] = got & (_ENDED - 1)
     out = np.zeros((len(n), len(roots)), np.int64)
     for k in range(len(roots)):
