@@ -80,8 +80,7 @@ class Encoder:
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        owner = np.array([-1 if w is None else w for w in got.word_ids], np.int64)
-        self.known.add(keys, np.bincount(owner[owner >= 0], minlength=len(words)), np.array(got.ids, np.int64))
+        self.known.add(keys, np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)), np.array(got.ids, np.int64))
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; where each text begins in them, and the end)."""

@@ -18,39 +18,57 @@ def only(key: tuple, make: Callable[[], object]):
 
 
 class WordCache:
-    """Pieces by the word's 64-bit hash, about 25 bytes a word; emptied when it is full."""
+    """Pieces by the word's 64-bit hash, about 35 bytes a word; emptied when it is full.
 
-    MOST = 1_000_000
+    Keys are in two sorted arrays, an old long one and a short one of those that came since, which is
+    merged into the old one when it has grown to a quarter of it.
+    """
+
+    MOST = 1_500_000
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.old = self.new = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         self.begin = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
+    def _numbers(self, distinct: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for those not known."""
+        out = np.full(len(distinct), -1, np.int32)
+        for keys, numbers in (self.old, self.new):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+                same = keys[at] == distinct
+                out[same] = numbers[at[same]]
+        return out
+
     def missing(self, distinct: np.ndarray) -> np.ndarray:
         """Which of these hashes, distinct and in order, are not known."""
-        if len(self.keys) > self.MOST:
+        if len(self.size) > self.MOST:
             self.clear()
-        at = np.searchsorted(self.keys, distinct)
-        out = np.ones(len(distinct), bool)
-        inside = at < len(self.keys)
-        out[inside] = self.keys[at[inside]] != distinct[inside]
-        return out
+        return self._numbers(distinct) < 0
+
+    @staticmethod
+    def _merged(a, b):
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
 
     def add(self, keys: np.ndarray, size: np.ndarray, pieces: np.ndarray) -> None:
+        """New words, whose hashes are in order."""
+        numbers = np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32)
+        self.new = self._merged(self.new, (keys, numbers))
+        if len(self.new[0]) > max(50_000, len(self.old[0]) // 4):
+            self.old, self.new = self._merged(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.begin = np.concatenate([self.begin, begin])[order]
-        self.size = np.concatenate([self.size, size.astype(np.int32)])[order]
+        self.begin = np.concatenate([self.begin, begin])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
         self.flat = np.concatenate([self.flat, pieces.astype(np.int32)])
 
     def sizes(self, distinct: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place of each word's pieces, their number) for words given by their index in distinct."""
-        at = np.searchsorted(self.keys, distinct)
-        return self.begin[at][which], self.size[at][which].astype(np.int64)
+        number = self._numbers(distinct)[which]
+        return self.begin[number], self.size[number].astype(np.int64)
