@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strada.operators.grid import near_keypoints
-from strada.operators.raster import pixel_totals
 from strada.schema import DescriptorConfig
 
 KEY = ("map_id", "level", "radius", "lin", "gx", "gy")
@@ -42,15 +41,18 @@ def cell_position(i: Column, radius: Column, config: DescriptorConfig) -> tuple[
 
 
 def elements(pixels: DataFrame, roads: DataFrame, levels: DataFrame, radii: list[int], config: DescriptorConfig) -> DataFrame:
-    """Every pixel's segments at each keypoint that looks at it: (KEY, x, y, seg_id, angle_u, v).
+    """Every pixel's segments at each keypoint that looks at it: (kp, dx, dy, seg_id, angle_u, v).
 
-    v is the segment's count, weighted by the Gaussian and shared among what the pixel holds.
+    kp is the struct of KEY. v is the segment's count, weighted by the Gaussian and shared among what
+    the pixel holds. Dealt by kp here, so that all that follows, both passes over it and their
+    join, needs no further shuffle; a keypoint sees a bounded window.
     """
-    totals = pixel_totals(pixels).select("map_id", "level", "y", "x", "total")
-    each = pixels.join(totals, ["map_id", "level", "y", "x"]).join(roads.select("map_id", "seg_id", "angle_u"), ["map_id", "seg_id"])
+    total = F.sum("cnt").over(Window.partitionBy("map_id", "level", "y", "x"))
+    each = pixels.withColumn("total", total).join(roads.select("map_id", "seg_id", "angle_u"), ["map_id", "seg_id"])
     seen = near_keypoints(each, levels, config)
-    g = gaussian(F.abs(F.col("x") - F.col("gx")), F.abs(F.col("y") - F.col("gy")), F.col("radius"), _norm_of(F.col("radius"), radii))
-    return seen.select(*KEY, "x", "y", "seg_id", "angle_u", (F.col("cnt") * g / F.col("total")).alias("v"))
+    dx, dy = F.col("x") - F.col("gx"), F.col("y") - F.col("gy")
+    g = gaussian(dx, dy, F.col("radius"), _norm_of(F.col("radius"), radii))
+    return seen.select(F.struct(*KEY).alias("kp"), dx.cast("int").alias("dx"), dy.cast("int").alias("dy"), "seg_id", "angle_u", (F.col("cnt") * g / F.col("total")).alias("v")).repartition("kp")
 
 
 def orientation_bins(angle: Column, bins: int) -> tuple[Column, Column, Column]:
@@ -61,13 +63,15 @@ def orientation_bins(angle: Column, bins: int) -> tuple[Column, Column, Column]:
 
 
 def histograms(seen: DataFrame, config: DescriptorConfig) -> DataFrame:
-    """(KEY, hist) of keypoints that more than min_segs segments reach."""
+    """(kp, hist) of keypoints that more than min_segs segments reach."""
+    # A segment has one angle: its weights at a keypoint are added up before they are dealt to bins.
+    by_segment = seen.groupBy("kp", "seg_id", "angle_u").agg(F.sum("v").alias("v"))
     low, up, f = orientation_bins(F.col("angle_u"), config.bins)
-    parts = seen.withColumns({"__l": low, "__u": up, "__f": f})
+    parts = by_segment.withColumns({"__l": low, "__u": up, "__f": f})
     sums = [F.sum(F.when(F.col("__l") == b, F.col("v") * (1 - F.col("__f"))).when(F.col("__u") == b, F.col("v") * F.col("__f")).otherwise(0.0)).alias(f"h{b}") for b in range(config.bins)]
-    made = parts.groupBy(*KEY).agg(F.count_distinct("seg_id").alias("n_segs"), *sums)
+    made = parts.groupBy("kp").agg(F.count(F.lit(1)).alias("n_segs"), *sums)
     kept = made if config.min_segs <= 1 else made.where(F.col("n_segs") > config.min_segs)
-    return kept.select(*KEY, F.array(*[f"h{b}" for b in range(config.bins)]).alias("hist"))
+    return kept.select("kp", F.array(*[f"h{b}" for b in range(config.bins)]).alias("hist"))
 
 
 def reference_angle(hist: Column, bins: int) -> Column:
@@ -80,30 +84,30 @@ def reference_angle(hist: Column, bins: int) -> Column:
 
 
 def raw_descriptors(seen: DataFrame, angles: DataFrame, config: DescriptorConfig) -> DataFrame:
-    """(KEY, angle, desc) before a half is chosen: `angles` has (KEY, angle)."""
+    """(kp, angle, desc) before a half is chosen: `angles` has (kp, angle)."""
     n, bins = config.n, config.bins
-    both = seen.join(angles, list(KEY))
-    dx, dy, a, r = F.col("x") - F.col("gx"), F.col("y") - F.col("gy"), F.col("angle"), F.col("radius")
+    both = seen.join(angles, "kp").withColumn("radius", F.col("kp.radius"))
+    dx, dy, a, r = F.col("dx"), F.col("dy"), F.col("angle"), F.col("radius")
     along = F.rint(dx * F.cos(a) + dy * F.sin(a)).cast("int")
     across = F.rint(dy * F.cos(a) - dx * F.sin(a)).cast("int")
     inside = both.withColumns({"__i": across + r, "__j": along + r}).where("__i >= 0 and __i < 2 * radius and __j >= 0 and __j < 2 * radius")
     low, up, f = orientation_bins(F.pmod(F.col("angle_u") - a, F.lit(math.pi)), bins)
     col, wx = cell_position(F.col("__i"), r, config)
     row, wy = cell_position(F.col("__j"), r, config)
-    placed = inside.select(*KEY, "angle", "v", low.alias("l"), up.alias("u"), f.alias("f"), col.alias("col"), wx.alias("wx"), row.alias("row"), wy.alias("wy"))
+    placed = inside.select("kp", "angle", "v", low.alias("l"), up.alias("u"), f.alias("f"), col.alias("col"), wx.alias("wx"), row.alias("row"), wy.alias("wy"))
     halves = F.array(F.struct(F.col("l").alias("b"), (F.col("v") * (1 - F.col("f"))).alias("v")), F.struct(F.col("u").alias("b"), (F.col("v") * F.col("f")).alias("v")))
-    two = placed.select(*KEY, "angle", "col", "row", "wx", "wy", F.explode(halves).alias("s")).select(*KEY, "angle", "col", "row", "wx", "wy", "s.*")
+    two = placed.select("kp", "angle", "col", "row", "wx", "wy", F.explode(halves).alias("s")).select("kp", "angle", "col", "row", "wx", "wy", "s.*")
     # The shares of the four cells are summed where they arise; only those few sums are dealt to the cells.
     x, y = {0: F.col("wx"), 1: 1 - F.col("wx")}, {0: F.col("wy"), 1: 1 - F.col("wy")}
     corners = [(down, back) for down in (0, 1) for back in (0, 1)]
-    summed = two.groupBy(*KEY, "angle", "col", "row", "b").agg(*[F.sum(F.col("v") * y[d] * x[e]).alias(f"v{d}{e}") for d, e in corners])
+    summed = two.groupBy("kp", "angle", "col", "row", "b").agg(*[F.sum(F.col("v") * y[d] * x[e]).alias(f"v{d}{e}") for d, e in corners])
     shares = F.array(*[F.struct((F.col("row") - d).alias("row"), (F.col("col") - e).alias("col"), F.col(f"v{d}{e}").alias("v")) for d, e in corners])
-    each = summed.select(*KEY, "angle", "b", F.explode(shares).alias("s"))
+    each = summed.select("kp", "angle", "b", F.explode(shares).alias("s"))
     kept = each.where(f"s.row between 0 and {n - 1} and s.col between 0 and {n - 1}")
     at = (F.col("s.row") * n + F.col("s.col")) * bins + F.col("b")
-    entries = kept.select(*KEY, "angle", at.alias("at"), F.col("s.v").alias("v")).groupBy(*KEY, "angle", "at").agg(F.sum("v").alias("v"))
-    vectors = entries.groupBy(*KEY, "angle").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))  # n * n * bins entries at most
-    return vectors.select(*KEY, "angle", F.transform(F.sequence(F.lit(0), F.lit(config.length - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("desc"))
+    entries = kept.select("kp", "angle", at.alias("at"), F.col("s.v").alias("v")).groupBy("kp", "angle", "at").agg(F.sum("v").alias("v"))
+    vectors = entries.groupBy("kp", "angle").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))  # n * n * bins entries at most
+    return vectors.select("kp", "angle", F.transform(F.sequence(F.lit(0), F.lit(config.length - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0))).alias("desc"))
 
 
 def half_sums(desc: Column, config: DescriptorConfig) -> tuple[Column, Column]:
@@ -137,7 +141,7 @@ def describe(pixels: DataFrame, roads: DataFrame, levels: DataFrame, radii: list
     """
     config = config or DescriptorConfig()
     seen = elements(pixels, roads, levels, radii, config)
-    angles = histograms(seen, config).withColumn("angle", reference_angle(F.col("hist"), config.bins)).where("angle is not null").drop("hist")
+    angles = histograms(seen, config).withColumn("angle", reference_angle(F.col("hist"), config.bins)).where("angle is not null").select("kp", "angle")
     raw = raw_descriptors(seen, angles, config)
     first, last = half_sums(F.col("desc"), config)
     halves = raw.withColumns({"__first": first, "__last": last})
@@ -147,7 +151,7 @@ def describe(pixels: DataFrame, roads: DataFrame, levels: DataFrame, radii: list
     norm = F.sqrt(F.aggregate("desc", F.lit(0.0), lambda t, x: t + x * x))
     one = chosen.withColumn("__n", norm).withColumn("desc", F.transform("desc", lambda x: F.least(x / F.col("__n"), F.lit(config.cap))))
     two = one.withColumn("__n", norm).withColumn("desc", F.transform("desc", lambda x: x / F.col("__n")))
-    return two.select(*KEY, "angle", "decision", "desc")
+    return two.select("kp.*", "angle", "decision", "desc")
 
 
 def keypoints(descs: DataFrame) -> DataFrame:

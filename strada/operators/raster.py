@@ -60,16 +60,19 @@ def downsample(pixels: DataFrame, k: int) -> DataFrame:
     """Blocks of 2**k by 2**k pixels become one, whose multiset is their sum."""
     if k < 0:
         raise ValueError("a map can only be made smaller")
-    size = 1 << k
-    small = pixels.select("map_id", (F.col("level") + k).alias("level"), *[F.floor(F.col(c) / size).cast("long").alias(c) for c in ("y", "x")], "seg_id", "cnt")
+    small = pixels.select("map_id", (F.col("level") + k).alias("level"), *[F.shiftright(c, k).alias(c) for c in ("y", "x")], "seg_id", "cnt")
     return small.groupBy("map_id", "level", "y", "x", "seg_id").agg(F.sum("cnt").alias("cnt"))
 
 
 def pyramid(pixels: DataFrame, levels: list[int]) -> DataFrame:
-    """All levels from level 0 in one shuffle: each row is dealt to the levels wanted and summed there."""
-    each = pixels.withColumn("__k", F.explode(F.array(*[F.lit(k) for k in levels])))
-    small = each.select("map_id", F.col("__k").alias("level"), *[F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__k"))).cast("long").alias(c) for c in ("y", "x")], "seg_id", "cnt")
-    return small.groupBy("map_id", "level", "y", "x", "seg_id").agg(F.sum("cnt").alias("cnt"))
+    """All levels from level 0 in one shuffle: rows are dealt to the levels wanted and summed there; level 0 passes through."""
+    if min(levels, default=0) < 0:
+        raise ValueError("a map can only be made smaller")
+    above = [k for k in levels if k]
+    each = pixels.withColumn("__k", F.explode(F.array(*[F.lit(k) for k in above]).cast("array<int>")))
+    small = each.select("map_id", F.col("__k").alias("level"), *[F.call_function("shiftright", F.col(c), F.col("__k")).alias(c) for c in ("y", "x")], "seg_id", "cnt")
+    made = small.groupBy("map_id", "level", "y", "x", "seg_id").agg(F.sum("cnt").alias("cnt"))
+    return pixels.select(*made.columns).unionByName(made) if 0 in levels else made
 
 
 def level_size(size: Column, level: Column) -> Column:

@@ -214,12 +214,12 @@ def gaussian_weights(spark, d):
 
 def global_orientation_hist(spark, d):
     hist = descriptor.histograms(_elements(spark, d), DescriptorConfig())
-    return hist.select("map_id", "lin", *[r6(F.col("hist")[b], f"h{b}") for b in range(DescriptorConfig().bins)])
+    return hist.select("kp.map_id", "kp.lin", *[r6(F.col("hist")[b], f"h{b}") for b in range(DescriptorConfig().bins)])
 
 
 def ref_angle(spark, d):
     hist = descriptor.histograms(_elements(spark, d), DescriptorConfig())
-    return hist.select("map_id", "lin", r6(descriptor.reference_angle(F.col("hist"), DescriptorConfig().bins), "angle"))
+    return hist.select("kp.map_id", "kp.lin", r6(descriptor.reference_angle(F.col("hist"), DescriptorConfig().bins), "angle"))
 
 
 def lrp_descriptor(spark, d):
