@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +97,10 @@ def fit(positive: Sparse, unlabelled: Sparse, prior: float, rounds: int = 200, r
     Features in fewer than LEAST confirmed examples, or not LIFT times as common in them as
     among the unlabelled, carry no weight: they cannot be told from chance.
     """
-    n_p, n_u = np.bincount(positive.column, minlength=1 << BITS), np.bincount(unlabelled.column, minlength=1 << BITS)
+    n_p, n_u = _counts(positive.column), _counts(unlabelled.column)
     telling = (n_p >= LEAST) & (n_p / positive.n >= LIFT * n_u / unlabelled.n)
     scale = np.where(telling, np.minimum(1.0, np.sqrt(unlabelled.n / (1 + n_u)) / 10), 0.0)
-    positive, unlabelled = (Sparse(s.row[scale[s.column] > 0], s.column[scale[s.column] > 0], s.n) for s in (positive, unlabelled))
+    positive, unlabelled = (Sparse(s.row[used], s.column[used], s.n) for s in (positive, unlabelled) for used in [telling[s.column]])
     w, b = np.zeros(1 << BITS), -1.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
 
@@ -133,6 +134,20 @@ def _featured(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["toxic", "features"])
 
 
+def _sparse(lists: pa.ChunkedArray) -> Sparse:
+    lists = lists.combine_chunks()
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return Sparse(np.repeat(np.arange(len(size), dtype=np.int32), size), lists.flatten().to_numpy(), len(size))
+
+
+def _counts(column: np.ndarray) -> np.ndarray:
+    """How often each feature occurs, in slices, since bincount copies what it counts."""
+    out = np.zeros(1 << BITS, np.int64)
+    for at in range(0, len(column), 1 << 20):
+        out += np.bincount(column[at : at + (1 << 20)], minlength=1 << BITS)
+    return out
+
+
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | None = None, key: str = "doc_id") -> Model | None:
     """The model of a bounded sample of the rows that aren't held out; None without a confirmed one."""
     # One label a key; of several the toxic one, as a confirmation.
@@ -147,15 +162,12 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | N
     others = every.select("k").orderBy(F.xxhash64("k", F.lit(1))).limit(UNLABELLED)
     wanted = F.broadcast(confirmed.withColumn("toxic", F.lit(1)).union(others.withColumn("toxic", F.lit(0))))  # POSITIVE + UNLABELLED keys at most
     sample = docs.select(docs[key].alias("k"), text_or_empty().alias("text")).join(wanted, "k").select("toxic", "text")
-    rows = sample.mapInArrow(_featured, "toxic int, features array<int>").toPandas()
-    made = []
-    for label in (1, 0):
-        lists = rows.loc[rows["toxic"] == label, "features"].tolist()
-        size = np.array([len(x) for x in lists], np.int64)
-        made.append(Sparse(np.repeat(np.arange(len(lists)), size), np.concatenate([*map(np.asarray, lists), np.zeros(0)]).astype(np.int64), len(lists)))
+    rows = sample.mapInArrow(_featured, "toxic int, features array<int>").toArrow()
+    made = [_sparse(rows.filter(pc.equal(rows["toxic"], label))["features"]) for label in (1, 0)]
+    del rows
     if not made[0].n or not made[1].n:
         return None
-    return fit(made[0], made[1], min(0.9, max(0.001, prior)))
+    return fit(*made, min(0.9, max(0.001, prior)))
 
 
 def predict(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | None = None, key: str = "doc_id") -> DataFrame:
