@@ -1,18 +1,28 @@
 """Operator 5, personal data: information-theoretic sanitisation, in DataFrame functions only.
 
 Base spans are e-mail and IP addresses, card and phone numbers, found by patterns and
-checked (parts, Luhn, digits). They are the protected entities, by kind.
+checked (parts, Luhn, digits). They are the protected entities: each kind is one, and each
+value (an address in lower case, a number's digits).
 
-Which terms reveal them is estimated from the corpus. A context is a line, a term a run
-of three letters or more, in lower case. With N lines, n(e) of them with an entity
-of kind e, n(t) with the term and n(t, e) with both,
+Which terms reveal them is estimated from the corpus. A context is a line without its base
+spans, a term a run of three letters or more, in lower case. With N lines, n(e) of them with
+the entity e, n(t) with the term and n(t, e) with both,
 
     PMI(t; e) = log2(n(t, e) N / (n(t) n(e)))      IC(e) = log2(N / n(e))
 
 and PMI / IC is the share of the entity's information that the term gives away, 1 if it
 never stands without one. In lines with an entity, terms at or over `general` are
-generalised to the entity's kind and at or over `gone` removed, if n(t, e) is at least
-`support`: a rarer term says too little to judge. Counts are over all lines of all texts.
+generalised to the entity's kind and at or over `gone` removed, if that is no accident. Every
+term that stands beside an entity is scored. The line by which the pair was found is left out: of
+the term's n = n(t) - 1 other lines k = n(t, e) - 1 have the entity, where n p are expected, p =
+n(e) / N. Chernoff's bound of the chance of so many is 2^-b with
+
+    b = k log2(k / (n p)) + (n - k) log2((n - k) / (n (1 - p)))
+
+and b must be at least `bits`. This depends on rates only, so a corpus repeated gives the same
+terms or more. Where term and entity have a single line in common b is 0, whatever the
+corpus: so values that no second line has need not be paired. Counts are over all lines of all
+texts, copies too.
 
 Positions are code points: the pieces between matches and the matches are laid end to end
 by a running sum. A match never holds a line break, so lines can be searched alone.
@@ -33,7 +43,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, scratch, small
+from .common import SMALL, numbered, scratch, small
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The patterns of the four base kinds.
@@ -44,7 +54,7 @@ PATTERNS = (
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
 TERM = r"\p{L}{3,}+"
-SUPPORT, GENERAL, GONE = 20, 0.8, 0.95
+BITS, GENERAL, GONE = 10.0, 0.8, 0.95
 
 
 def _valid(kind: int, match: Column) -> Column:
@@ -90,56 +100,89 @@ def _kinds_in(line: Column) -> Column:
     return F.array_compact(F.array(*held))
 
 
+def _value(kind: int, match: Column) -> Column:
+    value = F.lower(match) if kind == 0 else match if kind == 1 else F.regexp_replace(match, "[^0-9]", "")
+    return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
+
+def _values_in(line: Column) -> Column:
+    """The base spans that a line holds, as (kind, value)."""
+    held = [F.transform(F.filter(F.regexp_extract_all(line, F.lit(p), 0), partial(_valid, k)), partial(_value, k)) for k, p in enumerate(PATTERNS)]
+    return F.array_distinct(F.concat(*held))
+
+
+def _masked(line: Column) -> Column:
+    """The line with blanks for its base spans that hold letters, which are e-mail addresses; its length stays."""
+    address = F.lit(PATTERNS[0])
+    blank = F.zip_with(F.split(line, PATTERNS[0], -1), F.regexp_extract_all(line, address, 0), lambda part, match: F.concat(part, F.coalesce(F.repeat(F.lit(" "), F.length(match)), F.lit(""))))
+    return F.when(line.contains("@"), F.array_join(blank, "")).otherwise(line)
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     return rows.select("row", F.posexplode(F.split("text", "\n", -1)).alias("number", "line"))
 
 
-def _terms(line: str = "line") -> Column:
+def _terms(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), 0))
 
 
 def protected_lines(rows: DataFrame) -> DataFrame:
-    """(row, start, line, kinds) of the lines with base spans."""
+    """(row, start, line, kinds, values) of the lines with base spans, masked."""
     some = rows.where(" or ".join(f"size(regexp_extract_all(text, '{p}', 0)) > 0" for p in (r"@[A-Za-z0-9-]", r"[0-9]\\.[0-9]", r"[0-9][ -]?[0-9]", r"\\+[0-9]")))
     kinds = F.when(F.col("line").rlike("[0-9@]"), _kinds_in(F.col("line")))
     each = _lines(some).withColumn("kinds", kinds)
     # Lines without a span go on as a length only.
     narrow = each.select("row", "number", F.length("line").alias("n"), F.when(F.size("kinds") > 0, F.col("line")).alias("line"), "kinds")
     before = F.coalesce(F.sum(F.col("n") + 1).over(Window.partitionBy("row").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return narrow.withColumn("start", before).where("line is not null").select("row", "start", "line", "kinds")
+    return narrow.withColumn("start", before).where("line is not null").select("row", "start", _masked(F.col("line")).alias("line"), "kinds", _values_in(F.col("line")).alias("values"))
 
 
-def disclosing(rows: DataFrame, lines: DataFrame, support: int = SUPPORT, general: float = GENERAL) -> DataFrame:
-    """(term, kind, share): the terms that give a kind away, with the kind they give away most."""
-    together = lines.select(F.explode("kinds").alias("kind"), _terms().alias("terms")).select("kind", F.explode("terms").alias("term"))
-    joint = scratch(together.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= support), "joint")
-    named = joint.select("term").distinct()
-    every = _lines(rows)
-    n_lines = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+def _joint(lines: DataFrame) -> DataFrame:
+    """(term, kind, n_e, n_te) for each kind and each value, from two common lines on."""
     n_kinds = lines.select(F.explode("kinds").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_e"))
-    words = every.select(F.explode(_terms()).alias("term")).join(small(named, named.count()), "term")
-    n_terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    both = joint.join(n_terms, "term").join(small(n_kinds, len(PATTERNS)), "kind")
-    pmi = F.log2(F.col("n_te") * F.lit(float(n_lines)) / (F.col("n_t") * F.col("n_e")))
-    ic = F.log2(F.lit(float(n_lines)) / F.col("n_e"))
-    share = both.select("term", "kind", F.try_divide(pmi, ic).alias("share")).where(F.col("share") >= general)
-    return share.groupBy("term").agg(F.max(F.struct("share", (-F.col("kind")).alias("k"))).alias("m")).select("term", (-F.col("m.k")).alias("kind"), "m.share")
+    by_kind = lines.select(F.explode("kinds").alias("kind"), _terms(F.col("line")).alias("terms")).select("kind", F.explode("terms").alias("term"))
+    by_kind = by_kind.groupBy("kind", "term").agg(F.count(F.lit(1)).alias("n_te")).where("n_te > 1").join(small(n_kinds, len(PATTERNS)), "kind")
+    values = lines.select(F.explode("values").alias("v"), "line").select("v.kind", "v.value", "line")
+    again = scratch(values.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_e")).where("n_e > 1"), "values")
+    by_value = values.join(small(again, again.count()), ["kind", "value"]).select("kind", "value", "n_e", F.explode(_terms(F.col("line"))).alias("term"))
+    by_value = by_value.groupBy("kind", "value", "n_e", "term").agg(F.count(F.lit(1)).alias("n_te")).where("n_te > 1")
+    return by_kind.select("term", "kind", "n_e", "n_te").unionByName(by_value.select("term", "kind", "n_e", "n_te"))
+
 
+def _bits(n: Column, k: Column, p: Column) -> Column:
+    """-log2 of Chernoff's bound of the chance that k or more of n have what a share p has; 0 if no more than expected."""
+    part = lambda x, share: F.when(x > 0, x * F.log2(x / (n * share))).otherwise(0.0)
+    return F.when(k > n * p, part(k, p) + part(n - k, 1 - p)).otherwise(0.0)
 
-def spans(rows: DataFrame, support: int = SUPPORT, general: float = GENERAL, gone: float = GONE) -> DataFrame:
+
+def disclosing(rows: DataFrame, lines: DataFrame, bits: float = BITS, general: float = GENERAL) -> DataFrame:
+    """(term, kind, share): the terms that give an entity away, with the kind of the one they give away most."""
+    joint = scratch(_joint(lines), "joint")
+    named = joint.select("term").distinct()
+    n_lines = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    words = _lines(rows).select(F.explode(_terms(_masked(F.col("line")))).alias("term"))
+    # Too many terms to broadcast: all are counted, on the map side first, and the counts are joined by a shuffle.
+    few = named.count() <= SMALL
+    n_terms = (words.join(F.broadcast(named), "term") if few else words).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n, n_te, n_t, n_e = F.lit(float(n_lines)), F.col("n_te"), F.col("n_t"), F.col("n_e")
+    share = F.try_divide(F.log2(n_te * n / (n_t * n_e)), F.log2(n / n_e))
+    both = joint.join(n_terms, "term").select("term", "kind", share.alias("share"), _bits(n_t - 1, n_te - 1, n_e / n).alias("bits"))
+    both = both.where((F.col("share") >= general) & (F.col("bits") >= bits))
+    return both.groupBy("term").agg(F.max(F.struct("share", (-F.col("kind")).alias("k"))).alias("m")).select("term", (-F.col("m.k")).alias("kind"), "m.share")
+
+
+def spans(rows: DataFrame, bits: float = BITS, general: float = GENERAL, gone: float = GONE) -> DataFrame:
     """(row, kind, start, end, to) of (row, text): base spans and terms, with what stands for each."""
     rows = rows.select("row", "text")
     base = scratch(base_spans(rows), "spans")
     lines = scratch(protected_lines(rows), "lines")
-    terms = scratch(disclosing(rows, lines, support, general), "terms")
+    terms = scratch(disclosing(rows, lines, bits, general), "terms")
     here = _pieces(lines.select("row", F.col("start").alias("line_start"), "line"), "line", TERM, "row", "line_start")
     at = _placed(here, "row", "line_start").withColumn("term", F.lower("match")).join(small(terms, terms.count()), "term")
     label = F.array(*[F.lit(f"[{k}-related]") for k in KINDS[:4]])
     found = at.select("row", F.lit(4).alias("kind"), (F.col("line_start") + F.col("start")).alias("start"), (F.col("line_start") + F.col("end")).alias("end"), F.when(F.col("share") >= gone, F.lit("")).otherwise(label[F.col("kind")]).alias("to"))
-    b = base.select(F.col("row").alias("r"), F.col("start").alias("s"), F.col("end").alias("e"))
-    free = found.join(b, (found["row"] == b["r"]) & (found["start"] < b["e"]) & (b["s"] < found["end"]), "left_anti")
     own = base.withColumn("to", F.concat(F.lit("["), F.array(*[F.lit(k) for k in KINDS])[F.col("kind")], F.lit("]")))
-    return own.unionByName(free)
+    return own.unionByName(found)
 
 
 def _is_kind(kind: int, span: Column) -> Column:

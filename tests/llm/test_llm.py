@@ -339,6 +339,29 @@ def test_terms_that_give_entities_away(spark):
     assert clean[0].split("\n")[0].endswith("[email]") and clean[1] == rows[1][1]
 
 
+def found_terms(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {r["doc_id"]: r["spans"] for r in pii_sanitise.report(df).collect()}
+    return {t[int(a) : int(b)] for i, t in enumerate(texts) for k, a, b in (s.split(":") for s in got[i].split(",") if s) if k == "term"}
+
+
+def test_rare_terms_that_give_a_value_away(spark):
+    rng = random.Random(14)
+    # Half of all lines hold an address, so the kind says little; each name stands with one value only, in few lines.
+    texts = [prose(rng, 8) + (f" u{i}@mail.example.com" if i % 2 else "") for i in range(600)]
+    texts += [f"{prose(rng, 5)} Zorblax {prose(rng, 2)} zb@mail.example.com" for _ in range(19)]
+    texts += [f"{prose(rng, 5)} Quimby +49 123 456 {n} 89" for n in ("7", "(7)", "-7")]
+    assert found_terms(spark, texts) == {"Zorblax", "Quimby"}  # and not mail, example, com
+    assert found_terms(spark, [*texts, *texts]) == {"Zorblax", "Quimby"}
+
+
+def test_a_term_met_by_accident_stays(spark):
+    rng = random.Random(15)
+    texts = [prose(rng, 8) + (f" once{chr(97 + i % 26)}{chr(97 + i // 26)} u{i}@x.org" if i % 2 else "") for i in range(300)]
+    assert found_terms(spark, texts) == set()
+    assert found_terms(spark, ["éabc@x.org éabc@x.org zzz"] * 3 + [prose(rng, 8) for _ in range(300)]) == {"zzz"}
+
+
 def test_personal_data_odd_rows(spark, odd):
     assert pii_sanitise.report(odd).count() == 7
     assert pii_sanitise.report(empty(spark)).count() == 0
