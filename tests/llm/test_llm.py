@@ -457,6 +457,27 @@ def test_quality_rejects_noise_and_keeps_prose(spark, odd):
     assert fertility_quality.measure(empty(spark), MODEL).count() == fertility_quality.keep_good(empty(spark), MODEL).count() == 0
 
 
+def test_quality_rejects_random_characters_and_keeps_languages(spark):
+    rng = random.Random(16)
+
+    def soup(chars, n, low=3, high=9):
+        return " ".join("".join(rng.choice(chars) for _ in range(rng.randint(low, high))) for _ in range(n))
+
+    small = "abcdefghijklmnopqrstuvwxyz"
+    bad = []
+    for n in (80, 300):
+        bad += [soup(small, n), soup(small + small.upper(), n), soup("bcdfghjklmnpqrstvwxz", n), soup(small + small.upper() + "0123456789+/", n, 76, 76)]
+        bad += [soup("".join(map(chr, range(33, 127))), n), soup("!@#$%^&*()_+-=[]{};:,.<>/?|~", n, 1, 8), soup("абвгдежзийклмнопрстуфхцчшщъыьэюя", n), " ".join(f"{rng.random() * 1000:.4f}" for _ in range(n))]
+    en = "The quick survey of the northern coast was finished in late autumn, when the ships had already returned to the harbour and the crews were waiting for their wages. Nobody expected that the report would be read by the minister himself, much less that he would ask for a second expedition before the winter."
+    vi = "Cuộc khảo sát nhanh bờ biển phía bắc đã hoàn thành vào cuối mùa thu, khi các con tàu đã trở về bến cảng và thủy thủ đoàn đang chờ tiền lương của họ. Không ai nghĩ rằng bộ trưởng sẽ tự mình đọc bản báo cáo đó và hỏi thêm về chuyến đi."
+    ru = "Быстрое исследование северного побережья было закончено поздней осенью, когда корабли уже вернулись в гавань, а команды ждали своего жалованья. Никто не ожидал, что отчёт прочтёт сам министр, и тем более что он попросит о второй экспедиции до зимы. Тогда капитан сел за стол, взял перо и написал длинное письмо домой, где его давно ждали жена и дети."
+    good = [en, vi, ru, *[prose(rng, n) for n in (60, 200, 1500)]]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(bad + good)], SCHEMA)
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in fertility_quality.measure(df, MODEL).collect()}
+    assert [got[i] for i in range(len(bad))] == [(False, False)] * len(bad)
+    assert [got[i] for i in range(len(bad), len(got))] == [(False, True)] * len(good)
+
+
 # 8
 
 
