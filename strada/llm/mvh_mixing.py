@@ -6,9 +6,11 @@ above.
 
 Blocks. A hash deals each source's documents into at most BLOCKS blocks, of about
 DOCS_A_BLOCK documents in small sources. A source takes each block as often as its target
-holds its size, and of the rest, in an order permuted by the seed, whole blocks while
-they fit; of the block after those, documents in the order of their hash while they fit. So
-what is taken misses the target by less than one of the block's left documents.
+holds its size, and of the rest, in an order permuted by the seed, every whole block that
+fits. The room that then remains is filled with documents of the left blocks, in the order of
+blocks and hashes: of the first, then of as many blocks as 4, 16 and so on that have a document small
+enough, until none has. So what is taken misses the target by less than the smallest document with
+words that the source has left (rows of one key being one document).
 
 Tree. The quota of a source is its number of taken blocks, repeats counted. A node
 that stands for some output shards holds a vector of quotas; its left half draws its share
@@ -18,7 +20,7 @@ node's generator is seeded by the seed and the node, so any node can be drawn ag
 source then deals its blocks in permuted order: the shards get disjoint runs. Inside a
 shard rows are ordered by a hash.
 
-The driver holds at most BLOCKS numbers a source. Documents are read once for their sizes
+The driver holds at most BLOCKS numbers a source, and the few documents that fill its room. Documents are read once for their sizes
 and once to be written; texts are shuffled only to their shard.
 
 Defined results: a null text has no words and is taken with its block; a null source is a
@@ -108,10 +110,14 @@ class Plan:
         self.sources = small(spark.createDataFrame(held, "source string, source_size long, target double, blocks int"), len(held))
         placed = self.sizes.join(self.sources, "source").withColumn("block", _block(F.col("blocks")))
         sums: dict[str, dict[int, int]] = {s: {} for s in names}
-        for s, b, n in placed.groupBy("source", "block").agg(F.sum("size")).collect():  # BLOCKS rows a source at most
+        least: dict[str, dict[int, int]] = {s: {} for s in names}
+        some = F.min(F.when(F.col("size") > 0, F.col("size")))
+        for s, b, n, low in placed.groupBy("source", "block").agg(F.sum("size"), some).collect():  # BLOCKS rows a source at most
             sums[s][b] = n
+            least[s][b] = low
         units: dict[str, list[int]] = {}
-        edges = []
+        room: dict[str, int] = {}
+        left: dict[str, list[int]] = {}
         for (s, size, _), t in zip(totals, target):
             order = sorted(sums[s])
             rng = np.random.default_rng([seed, zlib.crc32(s.encode()), len(order)])
@@ -119,18 +125,19 @@ class Plan:
             whole = int(t // size) if size else 0
             taken = [b for _ in range(whole) for b in order]
             rest = t - whole * size
+            left[s] = []
             for b in order:
                 if sums[s][b] > rest:
-                    if rest > 0:
-                        edges.append((s, b, int(rest)))
-                    break
-                if rest > 0:
+                    left[s].append(b)
+                elif rest > 0:
                     taken.append(b)
                     rest -= sums[s][b]
+            room[s] = int(rest)
             units[s] = taken
-        # The block cut short is a unit of its own, dealt last.
-        cut = {s: b for s, b, _ in edges}
-        dealt = {s: units[s] + ([cut[s]] if s in cut else []) for s in names}
+        filled = self._fill(placed, left, room, least)
+        # A source's single documents are a unit of their own, dealt last.
+        cut = {s for s, _ in filled}
+        dealt = {s: [*units[s], -1] if s in cut else units[s] for s in names}
         share = split(np.array([len(dealt[s]) for s in names]), shards, seed)
         where: dict[tuple[str, int], list[int]] = {}
         short: dict[str, int] = {}
@@ -144,11 +151,24 @@ class Plan:
                     where.setdefault((s, dealt[s][unit]), []).append(place)
         held = [(s, b, sorted(w)) for (s, b), w in where.items()]
         self.blocks = small(spark.createDataFrame(held, "source string, block long, shards array<int>"), len(held))
-        cuts = small(spark.createDataFrame([(s, b, n, short[s]) for s, b, n in edges], "source string, block long, room long, shard int"), len(edges))
-        inside = placed.join(cuts, ["source", "block"])
-        units_ = inside.groupBy("source", "room", "shard", "h").agg(F.sum("size").alias("size"))
-        extra = scratch(units_.groupBy("source").applyInPandas(_fitting, "source string, h long, shard int"), "extra")
-        self.extra = small(extra, extra.count())
+        self.extra = small(spark.createDataFrame([(s, h, short[s]) for s, h in filled], "source string, h long, shard int"), len(filled))
+
+    def _fill(self, placed: DataFrame, left: dict[str, list[int]], room: dict[str, int], least: dict[str, dict[int, int]]) -> list[tuple[str, int]]:
+        """(source, h) of the documents that fill the room; no more than about a block's in a source."""
+        spark, out, many = placed.sparkSession, [], 1
+        while True:
+            left = {s: [b for b in blocks if (least[s][b] or room[s] + 1) <= room[s]] for s, blocks in left.items()}
+            held = [(s, b, i, room[s]) for s, blocks in left.items() for i, b in enumerate(blocks[:many])]
+            if not held:
+                return out
+            these = small(spark.createDataFrame(held, "source string, block long, place int, room long"), len(held))
+            units = placed.join(these, ["source", "block"]).groupBy("source", "room", "place", "h").agg(F.sum("size").alias("size"))
+            fits = units.where("size > 0 and size <= room").groupBy("source").applyInPandas(_fitting, "source string, h long, size long")
+            for s, h, n in sorted(tuple(r) for r in fits.collect()):
+                out.append((s, h))
+                room[s] -= n
+            left = {s: blocks[many:] for s, blocks in left.items()}
+            many *= 4
 
     def of(self, rows: DataFrame) -> DataFrame:
         """rows (source, h, ...) with source_size, target and the list of shards each goes to."""
@@ -160,13 +180,13 @@ class Plan:
 
 
 def _fitting(rows):
-    """Of a source's cut block, the units that fit one after the other, in the order of their hash."""
-    rows = rows.sort_values("h", kind="stable")
+    """Of a source's units, those that fit one after the other, in the order of their blocks and hashes."""
+    rows = rows.sort_values(["place", "h"], kind="stable")
     room, took = int(rows["room"].iloc[0]) if len(rows) else 0, []
     for n in rows["size"].tolist():
         took.append(n <= room)
         room -= n if took[-1] else 0
-    return rows.loc[np.array(took, bool), ["source", "h", "shard"]]
+    return rows.loc[np.array(took, bool), ["source", "h", "size"]]
 
 
 def plan(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

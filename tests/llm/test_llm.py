@@ -513,6 +513,19 @@ def test_mixing(spark, docs):
     assert (other.sort_values("doc_id")["taken"].to_numpy() == got.sort_values("doc_id")["taken"].to_numpy()).all()
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mixing_fills_up_beside_a_giant(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, prose(rng, rng.randint(5, 90)), "en", "abc"[i % 3], 0) for i in range(900)]
+    rows += [(1000 + k, prose(rng, 9000), "en", s, 0) for k, s in enumerate("abc")]
+    got = mvh_mixing.plan(spark.createDataFrame(rows, SCHEMA), weights=(1.0, 1.7, 1.5), seed=seed).drop("shards").toPandas()
+    got["source"] = got["doc_id"].map({i: s for i, _, _, s, _ in rows})
+    for _, g in got.groupby("source"):
+        times = g["taken"] // g["size"]
+        left = g[times == times.min()]["size"].min()
+        assert 0 <= g["target"].iloc[0] - g["taken"].sum() < left + 1
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mvh_mixing.plan(odd).collect()
     assert len(got) == 7 and len({r["taken"] for r in got if r["doc_id"] == 1}) == 1
