@@ -90,6 +90,10 @@ def _hash(docs: DataFrame, key: str, seed: int) -> Column:
     return F.xxhash64(docs[key], F.lit(seed))
 
 
+def _size() -> Column:
+    return F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long")
+
+
 def _block(blocks: Column) -> Column:
     return F.pmod(F.shiftrightunsigned(F.col("h"), 7), blocks)
 
@@ -100,7 +104,7 @@ class Plan:
     def __init__(self, docs: DataFrame, key: str = "doc_id", weights=WEIGHTS, shards: int = SHARDS, seed: int = SEED):
         spark = docs.sparkSession
         self.key, self.seed, self.shards = key, seed, shards
-        rows = docs.select(docs[key].alias("key"), _source(docs).alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), _hash(docs, key, seed).alias("h"))
+        rows = docs.select(docs[key].alias("key"), _source(docs).alias("source"), _size().alias("size"), _hash(docs, key, seed).alias("h"))
         self.sizes = scratch(rows, "sizes")
         totals = sorted(tuple(r) for r in self.sizes.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect())
         names = [s for s, _, _ in totals]
@@ -198,10 +202,30 @@ def plan(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
 def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mixed documents, a row for each time one is taken, shard by shard, in mixed order; all columns."""
-    made = Plan(docs, key, **options)
-    rows = docs.select(whole(docs).alias("row"), _source(docs).alias("source"), _hash(docs, key, made.seed).alias("h"))
+    return _mixed(docs, Plan(docs, key, **options))
+
+
+def _mixed(docs: DataFrame, made: Plan) -> DataFrame:
+    rows = docs.select(whole(docs).alias("row"), _source(docs).alias("source"), _hash(docs, made.key, made.seed).alias("h"))
     each = made.of(rows).select("row", "h", F.posexplode("shards").alias("copy", "shard"))
     each = each.withColumn("order", F.xxhash64("h", "copy", F.lit(made.seed)))
     # A shard is a run of the order (shard, order); range partitioning splits a shard that outgrows a task.
     sorted_ = each.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order")
     return sorted_.select(parts(docs.columns))
+
+
+def report(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """As `plan` without the shards, but the documents are mixed and written, and taken is counted in what was written."""
+    made = Plan(docs, key, **options)
+    return counted(made, scratch(_mixed(docs, made), "mixed"))
+
+
+def counted(made: Plan, written: DataFrame) -> DataFrame:
+    """One row per document: key, size, source_size, target, and taken, the words of it that are in written."""
+    same = ["source", "h", "size"]
+    rows = written.select(_source(written).alias("source"), _hash(written, made.key, made.seed).alias("h"), _size().alias("size"))
+    n = rows.groupBy(same).agg(F.count(F.lit(1)).alias("n"))
+    # Rows that are the same in key, source and size share what was written of them.
+    times = made.sizes.groupBy(same).agg(F.count(F.lit(1)).alias("m")).join(n, same).selectExpr(*same, "size * n div m as taken")
+    out = made.sizes.join(times, same, "left").join(made.sources, "source")
+    return out.select(F.col("key").alias(made.key), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))

@@ -64,7 +64,7 @@ def op7_fertility_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mvh_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mvh_mixing.plan(table(spark, sf_dir, "documents")).drop("shards")
+    return mvh_mixing.report(table(spark, sf_dir, "documents"))
 
 
 def op9_cross_parse_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

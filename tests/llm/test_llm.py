@@ -526,6 +526,22 @@ def test_mixing_fills_up_beside_a_giant(spark, seed):
         assert 0 <= g["target"].iloc[0] - g["taken"].sum() < left + 1
 
 
+def test_mixing_is_reported_from_what_is_written(spark, docs, odd, monkeypatch):
+    for df in (docs, odd):
+        want = sorted(map(repr, mvh_mixing.plan(df).drop("shards").collect()))
+        assert sorted(map(repr, mvh_mixing.report(df).collect())) == want
+    made = mvh_mixing.Plan(docs)
+    written = mvh_mixing.mix(docs)
+    lost = written.where("size(split(text, ' ')) > 1").first()["doc_id"]
+    got = {r["doc_id"]: r["taken"] for r in mvh_mixing.counted(made, written.where(F.col("doc_id") != lost)).collect()}
+    assert got[lost] == 0 and sum(got.values()) > 0
+    # the query itself must see a row lost by the writing
+    real = mvh_mixing._mixed
+    monkeypatch.setattr(mvh_mixing, "_mixed", lambda d, m: real(d, m).where(F.col("doc_id") != lost))
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    assert {r["doc_id"]: r["taken"] for r in queries.op8_mvh_mixing(spark, "").collect()}[lost] == 0
+
+
 def test_mixing_odd_rows(spark, odd):
     got = mvh_mixing.plan(odd).collect()
     assert len(got) == 7 and len({r["taken"] for r in got if r["doc_id"] == 1}) == 1
