@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import blocks, parts, text_or_empty, whole
-from .textblock import TextBlock, repeats
+from .textblock import TextBlock, mix, repeats
 from .wordcache import WordCache, only
 
 SCHEMA = (
@@ -105,17 +105,23 @@ class Vocabulary:
 
     def encode(self, block: TextBlock, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all words in order, number of pieces of each word)."""
+        check = block.word_hashes(1)
         distinct, first, which = np.unique(words, return_index=True, return_inverse=True)
-        missing = self.known.missing(distinct)
-        if missing.any():
-            at, raw = first[missing], block.data.tobytes()
+        if (check != check[first][which]).any():  # two words with one hash: both hashes tell them apart
+            distinct, first, which = np.unique(words + mix(check), return_index=True, return_inverse=True)
+        raw = block.data.tobytes()
+
+        def learn(new):
+            at = first[new]
             texts = [raw[s:e].decode("utf-8", "replace") for s, e in zip(block.starts[at].tolist(), block.ends[at].tolist())]
             ids = self.model.encode(texts, num_threads=1)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.add(distinct[missing], size, np.fromiter((x for one in ids for x in one), np.int64, size.sum()))
-        begin, n = self.known.sizes(distinct, which)
+            return size, np.fromiter((x for one in ids for x in one), np.int32, size.sum())
+
+        begin, size, flat = self.known.pieces(distinct, check[first], learn)
+        begin, n = begin[which], size[which]
         to = np.cumsum(n)
-        return self.known.flat[np.arange(n.sum()) + np.repeat(begin - (to - n), n)], n
+        return flat[np.arange(n.sum()) + np.repeat(begin - (to - n), n)], n
 
 
 def measure_block(block: TextBlock, vocabulary: Vocabulary, bands: Bands) -> dict[str, np.ndarray]:
@@ -127,7 +133,7 @@ def measure_block(block: TextBlock, vocabulary: Vocabulary, bands: Bands) -> dic
     start, end, doc = block.lines()
     with_word = np.searchsorted(block.starts, end) > np.searchsorted(block.starts, start)
     start, end, doc = start[with_word], end[with_word], doc[with_word]
-    _, number = repeats(doc, block.bytes_hash.ranges(start, end))
+    _, number = repeats(doc, block.hashes(start, end))
     n_dup_lines = np.bincount(doc[number > 0], minlength=block.n_docs)
 
     at, key = block.grams(words, 3)

@@ -54,11 +54,11 @@ def features(column) -> tuple[np.ndarray, np.ndarray]:
     block = TextBlock(column, _NO_WORD)
     block.data = _LOWER[block.data]
     start, end = block.starts, block.ends
-    held = [block.bytes_hash.ranges(start, end)]
+    held = [block.hashes(start, end)]
     doc = [block.doc_of_word]
     for k in BEGINNINGS:
         long = end - start > k
-        held.append(block.bytes_hash.ranges(start[long], start[long] + k) ^ np.uint64(k))
+        held.append(block.hashes(start[long], start[long] + k, k))
         doc.append(block.doc_of_word[long])
     pair = (np.concatenate(doc).astype(np.int64) << BITS) | (np.concatenate(held) >> np.uint64(64 - BITS)).astype(np.int64)
     pair = np.unique(pair)

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import blocks, fresh, numbered, scratch, text_or_empty
 from .components import components
-from .textblock import WORD_BASE, Prefix, TextBlock, mix, repeats
+from .textblock import TextBlock, mix, repeats, summed
 
 SHINGLE, SIMILARITY = 5, 0.8
 FUNCTIONS, ROWS, PICKED = 32, 2, 2
@@ -50,7 +50,6 @@ CENTRES = 2
 #: Members, and shingles, of a chunk.
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
 _FACTORS = np.random.default_rng(20_240_229).integers(1 << 62, 1 << 63, FUNCTIONS, np.uint64) | np.uint64(1)
-_SECOND_BASE = 0xA24BAED4963EE407 | 1
 
 
 def labelled(block: TextBlock, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +96,7 @@ def _sketch(batches):
         count[doc] = keys.shape[1]
         bands = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), pa.array(keys.ravel().view(np.int64)))
         n = np.maximum(block.n_words - SHINGLE + 1, 0).astype(np.int32)
-        one, two = (Prefix(words, base).ranges(a, b).view(np.int64) for base in (WORD_BASE, _SECOND_BASE))
+        one, two = (summed(block.word_hashes(seed), a, b - a, seed).view(np.int64) for seed in (0, 1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(one), pa.array(two), pa.array(n), bands], names=["row", "one", "two", "n", "bands"])
 
 

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .common import blocks, numbered, scratch
-from .textblock import WORD_BASE, Prefix, TextBlock, mix
+from .textblock import TextBlock, mix, summed
 
 WINDOW, GRAM = 20, 8
 
@@ -91,7 +91,7 @@ def _occurrences(plane):
             edge = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1)))
             end = np.append(edge[1:], len(first))
             start, last = first[edge], first[end - 1] + WINDOW
-            spanned = Prefix(words, WORD_BASE).ranges(start, last)
+            spanned = summed(words, start, last - start)
             held = mix(spanned + (place[edge] - start).astype(np.uint64))
             doc = block.doc_of_word[start]
             ids = batch.column(0).to_numpy(zero_copy_only=False)[doc]

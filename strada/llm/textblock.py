@@ -1,8 +1,10 @@
 """Words, lines and shingles of many texts at once, as numpy arrays.
 
-A block is the concatenated UTF-8 of some texts. Every hash is a difference of
-prefix sums of byte (or word) values times powers of an odd base modulo 2**64,
-shifted back to the origin and mixed; so no loop runs over texts or words.
+A block is the concatenated UTF-8 of some texts. No hash here is a polynomial, whose
+collisions are known for any modulus 2**64 and base (Thue-Morse words): bytes are taken
+eight at a time, each group is mixed with its place by a bijection that isn't linear, and
+the mixed groups are summed; rows of words are hashed as a tree, mixing at every level.
+No loop runs over texts or words.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ import numpy as np
 
 from .common import text_offsets
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
+_LEFT = np.uint64(0xC2B2AE3D27D4EB4F)
+#: Of a group of up to eight bytes, those that belong to it.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @lru_cache
@@ -25,20 +29,6 @@ def _table(separators: bytes) -> np.ndarray:
     return out
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of base and of its inverse, modulo 2**64."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            made.append(np.cumprod(p, dtype=np.uint64))
-        have = _POWERS[base] = (made[0], made[1])
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -49,18 +39,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Prefix:
-    """Hashes of any range of a sequence of values."""
+def summed(values: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The hash of each run values[begin : begin + size], of values that are hashes; runs may overlap."""
+    out = np.zeros(len(begin), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        n = size[some].astype(np.int64)
+        to = np.cumsum(n)
+        place = np.arange(to[-1]) - np.repeat(to - n, n)
+        mixed = mix(values[place + np.repeat(begin[some], n)] ^ mix((place + (seed << 40)).astype(np.uint64) * _PLACE + _LEFT))
+        out[some] = np.add.reduceat(mixed, to - n)
+    return mix(out + (size.astype(np.uint64) + np.uint64(1)) * _LENGTH)
 
-    def __init__(self, values: np.ndarray, base: int):
-        self.base = base
-        forth, self.back = powers(base, len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * forth[: len(values)], out=self.sums[1:])
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def rows_of(values: np.ndarray, k: int) -> np.ndarray:
+    """The hash of each k values in a row: of 1, 2, 4 ... by joining two neighbours."""
+    held, have = mix(values + _PLACE), 1
+    while have < k:
+        step = min(have, k - have)
+        held = mix(mix(held[: len(held) - step] * _LEFT + np.uint64(have)) + held[step:])
+        have += step
+    return held
 
 
 class TextBlock:
@@ -81,7 +80,7 @@ class TextBlock:
             end[last] |= ~self.space[last]
         self.starts = np.flatnonzero(start)
         self.ends = np.flatnonzero(end) + 1
-        self._bytes = None
+        self._groups = None
         self._count()
 
     def _count(self) -> None:
@@ -96,14 +95,26 @@ class TextBlock:
         self.ends = np.sort(np.concatenate([self.ends, at]))
         self._count()
 
-    @property
-    def bytes_hash(self) -> Prefix:
-        if self._bytes is None:
-            self._bytes = Prefix(self.data, _BASE)
-        return self._bytes
-
-    def word_hashes(self) -> np.ndarray:
-        return self.bytes_hash.ranges(self.starts, self.ends)
+    def hashes(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+        """The hash of each range of bytes. Two seeds give hashes that are independent of each other."""
+        if self._groups is None:
+            padded = np.append(self.data, np.zeros(8, np.uint8))
+            self._groups = np.ndarray((len(self.data) + 1,), "<u8", padded, strides=(1,))
+        size = end - start
+        place = _PLACE if not seed else mix(np.array([seed], np.uint64))[0] | np.uint64(1)
+        out = mix((self._groups[start] & _MASK[np.minimum(size, 8)]) + place)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            n = (size[long] - 1) >> 3
+            to = np.cumsum(n)
+            number = np.arange(1, to[-1] + 1) - np.repeat(to - n, n)
+            at = np.repeat(start[long], n) + 8 * number
+            group = self._groups[at] & _MASK[np.minimum(np.repeat(end[long], n) - at, 8)]
+            out[long] += np.add.reduceat(mix(group + mix(number.astype(np.uint64) * place)), to - n)
+        return mix(out + size.astype(np.uint64) * _LENGTH)
+
+    def word_hashes(self, seed: int = 0) -> np.ndarray:
+        return self.hashes(self.starts, self.ends, seed)
 
     def in_docs(self, mask: np.ndarray) -> np.ndarray:
         """How many of the marked bytes each document has."""
@@ -120,8 +131,10 @@ class TextBlock:
     def grams(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first word, hash) of each k words in a row of one document."""
         at = np.arange(max(0, len(words) - k + 1))
-        at = at[self.doc_of_word[at] == self.doc_of_word[at + k - 1]] if len(at) else at
-        return at, Prefix(words, WORD_BASE).ranges(at, at + k)
+        if not len(at):
+            return at, np.zeros(0, np.uint64)
+        at = at[self.doc_of_word[at] == self.doc_of_word[at + k - 1]]
+        return at, rows_of(words, k)[at]
 
     def lines(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, document) of the \\n-split lines of the texts that aren't empty."""

@@ -78,30 +78,35 @@ class Encoder:
         self.end, self.spaces = end, spaces
         self.known = WordCache()
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        self.known.add(keys, np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)), np.array(got.ids, np.int64))
-
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; where each text begins in them, and the end)."""
         block = TextBlock(column, b" ") if self.spaces else TextBlock(column)
         odd = _odd(block, self.spaces)
         _cut(block)
-        keys = block.word_hashes()
+        keys, checks = block.word_hashes(), block.word_hashes(1)
         head = np.zeros(len(keys), bool)
         if self.spaces:  # what no space stands before
             head = (block.starts == block.offsets[:-1][block.doc_of_word]) | (block.data[block.starts - 1] != 0x20)
             keys = np.where(head, mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5)), keys)
-        own = np.flatnonzero(~odd[block.doc_of_word])
-        keys, doc = keys[own], block.doc_of_word[own]
+            checks = np.where(head, mix(checks), checks)
         distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        missing = self.known.missing(distinct)
-        if missing.any():
-            raw, new = block.data.tobytes(), own[first[missing]]
-            before = np.where(head[new], "", " ") if self.spaces else np.full(len(new), "")
-            words = [b + raw[s:e].decode() for b, s, e in zip(before.tolist(), block.starts[new].tolist(), block.ends[new].tolist())]
-            self._learn(distinct[missing], words)
-        begin, n = self.known.sizes(distinct, which)
+        odd[block.doc_of_word[checks != checks[first][which]]] = True  # another word has this hash
+        own = np.flatnonzero(~odd[block.doc_of_word])
+        doc = block.doc_of_word[own]
+        if len(own) < len(keys):
+            distinct, first, which = np.unique(keys[own], return_index=True, return_inverse=True)
+            first = own[first]
+        raw = block.data.tobytes()
+
+        def learn(new):
+            at = first[new]
+            before = np.where(head[at], "", " ") if self.spaces else np.full(len(at), "")
+            words = [b + raw[s:e].decode() for b, s, e in zip(before.tolist(), block.starts[at].tolist(), block.ends[at].tolist())]
+            got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+            return np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)), np.array(got.ids, np.int32)
+
+        begin, n, flat = self.known.pieces(distinct, checks[first], learn)
+        begin, n = begin[which], n[which]
         sizes = np.bincount(doc, weights=n, minlength=block.n_docs).astype(np.int64) + 1
         whole = {}
         for d in np.flatnonzero(odd).tolist():
@@ -114,7 +119,7 @@ class Encoder:
         before = np.concatenate([[0], np.cumsum(n)])
         in_doc = before[:-1] - before[np.searchsorted(doc, doc)]
         step = np.arange(before[-1]) - np.repeat(before[:-1], n)
-        out[np.repeat(offsets[doc] + in_doc, n) + step] = self.known.flat[np.repeat(begin, n) + step]
+        out[np.repeat(offsets[doc] + in_doc, n) + step] = flat[np.repeat(begin, n) + step]
         for d, ids in whole.items():
             out[offsets[d] : offsets[d + 1] - 1] = ids
         return out, offsets

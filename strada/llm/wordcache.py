@@ -1,4 +1,4 @@
-"""What a Python worker keeps between tasks: one operator's model, and pieces of words in flat arrays."""
+"""What a Python worker keeps between tasks: one operator's model, and pieces of words in arrays of fixed size."""
 
 from __future__ import annotations
 
@@ -17,58 +17,53 @@ def only(key: tuple, make: Callable[[], object]):
     return _HELD[key]
 
 
+def forget() -> None:
+    """Let go what an operator before this one left in the worker."""
+    _HELD.clear()
+
+
 class WordCache:
-    """Pieces by the word's 64-bit hash, about 35 bytes a word; emptied when it is full.
+    """Pieces of words met before: a table of SLOTS places of 41 bytes, never more.
 
-    Keys are in two sorted arrays, an old long one and a short one of those that came since, which is
-    merged into the old one when it has grown to a quarter of it.
+    A word has one place, told by its hash, and takes it from the word that was there. Two hashes
+    of 64 bits, independent of each other, must agree. Words of more than WIDTH pieces are not kept.
     """
 
-    MOST = 1_500_000
+    SLOTS, WIDTH = 1 << 19, 6
 
     def __init__(self) -> None:
-        self.clear()
-
-    def clear(self) -> None:
-        self.old = self.new = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        self.begin = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.int32)
-
-    def _numbers(self, distinct: np.ndarray) -> np.ndarray:
-        """The words' numbers, -1 for those not known."""
-        out = np.full(len(distinct), -1, np.int32)
-        for keys, numbers in (self.old, self.new):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
-                same = keys[at] == distinct
-                out[same] = numbers[at[same]]
-        return out
-
-    def missing(self, distinct: np.ndarray) -> np.ndarray:
-        """Which of these hashes, distinct and in order, are not known."""
-        if len(self.size) > self.MOST:
-            self.clear()
-        return self._numbers(distinct) < 0
-
-    @staticmethod
-    def _merged(a, b):
-        keys = np.concatenate([a[0], b[0]])
-        order = np.argsort(keys, kind="stable")
-        return keys[order], np.concatenate([a[1], b[1]])[order]
-
-    def add(self, keys: np.ndarray, size: np.ndarray, pieces: np.ndarray) -> None:
-        """New words, whose hashes are in order."""
-        numbers = np.arange(len(self.size), len(self.size) + len(keys), dtype=np.int32)
-        self.new = self._merged(self.new, (keys, numbers))
-        if len(self.new[0]) > max(50_000, len(self.old[0]) // 4):
-            self.old, self.new = self._merged(self.old, self.new), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
-        begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
-        self.begin = np.concatenate([self.begin, begin])
-        self.size = np.concatenate([self.size, size.astype(np.int32)])
-        self.flat = np.concatenate([self.flat, pieces.astype(np.int32)])
-
-    def sizes(self, distinct: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of each word's pieces, their number) for words given by their index in distinct."""
-        number = self._numbers(distinct)[which]
-        return self.begin[number], self.size[number].astype(np.int64)
+        self.key = np.zeros(self.SLOTS, np.uint64)
+        self.check = np.zeros(self.SLOTS, np.uint64)
+        self.size = np.zeros(self.SLOTS, np.int8)
+        self.held = np.zeros((self.SLOTS, self.WIDTH), np.int32)
+
+    def pieces(self, key: np.ndarray, check: np.ndarray, learn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
+        """(place of each word's pieces, their number, pieces) of distinct words. `learn` gives (numbers, pieces) of those at some indices."""
+        slot = (key & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        known = (self.key[slot] == key) & (self.check[slot] == check) & (self.size[slot] > 0)
+        size = np.where(known, self.size[slot], 0).astype(np.int64)
+        new = np.flatnonzero(~known)
+        flat = np.zeros(0, np.int32)
+        if len(new):
+            own, flat = learn(new)
+            flat = flat.astype(np.int32, copy=False)
+            size[new] = own
+        old = np.flatnonzero(known)
+        begin = np.zeros(len(key), np.int64)
+        to = np.cumsum(size[new])
+        begin[new] = to - size[new]
+        before = np.cumsum(size[old])
+        begin[old] = len(flat) + before - size[old]
+        kept = self.held[slot[old]][np.arange(self.WIDTH) < size[old][:, None]]
+        out = np.concatenate([flat, kept])
+        fits = new[(size[new] > 0) & (size[new] <= self.WIDTH)]
+        if len(fits):
+            # of new words with one place the last stays; all arrays are set for the same one
+            fits = fits[np.unique(slot[fits][::-1], return_index=True)[1] * -1 + len(fits) - 1]
+            at = slot[fits]
+            self.key[at], self.check[at], self.size[at] = key[fits], check[fits], size[fits]
+            inside = np.arange(self.WIDTH) < size[fits][:, None]
+            rows = np.zeros((len(fits), self.WIDTH), np.int32)
+            rows[inside] = out[(begin[fits][:, None] + np.arange(self.WIDTH))[inside]]
+            self.held[at] = rows
+        return begin, size, out

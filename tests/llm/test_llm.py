@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from strada.llm import bloom, cross_parse_langid, drr_packing, exact_dedup, fertility_quality, mvh_mixing, nnpu_toxicity, omh_dedup, pii_sanitise, queries, rlz_substring, sst_tokens
 from strada.llm.components import components
-from strada.llm.textblock import TextBlock
+from strada.llm.textblock import TextBlock, summed
+from strada.llm.textblock import mix as mixed
 from strada.llm.tokenise import Encoder
+from strada.llm.wordcache import WordCache
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"{a}{b}" for a in ("ka", "lo", "mi", "ren", "su", "tal") for b in ("do", "vi", "nek", "ru", "sha", "po", "gi")]
@@ -651,6 +653,74 @@ def test_words_of_blocks():
     assert (sliced.word_hashes() == block.word_hashes()).all()
 
 
+def thue_morse(n, a, b, sep=""):
+    return sep.join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+TWINS = [thue_morse(n, x, y) for n in (1024, 2048, 4096) for x, y in ("ab", "ba")]
+
+
+def test_words_whose_polynomial_hashes_agree_are_told_apart():
+    block = TextBlock(pa.array([" ".join(TWINS)]))
+    for seed in (0, 1):
+        assert len(set(block.word_hashes(seed).tolist())) == len(TWINS)
+    assert not set(block.word_hashes(0).tolist()) & set(block.word_hashes(1).tolist())
+    rows = TextBlock(pa.array([thue_morse(2048, *p, sep=" ") for p in (("ka", "lo"), ("lo", "ka"))]))
+    w = rows.word_hashes()
+    assert len(set(summed(w, rows.first_word[:-1], rows.n_words).tolist())) == 2
+    at, grams = rows.grams(w, 1024)
+    assert len(set(grams.tolist())) == len({tuple(w[a : a + 1024].tolist()) for a in at})
+
+
+@pytest.mark.parametrize("vocabulary", [queries.byte_bpe(), queries.word_bpe()])
+def test_words_whose_polynomial_hashes_agree_get_their_own_ids(vocabulary):
+    made = Encoder(vocabulary.path, vocabulary.end, vocabulary.spaces)
+    texts = [*TWINS, " ".join(TWINS), *TWINS[::-1]]
+    ids, at = made.encode(pa.array(texts))
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == made.library.encode(t, add_special_tokens=False).ids + [vocabulary.end]
+
+
+def test_words_that_agree_in_one_hash_are_encoded_by_the_library(monkeypatch):
+    real = TextBlock.word_hashes
+    monkeypatch.setattr(TextBlock, "word_hashes", lambda self, seed=0: real(self, seed) if seed else real(self, 0) % np.uint64(50))
+    for vocabulary in (queries.byte_bpe(), queries.word_bpe()):
+        made = Encoder(vocabulary.path, vocabulary.end, vocabulary.spaces)
+        texts = [t or "" for _, t, *_ in corpus()]
+        for _ in range(2):
+            ids, at = made.encode(pa.array(texts))
+            for k, t in enumerate(texts):
+                assert ids[at[k] : at[k + 1]].tolist() == made.library.encode(t, add_special_tokens=False).ids + [vocabulary.end]
+
+
+def test_word_cache_is_of_fixed_size(monkeypatch):
+    monkeypatch.setattr(WordCache, "SLOTS", 8)
+    cache, rng = WordCache(), np.random.default_rng(1)
+    pieces = {int(k): rng.integers(0, 9, rng.integers(0, 9)) for k in rng.integers(1, 1 << 62, 300)}
+    for _ in range(50):
+        keys = rng.choice(list(pieces), 20, replace=False).astype(np.uint64)
+
+        def learn(new):
+            held = [pieces[int(k)] for k in keys[new]]
+            return np.array([len(h) for h in held]), np.concatenate([*held, []]).astype(np.int64)
+
+        begin, size, flat = cache.pieces(keys, mixed(keys), learn)
+        assert [flat[b : b + n].tolist() for b, n in zip(begin, size)] == [pieces[int(k)].tolist() for k in keys]
+
+
+def test_substrings_and_copies_of_words_whose_polynomial_hashes_agree(spark):
+    rng = random.Random(31)
+    base = prose(rng, 60).split()
+    other = [TWINS[1] if w == base[30] else w for w in base]
+    base = [TWINS[0] if w == base[30] else w for w in base]
+    rows = [" ".join(base), " ".join(other), *[thue_morse(2048, *p, sep=" ") for p in (("ka", "lo"), ("lo", "ka"))]]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(rows)], SCHEMA)
+    assert {r["doc_id"]: tuple(r)[1:] for r in rlz_substring.remove(df).collect()} == without_repeats(dict(enumerate(rows)))
+    assert all(r["copy_of"] == r["doc_id"] for r in omh_dedup.classes(df).collect())
+    got = {r["doc_id"]: tuple(r)[1:7] for r in fertility_quality.measure(df, MODEL).collect()}
+    assert got == {i: rules(t) for i, t in enumerate(rows)}
+
+
 def test_pipeline_keeps_columns_and_is_whole(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(21)
