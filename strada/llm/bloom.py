@@ -13,8 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .wordcache import forget
+
 BLOCK_BITS = 1 << 16
 SLOTS = 2
+TAKEN = 1 << 20
 #: The filter never exceeds this, whatever the corpus; a fuller filter lets more rows
 #: through to the exact pass and changes no result.
 MOST_BITS = 1 << 29
@@ -56,19 +59,31 @@ def _per_block(positions: np.ndarray) -> dict[int, bytes]:
     return {int(p[0] // BLOCK_BITS): _pack(p % BLOCK_BITS) for p in parts}
 
 
+def _taken(batches):
+    """The hashes of a task, some TAKEN at a time: blocks of a task merge as those of two tasks do."""
+    forget()
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64))
+        n += len(held[-1])
+        if n >= TAKEN:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
 def _build(bits: int):
     def run(batches):
-        taken = [b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) for b in batches if b.num_rows]
-        if not taken:
-            return
-        distinct, count = np.unique(np.concatenate(taken), return_counts=True)
-        once = _per_block(np.concatenate(slots(distinct, bits)))
-        twice = distinct[count > 1]
-        more = _per_block(np.concatenate(slots(twice, bits)))
-        names = list(once)
-        for at in range(0, len(names), 512):
-            some = names[at : at + 512]
-            yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int32()), "once": [once[b] for b in some], "more": pa.array([more.get(b) for b in some], pa.binary())})
+        for taken in _taken(batches):
+            distinct, count = np.unique(taken, return_counts=True)
+            once = _per_block(np.concatenate(slots(distinct, bits)))
+            twice = distinct[count > 1]
+            more = _per_block(np.concatenate(slots(twice, bits)))
+            names = list(once)
+            for at in range(0, len(names), 512):
+                some = names[at : at + 512]
+                yield pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int32()), "once": [once[b] for b in some], "more": pa.array([more.get(b) for b in some], pa.binary())})
 
     return run
 
@@ -93,9 +108,8 @@ def repeated(hashes: DataFrame, bits: int):
 
 def _set(bits: int):
     def run(batches):
-        taken = [b.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) for b in batches if b.num_rows]
-        if taken:
-            own = _per_block(np.concatenate(slots(np.concatenate(taken), bits)))
+        for taken in _taken(batches):
+            own = _per_block(np.concatenate(slots(taken, bits)))
             yield pa.RecordBatch.from_pydict({"block": pa.array(list(own), pa.int32()), "plane": list(own.values())})
 
     return run

@@ -39,9 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import blocks, fresh, numbered, scratch, text_or_empty
+from .common import blocks, fresh, numbered, release, scratch, text_or_empty
 from .components import components
 from .textblock import TextBlock, mix, repeats, summed
+from .wordcache import forget
 
 SHINGLE, SIMILARITY = 5, 0.8
 FUNCTIONS, ROWS, PICKED = 32, 2, 2
@@ -83,6 +84,7 @@ def samples(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(batches):
+    forget()
     for batch in blocks(batches):
         block = TextBlock(batch.column(1))
         words = block.word_hashes()
@@ -102,6 +104,7 @@ def _sketch(batches):
 
 def _contents(plane):
     def run(batches):
+        forget()
         for batch in blocks(batches):
             held = bloom.holds(plane.value, mix(batch.column(0).to_numpy().astype(np.uint64)))
             batch = batch.filter(pa.array(held))
@@ -110,7 +113,7 @@ def _contents(plane):
             block = TextBlock(batch.column(1))
             doc, key = labelled(block, block.word_hashes())
             offsets = np.append(0, np.cumsum(np.bincount(doc, minlength=block.n_docs)))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(key.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["row", "shingles"])
 
     return run
@@ -132,7 +135,9 @@ def aligned(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _verify(batches):
+    forget()
     for batch in batches:
+        release()
         a, b = batch.column(2), batch.column(3)
         good = []
         for k in range(batch.num_rows):
@@ -188,7 +193,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.xxhash64("band").alias("x")).where("k > 1")
     candidates = scratch(members.withColumn("x", F.xxhash64("band")).join(shared.select("band", "x"), ["band", "x"], "left_semi").select("row").distinct(), "candidates")
     plane = bloom.members(candidates.select("row").mapInArrow(_mixed, "h long"), bloom.bits_for(candidates.count()))
-    contents = scratch(rows.select("row", "text").mapInArrow(_contents(plane), "row long, shingles array<int>"), "contents")
+    contents = scratch(rows.select("row", "text").mapInArrow(_contents(plane), "row long, shingles array<long>"), "contents")
 
     links = _linked(first_pairs, contents)
     labels = components(links)
@@ -228,6 +233,8 @@ def _joining(members: DataFrame, labels: DataFrame, contents: DataFrame) -> Data
 
 def _compare(key, table):
     """Links between two chunks, or within one, that join classes not joined before."""
+    forget()
+    release()
     _, i, main, j = (k.as_py() for k in key)
     row, label, at = (table.column(c).to_numpy() for c in ("row", "label", "at"))
     lists = table.column("shingles").combine_chunks()
