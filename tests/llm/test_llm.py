@@ -574,6 +574,51 @@ def test_parse_against_brute_force():
         assert got[0, k] == n
 
 
+def parsed(classes, labelled):
+    """Phrases of a sequence of symbols, cut at every SEGMENT."""
+    joined, n = "".join(map(chr, labelled)), 0
+    for cut in range(0, len(classes), cross_parse_langid.SEGMENT):
+        part = "".join(map(chr, classes[cut : cut + cross_parse_langid.SEGMENT]))
+        at = 0
+        while at < len(part):
+            long = 0
+            while at + long < len(part) and part[at : at + long + 1] in joined:
+                long += 1
+            at += max(1, long)
+            n += 1
+    return n
+
+
+@pytest.mark.parametrize("letters", [26, 3000])
+def test_long_parses_and_large_alphabets_against_brute_force(letters):
+    rng = random.Random(letters)
+    some = [chr((0x61 if letters == 26 else 0x4E00) + k) for k in range(letters)]
+    stock = {k: [rng.choice(some) + "".join(rng.choice(some[:9]) for _ in range(4)) for _ in range(40)] for k in "ab"}
+    texts = {k: " ".join(rng.choice(stock[k]) for _ in range(500)) for k in "ab"}
+    model = cross_parse_langid.Model(texts)
+    assert len(model.comb.to) < 4 * sum(map(len, texts.values())) + 4 * (letters + 2)
+    fold = cross_parse_langid._folds()
+    codes = lambda t: model.classes(cross_parse_langid._collapse(fold[[ord(c) for c in t]])).tolist()
+    docs = [" ".join(rng.choice(stock[k] + some) for _ in range(n)) for k, n in (("a", 300), ("b", 90), ("a", 3))]
+    held = [codes(t) for t in docs]
+    offsets = np.append(0, np.cumsum([len(h) for h in held]))
+    got = cross_parse_langid.phrases(model, np.array(sum(held, []), np.int32), offsets)
+    assert len(held[0]) > 2 * cross_parse_langid.SEGMENT
+    assert got.tolist() == [[parsed(h, codes(texts[k])) for k in "ab"] for h in held]
+    names, _ = cross_parse_langid.identify(model, pa.array(docs))
+    bits = [[parsed(h, codes(texts[k])) * np.log2(len(codes(texts[k]))) for k in "ab"] for h in held]
+    assert names == ["ab"[int(np.argmin(b))] for b in bits]
+
+
+def test_labelled_text_is_dealt_in_equal_shares(spark):
+    assert cross_parse_langid.shares([5, 100, 3], 48) == [5, 40, 3] and cross_parse_langid.shares([4, 4], 100) == [4, 4] and cross_parse_langid.shares([], 5) == []
+    long = "b" * 100_000 + "c" * 100_000
+    df = spark.createDataFrame([(0, long, "xa", "s", 0), *[(k, "aa" * 40, "xa", "s", 0) for k in range(1, 6)]], SCHEMA)
+    model = cross_parse_langid.learn(df, F.lit(False), symbols=1000)
+    assert set(map(chr, model.letters)) == {"a", "b", "c"} and 900 < 2 ** model.bits[0] < 1100
+    assert cross_parse_langid.learn(df, F.lit(False), rows=2, symbols=50).bits[0] < 6
+
+
 def test_languages_on_held_out_rows(spark):
     rng = random.Random(13)
     parts = {"xa": ["tho", "ing", "wer", "sha", "ea"], "xb": ["ion", "que", "elle", "é", "aux"], "xc": ["ung", "sch", "ö", "ber", "kei"]}
@@ -602,11 +647,81 @@ def test_served_is_monotone_and_near_its_share():
         t = np.array(totals)
         every = t.sum()
         w = np.arange(-(-every // 64) + 1)
-        a = drr_packing.served(w, t, 64)
+        a = drr_packing.Rounds(t, size=64).served(w)
         assert (np.diff(a, axis=0) >= 0).all() and (a.sum(axis=1) == np.minimum(64 * w, every)).all() and (a[-1] == t).all()
         assert np.abs(a - np.minimum(64 * w, every)[:, None] * t / every).max() < 2 + len(totals) / 8
 
 
+def naive_rounds(totals, rates, size):
+    """Deficit round-robin token by token: the source whose next token is due first is served."""
+    next_, out = [0] * len(totals), [[] for _ in totals]
+    for rank in range(sum(totals)):
+        s = min((s for s in range(len(totals)) if next_[s] < totals[s]), key=lambda s: ((next_[s] + 0.5) / rates[s], s))
+        out[s].append(rank // size)
+        next_[s] += 1
+    return out
+
+
+@pytest.mark.parametrize("totals,rates", [([500, 30, 7], None), ([300, 300, 300], [3.0, 2.0, 1.0]), ([1000, 1, 1, 60], None), ([40, 900], [5.0, 0.01]), ([333], None), ([128, 128], [1.0, 1.0])])
+def test_rounds_against_token_by_token(totals, rates):
+    size = 64
+    rounds = drr_packing.Rounds(np.array(totals), rates, size)
+    want = naive_rounds(totals, [float(t) for t in totals] if rates is None else rates, size)
+    rng = random.Random(7)
+    full, seen = sum(totals) // size, Counter()
+    for s, total in enumerate(totals):
+        cuts = sorted({0, total, *(rng.randrange(total + 1) for _ in range(9))})
+        start, n = np.array(cuts[:-1]), np.diff(cuts)
+        got = [None] * total
+        for some in (slice(None, 4), slice(4, None)):
+            if not len(start[some]):
+                continue
+            for d, at, m, q, o in zip(*(x.tolist() for x in rounds.pieces(s, start[some], n[some]))):
+                for k in range(m):
+                    i = int(start[some][d]) + at + k
+                    assert got[i] is None
+                    got[i] = q
+                    seen[q, o + k] += 1
+        assert [min(q, full) for q in got] == want[s]
+    assert set(seen.values()) == {1}
+    lengths = Counter(q for q, _ in seen)
+    assert all(max(o for r, o in seen if r == q) + 1 == n and (n == size or n & (n - 1) == 0) for q, n in lengths.items())
+
+
+def test_rounds_do_not_grow_with_the_corpus():
+    import tracemalloc
+
+    start, n = np.array([0, 400, 900]) + 10**6, np.array([400, 500, 300])
+    tracemalloc.start()
+    for totals in ([10**13, 10**7, 10**12], [10**7, 10**13], [10**13] * 40):
+        rounds = drr_packing.Rounds(np.array(totals))
+        for s in range(len(totals)):
+            doc, at, length, _, offset = rounds.pieces(s, start, n)
+            assert np.bincount(doc, weights=length).tolist() == n.tolist() and (offset + length <= 2048).all()
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_runs_never_span_a_gap():
+    whose, start, n = np.array([1, 0, 1, 1, 0]), np.array([10, 0, 0, 99, 5]), np.array([5, 5, 10, 1, 2])
+    assert [r.tolist() for r in drr_packing.runs(whose, start, n)] == [[1, 4], [2, 0], [3]]
+
+
+def test_packing_to_targets(spark):
+    rng = random.Random(33)
+    rows = [(f"k{i}", prose(rng, 300), "en", "abc"[i % 3], 0) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA.replace("doc_id long", "doc_id string")).repartition(4)
+    got = drr_packing.pack(df, queries.word_bpe(), targets={"a": 3.0, "b": 1.0}).toPandas()
+    per = got.groupby(["sequence_id", "source"])["length"].sum().unstack(fill_value=0)
+    total = got.groupby("source")["length"].sum()
+    first = per.iloc[: int(total["a"] / (0.75 * (total["a"] + total["b"]) / total.sum() * 2048)) - 1]
+    want = 2048 * (total["a"] + total["b"]) / total.sum()
+    assert len(first) > 5 and ((first["a"] - 0.75 * want).abs() < 3).all() and ((first["b"] - 0.25 * want).abs() < 3).all()
+    assert set(got["doc_id"]) == {r[0] for r in rows}
+    with pytest.raises(ValueError):
+        drr_packing.pack(df, queries.word_bpe(), targets={"a": 0.0})
+
+
 def test_packing_round_trip(spark, docs, odd):
     from tokenizers import Tokenizer
 
