@@ -6,14 +6,18 @@ text holds anywhere; where no match goes on, a phrase ends and the next begins t
 text in the automaton's language needs few phrases. With n labelled symbols a phrase
 costs log2(n) bits, so the language with the lowest phrases * log2(n) / length wins.
 
-The parse only ever follows transitions from the root and restarts at a mismatch, so each
-automaton becomes a table (state, symbol) -> (state, phrase ended) and thousands of
-segments of SEGMENT symbols step through it at once, all languages side by side; phrases
-end at segments' ends too. Every symbol of every text is parsed.
+The parse only ever follows transitions from the root and restarts at a mismatch, so
+thousands of segments of SEGMENT symbols step through the automata at once, all languages side by
+side; phrases end at segments' ends too, in every language alike. Every symbol of every text
+is parsed. All automata's transitions are in one comb: state s goes on with symbol c to `to[base[s] + c]`
+if `owner[base[s] + c]` is s. States' rows overlap where they leave places free, so its size goes with
+the number of transitions, at most three a labelled symbol, and the number of letters is added
+once, not once a state.
 
-Labelled text is a bounded sample: of the training rows of each language the ROWS with
-the smallest hash of their key, up to SYMBOLS symbols in that order. Symbols are letters
-in lower case; any run of other characters is one symbol.
+Labelled text is a bounded sample: of the training rows of each language the `rows` with
+the smallest hash of their key, and of these `symbols` characters, in equal shares: a text longer
+than its share gives PARTS pieces from all along it, a shorter one is taken whole and leaves the
+rest to the others. Symbols are letters in lower case; any run of other characters is one symbol.
 
 Defined results: `und` with score 0 if a text is null, empty or has no letter, or if
 there is nothing to learn from; of equally good languages the first by name; repeated
@@ -31,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, text_offsets, text_or_empty
+from .common import blocks, scratch, small, text_offsets, text_or_empty
 
-ROWS, SYMBOLS, SEGMENT = 40, 24_000, 256
-#: Above the state, an entry has the number of phrases that end.
-_ENDED = 1 << 29
-OTHER, UNKNOWN, PAD = 0, 1, 2
+#: Labelled rows and characters a language; symbols that are parsed in one go; pieces of a long text.
+ROWS, SYMBOLS, SEGMENT, PARTS = 40, 24_000, 256, 4
+OTHER, UNKNOWN = 0, 1
 
 
 @lru_cache(1)
@@ -81,44 +84,74 @@ class Automaton:
             last = now
 
 
+class Comb:
+    """The transitions of automata whose states are numbered through: arrays base, owner and to."""
+
+    def __init__(self, nexts: list[dict[int, int]], width: int):
+        # The first and last `width` places stay empty, as a row is looked up beyond both its ends.
+        free = bytearray(width) + bytearray(b"\1") * (sum(map(len, nexts)) + width)
+        base, at, single = [0] * len(nexts), width, False
+        for s in sorted((s for s, n in enumerate(nexts) if n), key=lambda s: -len(nexts[s])):
+            symbols = sorted(nexts[s])
+            if len(symbols) == 1 and not single:
+                at, single = width, True
+            place = free.find(1, at)
+            if single:
+                at = place
+            else:
+                offsets, tries = [c - symbols[0] for c in symbols[1:]], 0
+                while True:
+                    if place < 0 or place + offsets[-1] >= len(free):
+                        free += bytearray(b"\1") * width
+                        place = max(place, free.find(1, at))
+                    if all(map(free.__getitem__, map(place.__add__, offsets))):
+                        break
+                    place, tries = free.find(1, place + 1), tries + 1
+                if tries > 64:  # what lies before is nearly full; single transitions fill it
+                    at = (at + place) // 2
+            base[s] = place - symbols[0]
+            for c in symbols:
+                free[base[s] + c] = 0
+        size = len(free) + width
+        kind = np.int32 if size < 1 << 31 else np.int64
+        self.base = np.array(base, kind)
+        self.owner, self.to = np.full(size, -1, kind), np.zeros(size, kind)
+        edges = np.array([(s, c, t) for s, n in enumerate(nexts) for c, t in n.items()], np.int64).reshape(-1, 3)
+        place = self.base[edges[:, 0]] + edges[:, 1]
+        self.owner[place], self.to[place] = edges[:, 0], edges[:, 2]
+
+    def go(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether there is a transition, where it leads)."""
+        at = self.base[state] + symbol
+        return self.owner[at] == state, self.to[at]
+
+
 class Model:
-    """All languages' tables in one array; a state is the index of its row's first entry."""
+    """The automata of all languages, their states numbered through."""
 
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         folds = _folds()
-        raw = {k: _collapse(folds[np.frombuffer(texts[k].encode("utf-32-le", "replace"), np.uint32)])[:SYMBOLS] for k in self.languages}
+        raw = {k: _collapse(folds[np.frombuffer(texts[k].encode("utf-32-le", "replace"), np.uint32)]) for k in self.languages}
         letters = np.unique(np.concatenate([*raw.values(), [0]]))
         self.letters = letters[letters > 0]
-        self.width = len(self.letters) + 3
-        tables, self.roots, base = [], [], 0
+        nexts: list[dict[int, int]] = []
+        self.roots = []
         for k in self.languages:
-            machine = Automaton(self.classes(raw[k]).tolist())
-            n = len(machine.next)
-            # A mismatch ends a phrase; a symbol that the labelled text never has is one by itself.
-            root = np.full(self.width, 2 * _ENDED, np.int64)
-            for c, to in machine.next[0].items():
-                root[c] = to * self.width + _ENDED
-            table = np.tile(root, (n, 1))
-            table[0] = _ENDED
-            for s, to in enumerate(machine.next):
-                for c, t in to.items():
-                    table[s, c] = t * self.width
-            table[:, PAD] = np.arange(n) * self.width
-            tables.append((table + base).astype(np.int32).ravel())
-            self.roots.append(base)
-            base += n * self.width
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+            root = len(nexts)
+            self.roots.append(root)
+            nexts += [{c: root + t for c, t in to.items()} for to in Automaton(self.classes(raw[k]).tolist()).next]
+        self.comb = Comb(nexts, len(self.letters) + 2)
         self.bits = np.array([math.log2(max(2, len(raw[k]))) for k in self.languages])
 
     def classes(self, folded: np.ndarray) -> np.ndarray:
-        """0 no letter, 1 a letter not learned, from 3 on the learned letters."""
+        """0 no letter, 1 a letter not learned, from 2 on the learned letters."""
         at = np.searchsorted(self.letters, folded)
         known = self.letters[np.minimum(at, len(self.letters) - 1)] == folded if len(self.letters) else np.zeros(len(folded), bool)
-        return np.where(folded == 0, OTHER, np.where(known, at + 3, UNKNOWN)).astype(np.int32)
+        return np.where(folded == 0, OTHER, np.where(known, at + 2, UNKNOWN)).astype(np.int32)
 
 
-def _collapse(folded: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+def _collapse(folded: np.ndarray) -> np.ndarray:
     """Without the second and further of a run of non-letters."""
     keep = np.ones(len(folded), bool)
     keep[1:] = (folded[1:] > 0) | (folded[:-1] > 0)
@@ -135,16 +168,23 @@ def phrases(model: Model, symbols: np.ndarray, offsets: np.ndarray) -> np.ndarra
     size = np.minimum(SEGMENT, offsets[1:][text] - start)
     order = np.argsort(-size, kind="stable")
     start, size, text = start[order], size[order], text[order]
-    roots = np.array(model.roots, np.int32)
+    roots = np.array(model.roots, model.comb.base.dtype)
     state = np.repeat(roots[:, None], len(start), axis=1)
     ended = np.zeros(state.shape, np.int32)
     live = len(start)
     for t in range(int(size.max()) if len(size) else 0):
         while live and size[live - 1] <= t:
             live -= 1
-        got = model.table[state[:, :live] + symbols[start[:live] + t]]
-        ended[:, :live] += got >> 29
-        state[:, :live] = got & (_ENDED - 1)
+        symbol = symbols[start[:live] + t]
+        own = state[:, :live]
+        goes, to = model.comb.go(own, symbol[None, :])
+        k, i = np.nonzero(~goes)
+        # A mismatch ends a phrase; a symbol that the labelled text never has is one by itself.
+        begun = own[k, i] != roots[k]
+        again, first = model.comb.go(roots[k], symbol[i])
+        ended[k, i] += begun.astype(np.int32) + ~again
+        to[k, i] = np.where(again, first, roots[k])
+        state[:, :live] = to
     out = np.zeros((len(n), len(roots)), np.int64)
     for k in range(len(roots)):
         out[:, k] = np.bincount(text, weights=ended[k] + (state[k] != roots[k]), minlength=len(n))
@@ -176,26 +216,44 @@ def identify(model: Model, column) -> tuple[list[str], np.ndarray]:
     return [model.languages[b] if s else "und" for b, s in zip(best.tolist(), some.tolist())], np.where(some, score, 0.0)
 
 
-def learn(docs: DataFrame, held_out: Column, key: str = "doc_id") -> Model:
-    """The model of a bounded sample of the rows that aren't held out."""
-    rows = docs.where(~held_out & docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"), F.xxhash64(docs[key].cast("string")).alias("h"))
+def shares(lengths: list[int], total: int) -> list[int]:
+    """total dealt equally to texts of these lengths, none more than its length."""
+    out, left = [0] * len(lengths), total
+    order = sorted(range(len(lengths)), key=lambda k: lengths[k])
+    for place, k in enumerate(order):
+        out[k] = min(lengths[k], left // (len(order) - place))
+        left -= out[k]
+    return out
+
+
+def learn(docs: DataFrame, held_out: Column, key: str = "doc_id", rows: int = ROWS, symbols: int = SYMBOLS) -> Model:
+    """The model of a bounded sample of the rows that aren't held out: `rows` rows and `symbols` characters a language."""
+    spark = docs.sparkSession
+    known = docs.where(~held_out & docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"), F.xxhash64(docs[key].cast("string")).alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    sample = rows.withColumn("rank", rank).where(f"rank <= {ROWS}").select("lang", "rank", F.substring("text", 1, 4 * SYMBOLS).alias("text")).collect()
-    texts: dict[str, str] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["rank"])):
-        if len(texts.get(r["lang"], "")) < 4 * SYMBOLS:
-            texts[r["lang"]] = f"{texts.get(r['lang'], '')} {r['text']}"
-    return Model(texts)
+    sample = scratch(known.withColumn("rank", rank).where(f"rank <= {int(rows)}").select("lang", "rank", "text"), "sample")
+    lengths: dict[str, list[tuple[int, int]]] = {}
+    for lang, number, n in sorted(map(tuple, sample.select("lang", "rank", F.length("text")).collect())):
+        lengths.setdefault(lang, []).append((number, n))
+    quota = [(lang, number, q) for lang, held in lengths.items() for (number, _), q in zip(held, shares([n for _, n in held], symbols)) if q]
+    dealt = sample.join(small(spark.createDataFrame(quota, "lang string, rank int, quota int"), len(quota)), ["lang", "rank"])
+    size = F.ceil(F.col("quota") / PARTS).cast("int")
+    begin = [F.floor((F.length("text") - size) * F.lit(j / (PARTS - 1))).cast("int") + 1 for j in range(PARTS)]
+    some = F.when(F.length("text") <= F.col("quota"), F.col("text")).otherwise(F.concat_ws(" ", *[F.substring(F.col("text"), b, size) for b in begin]))
+    texts: dict[str, list[str]] = {}
+    for lang, _, text in sorted(map(tuple, dealt.select("lang", "rank", some).collect())):
+        texts.setdefault(lang, []).append(text)
+    return Model({lang: " ".join(held) for lang, held in texts.items()})
 
 
-def predict(docs: DataFrame, held_out: Column, key: str = "doc_id") -> DataFrame:
+def predict(docs: DataFrame, held_out: Column, key: str = "doc_id", rows: int = ROWS, symbols: int = SYMBOLS) -> DataFrame:
     """One row per document: key, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, held_out, key))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, held_out, key, rows, symbols))
 
     def run(batches):
         for batch in blocks(batches):
             names, score = identify(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(score)], names=[key, "held_out", "lang_pred", "score"])
 
-    rows = docs.select(docs[key].alias(key), held_out.alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    texts = docs.select(docs[key].alias(key), held_out.alias("held_out"), text_or_empty().alias("text"))
+    return texts.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
