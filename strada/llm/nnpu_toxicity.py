@@ -13,9 +13,11 @@ Features are hashed words and word beginnings of 4 to 6 bytes, each counted once
 document, weighted by how rare they are among the unlabelled; words are runs of letters in
 lower case (ASCII), so marks and digits don't count.
 
-The sample is bounded: of the training rows the POSITIVE confirmed and UNLABELLED
-other documents with the smallest hash of their key. The prior is a parameter; by
-default it is the share of toxic among the labelled training rows. Scoring is one scan and
+The sample is bounded by two parameters of `learn`: of the labelled rows that aren't held out the
+`positive` confirmed ones and, with their labels left out, `unlabelled` of all of them, those with the
+smallest hash of their key, as far as they have `entries` features together. So the driver holds 4 bytes an
+entry, however long the texts are. The prior is a parameter; by default it is the share of toxic among
+the labelled training rows, from which the unlabelled ones are drawn too. Scoring is one scan and
 one map over every whole text, without a shuffle.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; with
@@ -31,14 +33,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, text_or_empty
+from .common import blocks, scratch, text_or_empty
 from .textblock import TextBlock
+from .wordcache import forget
 
 BITS = 18
-POSITIVE, UNLABELLED = 3_000, 9_000
+POSITIVE, UNLABELLED, ENTRIES = 3_000, 9_000, 8_000_000
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.7
 #: Confirmed examples that a feature needs to carry weight.
@@ -127,11 +130,12 @@ def fit(positive: Sparse, unlabelled: Sparse, prior: float, rounds: int = 200, r
 
 
 def _featured(batches):
+    forget()
     for batch in blocks(batches):
-        doc, feature = features(batch.column(1))
+        doc, feature = features(batch.column(2))
         counts = np.bincount(doc, minlength=batch.num_rows)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(feature, pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["toxic", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["toxic", "h", "features"])
 
 
 def _sparse(lists: pa.ChunkedArray) -> Sparse:
@@ -148,7 +152,10 @@ def _counts(column: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | None = None, key: str = "doc_id") -> Model | None:
+def learn(
+    docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | None = None, key: str = "doc_id",
+    positive: int = POSITIVE, unlabelled: int = UNLABELLED, entries: int = ENTRIES,
+) -> Model | None:
     """The model of a bounded sample of the rows that aren't held out; None without a confirmed one."""
     # One label a key; of several the toxic one, as a confirmation.
     marks = labels.groupBy(labels[key].alias("k")).agg(F.max(labels["toxic"]).alias("toxic")).where("k is not null")
@@ -157,12 +164,15 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | N
     if not share["t"]:
         return None
     prior = float(share["p"]) if prior is None else prior
-    confirmed = known.where("toxic = 1").select("k").orderBy(F.xxhash64("k")).limit(POSITIVE)
-    every = docs.where(~held_out & docs[key].isNotNull()).select(docs[key].alias("k"), F.lit(0).alias("toxic"))
-    others = every.select("k").orderBy(F.xxhash64("k", F.lit(1))).limit(UNLABELLED)
-    wanted = F.broadcast(confirmed.withColumn("toxic", F.lit(1)).union(others.withColumn("toxic", F.lit(0))))  # POSITIVE + UNLABELLED keys at most
-    sample = docs.select(docs[key].alias("k"), text_or_empty().alias("text")).join(wanted, "k").select("toxic", "text")
-    rows = sample.mapInArrow(_featured, "toxic int, features array<int>").toArrow()
+    here = known.join(docs.where(~held_out).select(docs[key].alias("k")), "k", "left_semi")
+    confirmed = here.where("toxic = 1").select("k").orderBy(F.xxhash64("k")).limit(positive)
+    others = here.select("k").orderBy(F.xxhash64("k", F.lit(1))).limit(unlabelled)
+    wanted = F.broadcast(confirmed.withColumn("toxic", F.lit(1)).union(others.withColumn("toxic", F.lit(0))))  # positive + unlabelled keys at most
+    sample = docs.select(docs[key].alias("k"), text_or_empty().alias("text")).join(wanted, "k").select("toxic", F.xxhash64("k", "text").alias("h"), "text")
+    found = scratch(sample.mapInArrow(_featured, "toxic int, h long, features array<int>"), "features")
+    so_far = F.sum(F.size("features")).over(Window.partitionBy("toxic").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))  # the sample's rows
+    rows = found.withColumn("so_far", so_far).where(F.col("so_far") <= F.when(F.col("toxic") == 1, positive * entries // (positive + unlabelled)).otherwise(unlabelled * entries // (positive + unlabelled)))
+    rows = rows.select("toxic", "features").toArrow()
     made = [_sparse(rows.filter(pc.equal(rows["toxic"], label))["features"]) for label in (1, 0)]
     del rows
     if not made[0].n or not made[1].n:
@@ -170,9 +180,9 @@ def learn(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | N
     return fit(*made, min(0.9, max(0.001, prior)))
 
 
-def predict(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | None = None, key: str = "doc_id") -> DataFrame:
+def predict(docs: DataFrame, labels: DataFrame, held_out: Column, prior: float | None = None, key: str = "doc_id", **bounds: int) -> DataFrame:
     """One row per document: key, held_out, score, predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out, prior, key))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, held_out, prior, key, **bounds))
 
     def run(batches):
         model = shared.value
