@@ -82,16 +82,27 @@ def _placed(pieces: DataFrame, *of: str) -> DataFrame:
     return pieces.withColumn("end", so_far).withColumn("start", F.col("end") - F.length("match"))
 
 
+def _found_in(text: Column, kind: int) -> Column:
+    """The matches of one kind, each with what lies between it and the one before."""
+    pattern = F.lit(PATTERNS[kind])
+    both = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("part"), F.regexp_extract_all(text, pattern, 0).alias("match"))
+    each = F.transform(both, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), F.length(x["part"]).alias("gap"), x["match"].alias("match")))
+    return F.filter(each, lambda x: x["match"].isNotNull())
+
+
+#: Of each kind, a pattern that any match holds and that is quick to look for.
+_HINTS = ("@[A-Za-z0-9-]", r"[0-9]\.[0-9]", "[0-9][ -]?[0-9]", r"\+[0-9]")
+
+
 def base_spans(rows: DataFrame) -> DataFrame:
-    """(row, kind, start, end) of (row, text)."""
-    each = []
-    for kind, pattern in enumerate(PATTERNS):
-        pieces = _pieces(rows, "text", pattern, "row").withColumn("kind", F.lit(kind))
-        each.append(pieces.withColumn("valid", _valid(kind, F.col("match"))))
-    union = each[0]
-    for more in each[1:]:
-        union = union.unionByName(more)
-    return _placed(union, "row", "kind").where("valid").select("row", "kind", F.col("start").cast("long"), F.col("end").cast("long"))
+    """(row, kind, start, end) of (row, text): one scan, each document's matches laid out by itself."""
+    none = F.array().cast("array<struct<kind:int,at:int,gap:int,match:string>>")
+    each = [F.when(F.col("text").rlike(hint), _found_in(F.col("text"), kind)).otherwise(none) for kind, hint in enumerate(_HINTS)]
+    pieces = rows.select("row", F.explode(F.concat(*each)).alias("piece")).select("row", "piece.*")
+    valid = F.lit(False)
+    for kind in range(len(PATTERNS)):
+        valid = F.when(F.col("kind") == kind, _valid(kind, F.col("match"))).otherwise(valid)
+    return _placed(pieces, "row", "kind").where(valid).select("row", "kind", F.col("start").cast("long"), F.col("end").cast("long"))
 
 
 def _kinds_in(line: Column) -> Column:
@@ -128,7 +139,7 @@ def _terms(line: Column) -> Column:
 
 def protected_lines(rows: DataFrame) -> DataFrame:
     """(row, start, line, kinds, values) of the lines with base spans, masked."""
-    some = rows.where(" or ".join(f"size(regexp_extract_all(text, '{p}', 0)) > 0" for p in (r"@[A-Za-z0-9-]", r"[0-9]\\.[0-9]", r"[0-9][ -]?[0-9]", r"\\+[0-9]")))
+    some = rows.where(F.col("text").rlike("|".join(_HINTS)))
     kinds = F.when(F.col("line").rlike("[0-9@]"), _kinds_in(F.col("line")))
     each = _lines(some).withColumn("kinds", kinds)
     # Lines without a span go on as a length only.
