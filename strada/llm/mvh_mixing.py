@@ -7,10 +7,13 @@ above.
 Blocks. A hash deals each source's documents into at most BLOCKS blocks, of about
 DOCS_A_BLOCK documents in small sources. A source takes each block as often as its target
 holds its size, and of the rest, in an order permuted by the seed, every whole block that
-fits. The room that then remains is filled with documents of the left blocks, in the order of
-blocks and hashes: of the first, then of as many blocks as 4, 16 and so on that have a document small
-enough, until none has. So what is taken misses the target by less than the smallest document with
-words that the source has left (rows of one key being one document).
+fits. The room that then remains is filled with documents of the left blocks: of the first, then of as
+many blocks as 4, 16 and so on that have a document small enough, until none has. Another hash deals these
+blocks into cells; of each cell the documents that are no longer than the room are added up, the cells
+are taken in order while they fit, and only the one cell that doesn't is looked at by document, after which the
+next cells follow with the room that is left. So no task and no list grows with the corpus but by its
+4096 * 4096th part, and what is taken misses the target by less than the smallest document with
+words that the source has left (rows of one key in that one cell being one document).
 
 Tree. The quota of a source is its number of taken blocks, repeats counted. A node
 that stands for some output shards holds a vector of quotas; its left half draws its share
@@ -20,8 +23,8 @@ node's generator is seeded by the seed and the node, so any node can be drawn ag
 source then deals its blocks in permuted order: the shards get disjoint runs. Inside a
 shard rows are ordered by a hash.
 
-The driver holds at most BLOCKS numbers a source, and the few documents that fill its room. Documents are read once for their sizes
-and once to be written; texts are shuffled only to their shard.
+The driver holds some BLOCKS numbers a source, and the documents taken from cells that were looked at by document.
+Documents are read once for their sizes and once to be written; texts are shuffled only to their shard.
 
 Defined results: a null text has no words and is taken with its block; a null source is a
 source of its own, the last; rows with one key in one source are taken together; a corpus
@@ -98,6 +101,11 @@ def _block(blocks: Column) -> Column:
     return F.pmod(F.shiftrightunsigned(F.col("h"), 7), blocks)
 
 
+def _cell(cells: Column | int) -> Column:
+    """Where in its block a document is; a hash of the hash that dealt the blocks."""
+    return F.pmod(F.xxhash64("h", F.lit(1)), F.lit(cells) if isinstance(cells, int) else cells)
+
+
 class Plan:
     """Which blocks and documents of each source go where."""
 
@@ -138,9 +146,9 @@ class Plan:
                     rest -= sums[s][b]
             room[s] = int(rest)
             units[s] = taken
-        filled = self._fill(placed, left, room, least)
-        # A source's single documents are a unit of their own, dealt last.
-        cut = {s for s, _ in filled}
+        cells, filled = self._fill(placed, left, room, least)
+        # What fills a source's room is a unit of its own, dealt last.
+        cut = {s for s, *_ in cells} | {s for s, _ in filled}
         dealt = {s: [*units[s], -1] if s in cut else units[s] for s in names}
         share = split(np.array([len(dealt[s]) for s in names]), shards, seed)
         where: dict[tuple[str, int], list[int]] = {}
@@ -156,37 +164,66 @@ class Plan:
         held = [(s, b, sorted(w)) for (s, b), w in where.items()]
         self.blocks = small(spark.createDataFrame(held, "source string, block long, shards array<int>"), len(held))
         self.extra = small(spark.createDataFrame([(s, h, short[s]) for s, h in filled], "source string, h long, shard int"), len(filled))
-
-    def _fill(self, placed: DataFrame, left: dict[str, list[int]], room: dict[str, int], least: dict[str, dict[int, int]]) -> list[tuple[str, int]]:
-        """(source, h) of the documents that fill the room; no more than about a block's in a source."""
-        spark, out, many = placed.sparkSession, [], 1
+        dealt_cells: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
+        for s, b, n, c, most in cells:
+            dealt_cells.setdefault((s, b, n), []).append((c, most))
+        held = [(s, b, n, dict(of), short[s]) for (s, b, n), of in dealt_cells.items()]
+        self.cells = small(spark.createDataFrame(held, "source string, block long, n_cells int, most map<int,long>, cell_shard int"), len(held))
+
+    def _fill(self, placed: DataFrame, left: dict[str, list[int]], room: dict[str, int], least: dict[str, dict[int, int]]):
+        """What fills the room: cells (source, block, number of cells, cell, longest size taken) and documents (source, h)."""
+        spark, cells, single, many = placed.sparkSession, [], [], 1
         while True:
             left = {s: [b for b in blocks if (least[s][b] or room[s] + 1) <= room[s]] for s, blocks in left.items()}
-            held = [(s, b, i, room[s]) for s, blocks in left.items() for i, b in enumerate(blocks[:many])]
+            held = {s: blocks[:many] for s, blocks in left.items() if blocks}
             if not held:
-                return out
-            these = small(spark.createDataFrame(held, "source string, block long, place int, room long"), len(held))
-            units = placed.join(these, ["source", "block"]).groupBy("source", "room", "place", "h").agg(F.sum("size").alias("size"))
-            fits = units.where("size > 0 and size <= room").groupBy("source").applyInPandas(_fitting, "source string, h long, size long")
-            for s, h, n in sorted(tuple(r) for r in fits.collect()):
-                out.append((s, h))
-                room[s] -= n
+                return cells, single
+            n_cells, after = max(1, BLOCKS // many), {s: (-1, -1) for s in held}
+            while after:
+                rows = [(s, b, i, room[s], *after[s]) for s in after for i, b in enumerate(held[s])]
+                these = small(spark.createDataFrame(rows, "source string, block long, place int, room long, at_place int, at_cell int"), len(rows))
+                units = placed.join(these, ["source", "block"]).withColumn("cell", _cell(n_cells))
+                open_ = units.where("size > 0 and size <= room and (place > at_place or place = at_place and cell > at_cell)")
+                sums: dict[str, list[tuple[int, int, int]]] = {s: [] for s in after}
+                for s, i, c, n in sorted(map(tuple, open_.groupBy("source", "place", "cell").agg(F.sum("size")).collect())):
+                    sums[s].append((i, c, n))
+                crossing = []
+                for s, found in sums.items():
+                    rest = room[s]
+                    for i, c, n in found:
+                        if n > rest:
+                            crossing.append((s, i, c, rest))
+                            after[s] = (i, c)
+                            break
+                        cells.append((s, held[s][i], n_cells, c, room[s]))
+                        rest -= n
+                    else:
+                        del after[s]
+                    room[s] = rest
+                if crossing:
+                    one = small(spark.createDataFrame(crossing, "source string, place int, cell long, rest long"), len(crossing))
+                    fits = units.select("source", "place", "cell", "h", "size").join(one, ["source", "place", "cell"]).groupBy("source", "rest", "h").agg(F.sum("size").alias("size"))
+                    fits = fits.where("size > 0 and size <= rest").groupBy("source").applyInPandas(_fitting, "source string, h long, size long")
+                    for s, h, n in sorted(map(tuple, fits.collect())):
+                        single.append((s, h))
+                        room[s] -= n
             left = {s: blocks[many:] for s, blocks in left.items()}
             many *= 4
 
-    def of(self, rows: DataFrame) -> DataFrame:
+    def of(self, rows: DataFrame, size: Column) -> DataFrame:
         """rows (source, h, ...) with source_size, target and the list of shards each goes to."""
         own = rows.join(self.sources, "source").withColumn("block", _block(F.col("blocks")))
-        own = own.join(self.blocks, ["source", "block"], "left").join(self.extra, ["source", "h"], "left")
+        own = own.join(self.blocks, ["source", "block"], "left").join(self.extra, ["source", "h"], "left").join(self.cells, ["source", "block"], "left")
         none = F.array().cast("array<int>")
-        shards = F.concat(F.coalesce("shards", none), F.when(F.col("shard").isNull(), none).otherwise(F.array("shard")))
-        return own.withColumn("shards", shards).drop("block", "blocks", "shard")
+        most = F.col("most")[_cell(F.col("n_cells")).cast("int")]
+        filling = F.when(F.col("shard").isNotNull(), F.array("shard")).when(most.isNotNull() & (size > 0) & (size <= most), F.array("cell_shard")).otherwise(none)
+        return own.withColumn("shards", F.concat(F.coalesce("shards", none), filling)).drop("block", "blocks", "shard", "n_cells", "most", "cell_shard")
 
 
 def _fitting(rows):
-    """Of a source's units, those that fit one after the other, in the order of their blocks and hashes."""
-    rows = rows.sort_values(["place", "h"], kind="stable")
-    room, took = int(rows["room"].iloc[0]) if len(rows) else 0, []
+    """Of a cell's documents, those that fit one after the other, in the order of their hashes."""
+    rows = rows.sort_values("h", kind="stable")
+    room, took = int(rows["rest"].iloc[0]) if len(rows) else 0, []
     for n in rows["size"].tolist():
         took.append(n <= room)
         room -= n if took[-1] else 0
@@ -196,7 +233,7 @@ def _fitting(rows):
 def plan(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """One row per document: key, size, source_size, target, taken, and the shards it goes to."""
     made = Plan(docs, key, **options)
-    out = made.of(made.sizes)
+    out = made.of(made.sizes, F.col("size"))
     return out.select(F.col("key").alias(key), "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
@@ -207,7 +244,9 @@ def mix(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
 
 def _mixed(docs: DataFrame, made: Plan) -> DataFrame:
     rows = docs.select(whole(docs).alias("row"), _source(docs).alias("source"), _hash(docs, made.key, made.seed).alias("h"))
-    each = made.of(rows).select("row", "h", F.posexplode("shards").alias("copy", "shard"))
+    # Only documents of cells that fill a source's room are measured again.
+    text = F.col("row")[f"c{docs.columns.index('text')}"].cast("string")
+    each = made.of(rows, F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")).select("row", "h", F.posexplode("shards").alias("copy", "shard"))
     each = each.withColumn("order", F.xxhash64("h", "copy", F.lit(made.seed)))
     # A shard is a run of the order (shard, order); range partitioning splits a shard that outgrows a task.
     sorted_ = each.repartitionByRange("shard", "order").sortWithinPartitions("shard", "order")
