@@ -7,13 +7,13 @@ above.
 Blocks. A hash deals each source's documents into at most BLOCKS blocks, of about
 DOCS_A_BLOCK documents in small sources. A source takes each block as often as its target
 holds its size, and of the rest, in an order permuted by the seed, every whole block that
-fits. The room that then remains is filled with documents of the left blocks: of the first, then of as
-many blocks as 4, 16 and so on that have a document small enough, until none has. Another hash deals these
+fits. The room that then remains is filled with documents of the left blocks: of the first,
+then of all others that have a document small enough. Another hash deals these
 blocks into cells; of each cell the documents that are no longer than the room are added up, the cells
 are taken in order while they fit, and only the one cell that doesn't is looked at by document, after which the
 next cells follow with the room that is left. So no task and no list grows with the corpus but by its
-4096 * 4096th part, and what is taken misses the target by less than the smallest document with
-words that the source has left (rows of one key in that one cell being one document).
+65,536th part, and what is taken misses the target by less than the smallest document with
+words that the source has left (rows of one key looked at together being one document).
 
 Tree. The quota of a source is its number of taken blocks, repeats counted. A node
 that stands for some output shards holds a vector of quotas; its left half draws its share
@@ -45,6 +45,8 @@ from .common import WORD, parts, scratch, small, text_or_empty, whole
 WEIGHTS = (1.0, 2.0, 3.0)
 REPEAT = 3
 DOCS_A_BLOCK, BLOCKS = 64, 4096
+#: Cells of each block when all that are left are looked at; of a single block there are BLOCKS.
+CELLS = 16
 SHARDS = 32
 SEED = 11
 
@@ -178,19 +180,31 @@ class Plan:
             held = {s: blocks[:many] for s, blocks in left.items() if blocks}
             if not held:
                 return cells, single
-            n_cells, after = max(1, BLOCKS // many), {s: (-1, -1) for s in held}
+            n_cells, after = BLOCKS if many == 1 else CELLS, {s: (-1, -1) for s in held}
             while after:
                 rows = [(s, b, i, room[s], *after[s]) for s in after for i, b in enumerate(held[s])]
                 these = small(spark.createDataFrame(rows, "source string, block long, place int, room long, at_place int, at_cell int"), len(rows))
                 units = placed.join(these, ["source", "block"]).withColumn("cell", _cell(n_cells))
-                open_ = units.where("size > 0 and size <= room and (place > at_place or place = at_place and cell > at_cell)")
-                sums: dict[str, list[tuple[int, int, int]]] = {s: [] for s in after}
-                for s, i, c, n in sorted(map(tuple, open_.groupBy("source", "place", "cell").agg(F.sum("size")).collect())):
-                    sums[s].append((i, c, n))
+                begun = "(place > at_place or place = at_place and cell > at_cell)"
+                sums: dict[str, list[tuple[int, int, int, int]]] = {s: [] for s in after}
+                found = units.where(f"size > 0 and size <= room and {begun}").groupBy("source", "place", "cell").agg(F.sum("size"), F.count(F.lit(1)))
+                for s, *cell in sorted(map(tuple, found.collect())):
+                    sums[s].append(tuple(cell))
+                # Of sources that have few documents left to look at all are looked at, in the same order.
+                few = [s for s in after if sum(m for *_, m in sums[s]) <= BLOCKS]
+                if any(sums[s] for s in few):
+                    each = units.where(F.col("source").isin(few) & F.expr(begun)).groupBy("source", "place", "cell", "h", "room").agg(F.sum("size").alias("size")).where("size > 0 and size <= room")
+                    for s, _, _, h, n in sorted(map(tuple, each.select("source", "place", "cell", "h", "size").collect())):
+                        if n <= room[s]:
+                            single.append((s, h))
+                            room[s] -= n
                 crossing = []
-                for s, found in sums.items():
+                for s in list(after):
+                    if s in few:
+                        del after[s]
+                        continue
                     rest = room[s]
-                    for i, c, n in found:
+                    for i, c, n, _ in sums[s]:
                         if n > rest:
                             crossing.append((s, i, c, rest))
                             after[s] = (i, c)
@@ -208,7 +222,7 @@ class Plan:
                         single.append((s, h))
                         room[s] -= n
             left = {s: blocks[many:] for s, blocks in left.items()}
-            many *= 4
+            many = BLOCKS
 
     def of(self, rows: DataFrame, size: Column) -> DataFrame:
         """rows (source, h, ...) with source_size, target and the list of shards each goes to."""

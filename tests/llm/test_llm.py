@@ -528,6 +528,28 @@ def test_mixing_fills_up_beside_a_giant(spark, seed):
         assert 0 <= g["target"].iloc[0] - g["taken"].sum() < left + 1
 
 
+def test_mixing_fills_up_by_cells(spark, monkeypatch):
+    """As in a large source, whose cells are added up before any document is looked at."""
+    monkeypatch.setattr(mvh_mixing, "BLOCKS", 6)
+    monkeypatch.setattr(mvh_mixing, "CELLS", 3)
+    rng = random.Random(41)
+    rows = [(i, prose(rng, rng.randint(0, 90)), "en", "abcd"[i % 4 if i % 4 else 0], 0) for i in range(800)]
+    rows += [(1000 + k, prose(rng, 4000), "en", s, 0) for k, s in enumerate("abcd")] + [(5, "twice five", "en", "b", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for seed in (1, 2):
+        made = mvh_mixing.Plan(df, weights=(1.0, 1.7, 1.5), seed=seed)
+        assert made.cells.count()
+        got = mvh_mixing.plan(df, weights=(1.0, 1.7, 1.5), seed=seed).toPandas()
+        got["source"] = [dict((r[0], r[3]) for r in rows)[i] for i in got["doc_id"]]
+        for _, g in got[got["size"] > 0].groupby("source"):
+            times = g["taken"] // g["size"]
+            left = g[times == times.min()]["size"].min()
+            assert 0 <= g["target"].iloc[0] - g["taken"].sum() < left + 3
+        mixed = Counter((r["doc_id"], r["text"]) for r in mvh_mixing.mix(df, weights=(1.0, 1.7, 1.5), seed=seed).collect())
+        size = {(i, t): len(words(t)) for i, t, *_ in rows}
+        assert sum(size[k] * n for k, n in mixed.items()) == got["taken"].sum()
+
+
 def test_mixing_is_reported_from_what_is_written(spark, docs, odd, monkeypatch):
     for df in (docs, odd):
         want = sorted(map(repr, mvh_mixing.plan(df).drop("shards").collect()))
