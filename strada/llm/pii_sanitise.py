@@ -215,6 +215,14 @@ def report(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     return each.select(key, *counts[:4], F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), counts[4])
 
 
+def base_counts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row per document: key and the number of base spans of each kind."""
+    rows, _ = numbered(docs, key)
+    each = [F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{name}") for k, name in enumerate(KINDS[:4])]
+    found = base_spans(rows).groupBy("row").agg(*each)
+    return rows.select("row", key).join(found, "row", "left").select(key, *[F.coalesce(f"n_{name}", F.lit(0).cast("long")).alias(f"n_{name}") for name in KINDS[:4]])
+
+
 def sanitise(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """(key, text) with base spans replaced by their kind, and disclosing terms generalised or removed."""
     rows, _ = numbered(docs, key)
