@@ -133,15 +133,18 @@ def normalize_cap(vec: Column, cap: float) -> Column:
     return F.transform(cut, lambda x: x / F.nullif(size(cut), F.lit(0.0)))
 
 
-def describe(pixels: DataFrame, roads: DataFrame, levels: DataFrame, radii: list[int], config: DescriptorConfig | None = None) -> DataFrame:
+def describe(pixels: DataFrame, roads: DataFrame, levels: DataFrame, radii: list[int], config: DescriptorConfig | None = None, angle: float | None = None) -> DataFrame:
     """(KEY, angle, decision, desc): descriptors of all keypoints of the levels that have one.
 
+    With `angle`, that is every keypoint's reference angle; enough segments must reach it all the same.
+
     `pixels` and `levels` (map_id, level, radius, w, h) of the pyramid, `roads` (map_id, seg_id, angle_u)
     with the exact angles of level 0.
     """
     config = config or DescriptorConfig()
     seen = elements(pixels, roads, levels, radii, config)
-    angles = histograms(seen, config).withColumn("angle", reference_angle(F.col("hist"), config.bins)).where("angle is not null").select("kp", "angle")
+    own = reference_angle(F.col("hist"), config.bins) if angle is None else F.lit(float(angle))
+    angles = histograms(seen, config).withColumn("angle", own).where("angle is not null").select("kp", "angle")
     raw = raw_descriptors(seen, angles, config)
     first, last = half_sums(F.col("desc"), config)
     halves = raw.withColumns({"__first": first, "__last": last})

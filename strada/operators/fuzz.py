@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strada.functions.segment import COORDS
@@ -23,25 +23,45 @@ class Noise:
     extra_std: float = 20.0
 
 
+def uniform(seed: int, *of: str) -> Column:
+    """A number in (0, 1) of these columns and the seed alone: reruns agree, however the rows are dealt."""
+    digits = F.substring(F.md5(F.concat_ws("/", *of, F.lit(str(seed))).cast("binary")), 1, 8)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
+def normal(seed: int, *of: str) -> Column:
+    """A standard normal number of these columns and the seed, by Box and Muller's transform."""
+    return F.sqrt(-2.0 * F.ln(uniform(seed, *of))) * F.cos(2 * math.pi * uniform(-1 - seed, *of))
+
+
 def remove(segs: DataFrame, share: float, seed: int) -> DataFrame:
-    """Without round(share * n) segments of each map, drawn without replacement.
+    """Without round(share * n) segments of each map, drawn without replacement: those that come first by a digest.
 
-    The draw is a threshold on a hash, made exact by ranking: a row a segment, by map.
+    Segments are counted by map and the digest's first three digits, which tells the one part of a map in which
+    the draw ends; only that part, a 4096th of the map, is ranked.
     """
-    n = F.count(F.lit(1)).over(Window.partitionBy("map_id"))
-    rank = F.row_number().over(Window.partitionBy("map_id").orderBy(F.xxhash64("seg_id", F.lit(seed)), "seg_id"))
-    gone = F.least(F.col("__n"), F.round(F.col("__n") * F.lit(float(share))).cast("long"))
-    return segs.withColumns({"__n": n, "__r": rank}).where(F.col("__r") > gone).drop("__n", "__r")
+    marked = segs.withColumn("__d", F.md5(F.concat_ws("/", "seg_id", F.lit(str(seed))).cast("binary"))).withColumn("__p", F.substring("__d", 1, 3))
+    parts = marked.groupBy("map_id", "__p").agg(F.count(F.lit(1)).alias("n"))
+    by_map = Window.partitionBy("map_id")
+    so_far, n = F.sum("n").over(by_map.orderBy("__p")), F.sum("n").over(by_map)
+    goal = F.least(F.col("all"), F.round(F.col("all") * F.lit(float(share))).cast("long"))
+    placed = parts.withColumns({"to": so_far, "all": n}).withColumn("goal", goal)
+    last = placed.where("to >= goal").groupBy("map_id").agg(F.min("__p").alias("__last"), F.min_by(F.col("goal") - F.col("to") + F.col("n"), "__p").alias("__gone"))
+    each = marked.join(last, "map_id")
+    after = each.where(F.col("__p") > F.col("__last"))
+    rank = F.row_number().over(Window.partitionBy("map_id", "__p").orderBy("__d", "seg_id"))
+    tied = each.where(F.col("__p") == F.col("__last")).withColumn("__r", rank).where(F.col("__r") > F.col("__gone"))
+    return after.select(*segs.columns).unionByName(tied.select(*segs.columns))
 
 
 def jitter(segs: DataFrame, sd: float, seed: int) -> DataFrame:
     """Both ends moved, each coordinate by itself."""
-    return segs.withColumns({c: F.col(c) + F.randn(seed + i) * sd for i, c in enumerate(COORDS)})
+    return segs.withColumns({c: F.col(c) + normal(seed + i, "map_id", "seg_id") * sd for i, c in enumerate(COORDS)})
 
 
 def misplace(segs: DataFrame, sd: float, seed: int) -> DataFrame:
     """Segments moved as a whole."""
-    moved = segs.withColumns({"__dx": F.randn(seed) * sd, "__dy": F.randn(seed + 1) * sd})
+    moved = segs.withColumns({"__dx": normal(seed, "map_id", "seg_id") * sd, "__dy": normal(seed + 1, "map_id", "seg_id") * sd})
     return moved.withColumns({c: F.col(c) + F.col("__dx" if c[0] == "x" else "__dy") for c in COORDS}).drop("__dx", "__dy")
 
 
@@ -49,7 +69,8 @@ def added(maps: DataFrame, share: float, length: float, sd: float, seed: int) ->
     """round(share * n) new segments of each map of (map_id, n, next_id, w, h); a negative length turns one round."""
     k = F.round(F.col("n") * F.lit(float(share))).cast("long")
     each = maps.withColumn("__k", k).where("__k > 0").withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)))
-    drawn = each.withColumns({"x1": F.rand(seed) * F.col("w"), "y1": F.rand(seed + 1) * F.col("h"), "__l": F.randn(seed + 2) * sd + length, "__a": F.rand(seed + 3) * (2 * math.pi)})
+    of = ("map_id", "__i")
+    drawn = each.withColumns({"x1": uniform(seed, *of) * F.col("w"), "y1": uniform(seed + 1, *of) * F.col("h"), "__l": normal(seed + 2, *of) * sd + length, "__a": uniform(seed + 3, *of) * (2 * math.pi)})
     return drawn.select("map_id", (F.col("next_id") + F.col("__i")).alias("seg_id"), "x1", "y1", (F.col("x1") + F.col("__l") * F.cos("__a")).alias("x2"), (F.col("y1") + F.col("__l") * F.sin("__a")).alias("y2"))
 
 

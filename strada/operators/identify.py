@@ -1,10 +1,11 @@
-"""Which reference map, if any, a test map is from."""
+"""Which reference map, if any, a test map is from; or each of many, by test_id (see `model`)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strada.operators.model import maps_of, of_tests, with_tests
 from strada.schema import MatchConfig
 
 
@@ -21,30 +22,30 @@ def weighted_inliers(inliers: DataFrame, clamp: bool = False) -> DataFrame:
     """(ref_id, w): the sum of the harmonic means of both windows' visible shares. Needs w_ref, h_ref, w_test, h_test."""
     t = visible_share(F.col("xt"), F.col("yt"), F.col("st"), F.col("w_test"), F.col("h_test"), clamp)
     r = visible_share(F.col("xr"), F.col("yr"), F.col("sr"), F.col("w_ref"), F.col("h_ref"), clamp)
-    return inliers.groupBy("ref_id").agg(F.sum(F.try_divide(2 * t * r, t + r)).alias("w"))
+    return inliers.groupBy(*maps_of(inliers)).agg(F.sum(F.try_divide(2 * t * r, t + r)).alias("w"))
 
 
-def in_metric_band(models: DataFrame, maps: DataFrame, test_size: float, config: MatchConfig | None = None) -> DataFrame:
+def in_metric_band(models: DataFrame, maps: DataFrame, test_size: float | Column, config: MatchConfig | None = None) -> DataFrame:
     """Models by which the test map measures a plausible number of metres: maps (ref_id, metric_scale)."""
     config = config or MatchConfig()
-    metres = F.lit(float(test_size)) * F.col("s") * F.col("metric_scale")
+    size = test_size if isinstance(test_size, Column) else F.lit(float(test_size))
+    metres = size * F.col("s") * F.col("metric_scale")
     return models.join(maps.select("ref_id", "metric_scale"), "ref_id").where(metres.between(config.min_metric, config.max_metric))
 
 
 def confidences(weights: DataFrame, config: MatchConfig | None = None) -> DataFrame:
-    """(ref_id, confidence): of maps with enough inliers and not far behind the first, the share of all their weight.
-
-    The window runs over a row a reference map that was matched at all.
-    """
+    """(ref_id, confidence): of maps with enough inliers and not far behind the first, the share of all their weight."""
     config = config or MatchConfig()
-    every = Window.partitionBy()
-    enough = weights.where(F.col("w") >= config.min_inliers).withColumn("__top", F.max("w").over(every))
-    near = enough.where(F.col("w") >= F.col("__top") * config.to_first)
-    return near.select("ref_id", (F.col("w") / F.sum("w").over(every)).alias("confidence"))
-
-
-def identify(inliers: DataFrame, maps: DataFrame, test_size: float, config: MatchConfig | None = None, clamp: bool = True) -> DataFrame:
-    """(ref_id, confidence) from the refined inliers; no row means no match."""
-    models = inliers.groupBy("ref_id").agg(F.first("s").alias("s"))
-    band = in_metric_band(models, maps, test_size, config).select("ref_id")
-    return confidences(weighted_inliers(inliers.join(band, "ref_id", "left_semi"), clamp), config)
+    keys = maps_of(weights)
+    enough = weights.where(F.col("w") >= config.min_inliers)
+    near = with_tests(enough, of_tests(enough, keys, F.max("w").alias("__top")), keys).where(F.col("w") >= F.col("__top") * config.to_first).select(*keys, "w")
+    shared = with_tests(near, of_tests(near, keys, F.sum("w").alias("__all")), keys)
+    return shared.select(*keys, (F.col("w") / F.col("__all")).alias("confidence"))
+
+
+def identify(inliers: DataFrame, maps: DataFrame, test_size: float | None = None, config: MatchConfig | None = None, clamp: bool = True) -> DataFrame:
+    """(ref_id, confidence) from the refined inliers; no row means no match. The test map's longer side is c_test where test_size isn't given."""
+    keys = maps_of(inliers)
+    models = inliers.groupBy(*keys).agg(F.first("s").alias("s"), F.first("c_test").alias("c_test"))
+    band = in_metric_band(models, maps, F.col("c_test") if test_size is None else test_size, config).select(*keys)
+    return confidences(weighted_inliers(inliers.join(band, keys, "left_semi"), clamp), config)

@@ -2,72 +2,80 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strada.schema import MatchConfig
 
-#: Query descriptors that one pass over the references compares; more are taken in turns.
-SLICE = 20_000
+#: Test and reference descriptors of a block. A task compares one block of each: some 12 MB at 144 numbers.
+TESTS, REFS = 2048, 8192
+#: Tests that are compared at once with a block's references, so that distances take TILE * REFS * 8 bytes, 32 MB.
+TILE = 512
 _NEAR = 4
 
 
-def _nearest(queries: list[tuple[object, np.ndarray]]):
-    """A map over reference batches: each partition's best candidates of every query, with exact distances."""
-    ids = [q for q, _ in queries]
-    wanted = np.stack([v for _, v in queries])
-    squares = (wanted * wanted).sum(axis=1)
-
-    def best(found):
-        """The two with the smallest (distance, id) of each query's candidates so far."""
-        return [sorted(f)[:2] for f in found]
-
-    def run(batches):
-        found: list[list[tuple[float, object, object]]] = [[] for _ in ids]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            refs, rids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            values = batch.column(2)
-            flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rids), -1)
-            rough = squares[:, None] + (flat * flat).sum(axis=1)[None] - 2 * wanted @ flat.T
-            # All within rounding of the fourth smallest are looked at again exactly, so ties are broken by id.
-            k = min(_NEAR, len(rids)) - 1
-            edge = np.partition(rough, k, axis=1)[:, k] + 1e-9 * (1 + squares)
-            for q, r in zip(*np.nonzero(rough <= edge[:, None])):
-                d = wanted[q] - flat[r]
-                found[q].append((float(np.sqrt((d * d).sum())), rids[r], refs[r]))
-            found = best(found)
-        rows = [(ids[q], rid, ref, dist) for q, f in enumerate(found) for dist, rid, ref in f]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.float64()))], names=["qid", "rid", "ref_id", "dist"])
-
-    return run
+def _values(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _nearest(tests: pa.Table, refs: pa.Table) -> pa.Table:
+    """The two nearest of a block of references to each of a block of tests, by (distance, rid)."""
+    wanted, known = _values(tests["desc"]), _values(refs["desc"])
+    rids, names = refs["rid"].to_numpy(), refs["ref_id"]
+    squares, k = (known * known).sum(axis=1), min(_NEAR, len(known)) - 1
+    qs, rs, ds = [], [], []
+    for at in range(0, len(wanted), TILE):
+        some = wanted[at : at + TILE]
+        own = (some * some).sum(axis=1)
+        rough = own[:, None] + squares[None] - 2 * some @ known.T
+        # All within rounding of the fourth smallest are looked at again exactly, so ties are broken by id.
+        edge = np.partition(rough, k, axis=1)[:, k] + 1e-9 * (1 + own)
+        q, r = np.nonzero(rough <= edge[:, None])
+        for part in range(0, len(q), 1 << 15):
+            a, b = q[part : part + (1 << 15)], r[part : part + (1 << 15)]
+            d = some[a] - known[b]
+            qs.append(a + at)
+            rs.append(b)
+            ds.append(np.sqrt((d * d).sum(axis=1)))
+    q, r, d = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (qs, rs, ds))
+    order = np.lexsort((rids[r], d, q))
+    q, r, d = q[order], r[order], d[order]
+    first = np.searchsorted(q, q)
+    best = np.arange(len(q)) - first < 2
+    return pa.table({"qid": tests["qid"].take(pa.array(q[best])), "rid": pa.array(rids[r[best]]), "ref_id": names.take(pa.array(r[best])), "dist": pa.array(d[best])})
+
+
+def _block(key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 
 
 def knn2(tests: DataFrame, refs: DataFrame) -> DataFrame:
     """(qid, rn, rid, ref_id, dist): the two nearest of all references by Euclidean distance.
 
-    tests (qid, desc), refs (ref_id, rid, desc). A test map has thousands of descriptors and the catalogue any
-    number: slices of SLICE tests visit every reference where it lies, a partition returns two candidates
-    a test, and only those are shuffled. Exact; ties go to the smaller rid.
+    tests (qid, desc), refs (ref_id, rid, desc). Both sides are counted and dealt into blocks of bounded
+    size; each pair of blocks is a task's work, which returns two candidates a test, and the two nearest
+    of those are kept, on the map side first. Nothing is collected. Exact; ties go to the smaller rid.
     """
-    held = tests.select("qid", F.col("desc").cast("array<double>").alias("desc")).orderBy("qid")
-    total, out, at = held.count(), None, 0
-    where = refs.select("ref_id", "rid", F.col("desc").cast("array<double>").alias("desc"))
+    a = tests.select("qid", F.col("desc").cast("array<double>").alias("desc"))
+    b = refs.select("rid", "ref_id", F.col("desc").cast("array<double>").alias("desc"))
+    n_a, n_b = (max(1, math.ceil(d.count() / n)) for d, n in ((a, TESTS), (b, REFS)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = a.withColumn("i", _block("qid", n_a)).withColumn("j", every(n_b)).groupBy("i", "j")
+    right = b.withColumn("j", _block("rid", n_b)).withColumn("i", every(n_a)).groupBy("i", "j")
+
+    def compare(tests: pa.Table, refs: pa.Table) -> pa.Table:
+        if not tests.num_rows or not refs.num_rows:
+            return pa.table({"qid": pa.array([], pa.int64()), "rid": pa.array([], pa.int64()), "ref_id": pa.array([], pa.string()), "dist": pa.array([], pa.float64())})
+        return _nearest(tests, refs)
+
+    found = left.cogroup(right).applyInArrow(compare, "qid long, rid long, ref_id string, dist double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "rid"))
-    while at < max(total, 1):
-        rows = [(r["qid"], np.array(r["desc"], np.float64)) for r in held.offset(at).limit(SLICE).collect()]
-        if not rows:
-            break
-        part = where.mapInArrow(_nearest(rows), "qid long, rid long, ref_id string, dist double")
-        out = part if out is None else out.unionByName(part)
-        at += SLICE
-    if out is None:
-        out = where.sparkSession.createDataFrame([], "qid long, rid long, ref_id string, dist double")
-    return out.withColumn("rn", rank).where("rn <= 2").select("qid", "rn", "rid", "ref_id", "dist")
+    return found.withColumn("rn", rank).where("rn <= 2").select("qid", "rn", "rid", "ref_id", "dist")
 
 
 def ratio_matches(neighbours: DataFrame, ratio: float = MatchConfig.ratio) -> DataFrame:

@@ -2,6 +2,10 @@
 
 A match row has xr, yr, sr, o_r (reference) and xt, yt, st, o_t (test), c_ref and c_test, the longer
 sides of the two maps. A model is (tx, ty, s, o): p_ref = s R(o) p_test + t.
+
+Matches of one test map are known by ref_id. Where they have a column test_id too, any number of test
+maps go through one plan: whatever is said of a map holds for each (test_id, ref_id), and what is shared
+among reference maps (hypotheses, early acceptance) is shared within each test map.
 """
 
 from __future__ import annotations
@@ -19,6 +23,21 @@ from strada.schema import MatchConfig
 MODEL = ("tx", "ty", "s", "o")
 
 
+def maps_of(rows: DataFrame) -> list[str]:
+    """The columns that tell pairs of a test and a reference map apart."""
+    return ["test_id", "ref_id"] if "test_id" in rows.columns else ["ref_id"]
+
+
+def of_tests(rows: DataFrame, keys: list[str], *values: Column) -> DataFrame:
+    """Aggregates of each test map, or of all rows if there is one test map only."""
+    return rows.groupBy(*keys[:-1]).agg(*values) if len(keys) > 1 else rows.agg(*values)
+
+
+def with_tests(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the aggregates of their test map."""
+    return rows.join(sums, keys[:-1]) if len(keys) > 1 else rows.join(F.broadcast(sums))  # one row
+
+
 def _weighted(rows: DataFrame, suffix: str = "") -> DataFrame:
     """With the square of the harmonic mean of both sides' precision, as w."""
     wr, wt = F.col("c_ref") / F.col("sr" + suffix), F.col("c_test") / F.col("st" + suffix)
@@ -55,38 +74,39 @@ def _solved(sums: DataFrame, *keys: str) -> DataFrame:
 
 def fit(matches: DataFrame, *keys: str) -> DataFrame:
     """(keys, tx, ty, s, o): the weighted least-squares similarity of each group, from plain sums."""
-    keys = keys or ("ref_id",)
+    keys = keys or tuple(maps_of(matches))
     sums = _weighted(matches).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.sum(v).alias(f"__{k}") for k, v in _terms().items()])
     return _solved(sums, *keys)
 
 
 def numbered(matches: DataFrame) -> DataFrame:
     """With k, the match's number in its map from 0, and n, how many there are."""
-    by_ref = Window.partitionBy("ref_id")
+    by_ref = Window.partitionBy(*maps_of(matches))
     return matches.withColumns({"k": F.row_number().over(by_ref.orderBy("qid")) - 1, "n": F.count(F.lit(1)).over(by_ref)})
 
 
 def hypotheses(matches: DataFrame, config: MatchConfig | None = None) -> DataFrame:
-    """(ref_id, hyp, tx, ty, s, o): models of sampled pairs of matches.
+    """(maps, hyp, tx, ty, s, o): models of sampled pairs of matches.
 
     A map gets its share of max_hypotheses, by its number of matches. The pairs come from a
     fixed arithmetic sequence instead of a random generator, so runs agree.
     """
     config = config or MatchConfig()
+    keys = maps_of(matches)
     some = numbered(matches).where("n >= 2")
-    counts = some.groupBy("ref_id").agg(F.first("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
+    counts = some.groupBy(*keys).agg(F.first("n").alias("n"))
+    total = of_tests(counts, keys, F.sum("n").alias("total"))
     budget = F.greatest(F.lit(1), F.floor(config.max_hypotheses * F.col("n") / F.col("total"))).cast("int")
-    each = counts.join(F.broadcast(total)).withColumn("hyp", F.explode(F.sequence(F.lit(0), budget - 1)))  # one row
+    each = with_tests(counts, total, keys).withColumn("hyp", F.explode(F.sequence(F.lit(0), budget - 1)))
     i = F.pmod(F.col("hyp").cast("long") * 7919 + 13, F.col("n"))
     j = F.pmod(i + 1 + F.pmod(F.col("hyp").cast("long") * 104_729, F.col("n") - 1), F.col("n"))
-    pairs = each.select("ref_id", "hyp", i.alias("ka"), j.alias("kb"))
+    pairs = each.select(*keys, "hyp", i.alias("ka"), j.alias("kb"))
     values = ["xr", "yr", "sr", "xt", "yt", "st"]
-    side = lambda s: some.select("ref_id", F.col("k").cast("long").alias("k" + s), *[F.col(v).alias(v + s) for v in values], *(["c_ref", "c_test"] if s == "a" else []))
-    both = pairs.join(side("a"), ["ref_id", "ka"]).join(side("b"), ["ref_id", "kb"])
+    side = lambda s: some.select(*keys, F.col("k").cast("long").alias("k" + s), *[F.col(v).alias(v + s) for v in values], *(["c_ref", "c_test"] if s == "a" else []))
+    both = pairs.join(side("a"), [*keys, "ka"]).join(side("b"), [*keys, "kb"])
     ta, tb = _terms("a"), _terms("b")
-    sums = _weighted(_weighted(both, "a"), "b").select("ref_id", "hyp", F.lit(2).alias("n"), *[(ta[k] + tb[k]).alias(f"__{k}") for k in ta])
-    return _solved(sums, "ref_id", "hyp")
+    sums = _weighted(_weighted(both, "a"), "b").select(*keys, "hyp", F.lit(2).alias("n"), *[(ta[k] + tb[k]).alias(f"__{k}") for k in ta])
+    return _solved(sums, *keys, "hyp")
 
 
 def is_inlier(config: MatchConfig | None = None) -> Column:
@@ -104,16 +124,28 @@ def is_inlier(config: MatchConfig | None = None) -> Column:
     return (F.abs(folded) / (2 * math.pi) <= config.atol) & F.coalesce(far + near < config.dtol**2 * size, F.lit(False))
 
 
+#: Parts of a reference map's hypotheses, each of which meets the map's matches in a task of its own.
+SALT = 16
+
+
 def inlier_counts(matches: DataFrame, models: DataFrame, config: MatchConfig | None = None) -> DataFrame:
-    """(ref_id, hyp, n_inliers) of every hypothesis."""
-    scored = models.join(matches, "ref_id").withColumn("__in", is_inlier(config))
-    return scored.groupBy("ref_id", "hyp").agg(F.sum(F.col("__in").cast("long")).alias("n_inliers"))
+    """(maps, hyp, n_inliers) of every hypothesis.
+
+    Hypotheses are at most max_hypotheses a test map; a map's matches go to SALT parts of them, so
+    that one map which holds most matches is not one task's work.
+    """
+    keys = maps_of(matches)
+    part = F.pmod(F.col("hyp"), F.lit(SALT)).alias("__part")
+    own = matches.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    scored = models.select("*", part).join(own, [*keys, "__part"]).withColumn("__in", is_inlier(config))
+    return scored.groupBy(*keys, "hyp").agg(F.sum(F.col("__in").cast("long")).alias("n_inliers"))
 
 
 def best(models: DataFrame, counts: DataFrame) -> DataFrame:
     """The hypothesis of each map with most inliers, the first of equals; none without an inlier."""
-    rank = F.row_number().over(Window.partitionBy("ref_id").orderBy(F.desc("n_inliers"), "hyp"))
-    return models.join(counts, ["ref_id", "hyp"]).where("n_inliers > 0").withColumn("__rn", rank).where("__rn = 1").drop("__rn")
+    keys = maps_of(models)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n_inliers"), "hyp"))
+    return models.join(counts, [*keys, "hyp"]).where("n_inliers > 0").withColumn("__rn", rank).where("__rn = 1").drop("__rn")
 
 
 def _refit(rows: pd.DataFrame, config: MatchConfig) -> pd.DataFrame:
@@ -161,10 +193,11 @@ def refine(matches: DataFrame, chosen: DataFrame, config: MatchConfig | None = N
     has reached `accept` inliers only those maps are refined.
     """
     config = config or MatchConfig()
-    sure = chosen.agg(F.max("n_inliers").alias("top"))
-    some = chosen.join(F.broadcast(sure)).where((F.col("top") < config.accept) | (F.col("n_inliers") >= config.accept))  # one row
-    rows = matches.join(some.select("ref_id", *MODEL), "ref_id").withColumn("n_inliers", F.lit(0).cast("long"))
-    return rows.groupBy("ref_id").applyInPandas(lambda g: _refit(g, config), rows.schema)
+    keys = maps_of(matches)
+    sure = of_tests(chosen, keys, F.max("n_inliers").alias("top"))
+    some = with_tests(chosen, sure, keys).where((F.col("top") < config.accept) | (F.col("n_inliers") >= config.accept))
+    rows = matches.join(some.select(*keys, *MODEL), keys).withColumn("n_inliers", F.lit(0).cast("long"))
+    return rows.groupBy(*keys).applyInPandas(lambda g: _refit(g, config), rows.schema)
 
 
 def estimate(matches: DataFrame, config: MatchConfig | None = None) -> DataFrame:

@@ -43,6 +43,23 @@ def rasterize(segs: DataFrame, width: Column | int, height: Column | int) -> Dat
     return inside.select("map_id", F.lit(0).alias("level"), "y", "x", "seg_id", F.lit(1).cast("long").alias("cnt"))
 
 
+def thickened(pixels: DataFrame, line_width: int, width: int, height: int) -> DataFrame:
+    """(map_id, y, x): the pixels of lines drawn with a round pen of line_width pixels, each once."""
+    low, high = -((line_width - 1) // 2), line_width // 2
+    middle = (low + high) / 2
+    pen = [(dx, dy) for dx in range(low, high + 1) for dy in range(low, high + 1) if (dx - middle) ** 2 + (dy - middle) ** 2 <= (line_width / 2) ** 2]
+    dots = pixels.select("map_id", "y", "x").distinct() if len(pen) > 1 else pixels.select("map_id", "y", "x")
+    each = dots.withColumn("d", F.explode(F.array(*[F.struct(F.lit(dx).alias("x"), F.lit(dy).alias("y")) for dx, dy in pen])))
+    moved = each.select("map_id", (F.col("y") + F.col("d.y")).alias("y"), (F.col("x") + F.col("d.x")).alias("x"))
+    return moved.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).distinct()
+
+
+def drawn_pixels(segs: DataFrame, width: int, height: int, line_width: int = 1, cut_off: bool = False) -> DataFrame:
+    """(map_id, y, x) of an image of the segments; ends are rounded, or cut off as the map imager does."""
+    ends = segs.withColumns({c: F.col(c).cast("long").cast("double") for c in ("x1", "y1", "x2", "y2")}) if cut_off else segs
+    return thickened(rasterize(ends, width, height), line_width, width, height)
+
+
 def union(*pixels: DataFrame) -> DataFrame:
     """Sum of multisets."""
     out = pixels[0]

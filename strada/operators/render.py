@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strada.functions.segment import COORDS, described, displayed, scaled
 from strada.functions.transform import perspective, similarity, similarity_inverse, transformed
 from strada.operators.conditioning import bounds
+from strada.operators.raster import drawn_pixels
 
 
 def svg_line() -> Column:
@@ -54,6 +55,30 @@ def box_corners(models: DataFrame, width: float, height: float) -> DataFrame:
     return each.select("ref_id", F.col("c.corner").alias("corner"), F.rint(x).cast("long").alias("x"), F.rint(y).cast("long").alias("y"))
 
 
+def map_image(segs: DataFrame, size: int, width: int, height: int, line_width: int = 2, show: float = 0.01) -> DataFrame:
+    """(map_id, y, x): the lit pixels of a normalised map drawn at `size` pixels."""
+    return drawn_pixels(drawn(segs, size, show), width, height, line_width, cut_off=True)
+
+
+def perspective_image(segs: DataFrame, size: int, angles: tuple[float, float, float], x_max: float, y_max: float, width: int, height: int, line_width: int = 2, show: float = 0.01) -> DataFrame:
+    """As `map_image`, seen from an angle."""
+    return drawn_pixels(drawn_in_perspective(segs, size, angles, x_max, y_max, show), width, height, line_width, cut_off=True)
+
+
+def match_picture(matches: DataFrame, ref_width: int, lines: bool = True, circles: bool = True) -> DataFrame:
+    """(ref_id, qid, shape, x1, y1, x2, y2, radius): a line between the two keypoints of each match, the test map
+    standing to the right of the reference, and a circle of its scale around either. Numbers are cut off."""
+    whole = lambda c: F.col(c).cast("int")
+    xt, none = whole("xt") + ref_width, F.lit(None).cast("int")
+    shape = lambda name, *v: F.struct(F.lit(name).alias("shape"), *[x.alias(n) for x, n in zip(v, ("x1", "y1", "x2", "y2", "radius"))])
+    shapes = [shape("line", whole("xr"), whole("yr"), xt, whole("yt"), none)] if lines else []
+    if circles:
+        shapes += [shape("ref", whole("xr"), whole("yr"), none, none, whole("sr")), shape("test", xt, whole("yt"), none, none, whole("st"))]
+    if not shapes:
+        raise ValueError("nothing to draw")
+    return matches.withColumn("__s", F.explode(F.array(*shapes))).select("ref_id", "qid", "__s.*")
+
+
 def overlay(segs: DataFrame, tx: float, ty: float, s: float, o: float) -> DataFrame:
     """Reference segments on the test image: ends through the inverse model, rounded half to even."""
     values = [F.lit(float(v)) for v in (tx, ty, s, o)]

@@ -13,7 +13,7 @@ from strada.operators import conditioning, density, descriptor, fuzz, grid, iden
 from strada.plans import views
 from strada.plans.views import SIDE
 from strada.schema import DescriptorConfig, MatchConfig
-from strada.sources import wkt
+from strada.sources import arrays, wkt
 
 COORDS = segment.COORDS
 #: The model that overlays are drawn with: tx, ty, s, o.
@@ -352,12 +352,87 @@ def removed_segments(spark, d):
     return gone.groupBy("map_id").agg(F.count(F.lit(1)).alias("n_gone"))
 
 
+def fuzz_missing(spark, d):
+    return fuzz.remove(views.segments(spark, d), 0.1, 5).select("map_id", "seg_id")
+
+
 def fuzz_jitter(spark, d):
-    return fuzz.jitter(views.segments(spark, d), 1.0, 5)
+    return fuzz.jitter(views.segments(spark, d), 1.0, 5).select("map_id", "seg_id", *_coords())
 
 
 def fuzz_inaccuracy(spark, d):
-    return fuzz.misplace(views.segments(spark, d), 1.0, 5)
+    return fuzz.misplace(views.segments(spark, d), 1.0, 5).select("map_id", "seg_id", *_coords())
+
+
+def fuzz_extra(spark, d):
+    segs = views.segments(spark, d)
+    maps = segs.groupBy("map_id").agg(F.count(F.lit(1)).alias("n"), (F.max("seg_id") + 1).alias("next_id")).withColumns({"w": F.lit(float(SIDE)), "h": F.lit(float(SIDE))})
+    return fuzz.added(maps, 0.1, 40.0, 20.0, 5).select("map_id", "seg_id", *_coords())
+
+
+def fuzz_all(spark, d):
+    """All kinds of noise, one after the other."""
+    return fuzz.fuzz(views.segments(spark, d), fuzz.Noise(0.1, 1.0, 2.0, 0.05), SIDE, SIDE, 7).select("map_id", "seg_id", *_coords())
+
+
+def shift_segments(spark, d):
+    return views.segments(spark, d).select("seg_id", *segment.shifted(12.5, -7.25)).select("seg_id", *_coords())
+
+
+def map_image_pixels(spark, d):
+    image = render.map_image(_normal(views.segments(spark, d)), 800, 800, 800, 2, 0.05)
+    return image.groupBy("map_id").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+def wide_pixels(spark, d):
+    image = raster.drawn_pixels(views.segments(spark, d), SIDE, SIDE, 3)
+    return image.groupBy("map_id").agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+
+
+def match_picture(spark, d):
+    return render.match_picture(_match_rows(spark, d), SIDE).fillna(-1)
+
+
+def npy_round_trip(spark, d):
+    """Segments written as .npy files, one a map, and read again."""
+    files = arrays.npy_files(views.segments(spark, d))
+    back = arrays.segments_of(files).groupBy("map_id")
+    return back.agg(F.count(F.lit(1)).alias("n"), F.max("seg_id").alias("last"), *[r6(F.sum(c), c) for c in COORDS])
+
+
+def _entries() -> list[Column]:
+    """How many numbers of a descriptor are not zero, and a digest of all of them in hundred thousandths."""
+    each = F.transform("desc", lambda v, k: F.concat(k.cast("string"), F.lit(":"), F.round(v * 100000).cast("long").cast("string")))
+    some = F.filter(each, lambda e: ~e.endswith(":0"))
+    return [F.size(some).cast("long").alias("n"), F.md5(F.array_join(some, ",").cast("binary")).alias("digest")]
+
+
+def lrp_descriptor_entries(spark, d):
+    """Every number of the descriptors of two octaves and all radii that is not zero."""
+    segs = views.segments(spark, d)
+    roads = segs.select("map_id", "seg_id", segment.angle_unoriented().alias("angle_u"))
+    radii = grid.valid_radii(DescriptorConfig())
+    octaves = [(0, radii[0]), (1, radii[1])]
+    sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.lit(r).alias("radius"), F.lit(SIDE >> k).alias("w"), F.lit(SIDE >> k).alias("h")) for k, r in octaves]))
+    levels = segs.select("map_id").distinct().select("map_id", sizes.alias("s")).select("map_id", "s.*")
+    made = descriptor.describe(raster.pyramid(raster.rasterize(segs, SIDE, SIDE), [0, 1]), roads, levels, radii)
+    return made.select("map_id", "level", "lin", *_entries())
+
+
+def lrp_descriptor_override(spark, d):
+    """Descriptors with one reference angle for all keypoints."""
+    segs = views.segments(spark, d)
+    roads = segs.select("map_id", "seg_id", segment.angle_unoriented().alias("angle_u"))
+    made = descriptor.describe(raster.rasterize(segs, SIDE, SIDE), roads, _levels(spark, segs), [RADIUS], angle=0.5)
+    return made.select("map_id", "lin", "decision", *_entries())
+
+
+def identify_many(spark, d):
+    """Two test maps at once, by test_id: how many inliers each hypothesis of each has."""
+    rows = _match_rows(spark, d).withColumn("test_id", F.when(F.col("qid") % 10 == 0, "even").otherwise("odd"))
+    models = model.hypotheses(rows)
+    best = model.best(models, model.inlier_counts(rows, models, _WIDE))
+    return best.select("test_id", "ref_id", "hyp", "n_inliers")
 
 
 def downscaled_roads(spark, d):
@@ -389,6 +464,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         global_orientation_hist, ref_angle, lrp_descriptor, half_choice_counts, normalize_cap, knn2_exact, snn_ratio_match, matches_per_ref,
         ref_sampling_prob, lstsq_similarity, ransac_pair_models, model_inliers, best_hypothesis, refined_models, weighted_inliers, identify_confidence,
         model_box_corners, overlay_inverse_model, svg_lines, svg_documents, truncated_pixels, results_filter_json, results_project_json,
-        fuzz_missing_count, union_extra_segments, removed_segments, fuzz_jitter, fuzz_inaccuracy, downscaled_roads, descriptor_budget, multiset_union, keypoint_scale,
+        fuzz_missing_count, fuzz_missing, union_extra_segments, removed_segments, fuzz_jitter, fuzz_inaccuracy, fuzz_extra, fuzz_all, shift_segments, map_image_pixels,
+        wide_pixels, match_picture, npy_round_trip, lrp_descriptor_entries, lrp_descriptor_override, identify_many, downscaled_roads, descriptor_budget, multiset_union, keypoint_scale,
     )
     return {f.__name__: f for f in names}

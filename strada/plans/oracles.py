@@ -31,6 +31,15 @@ pix AS (SELECT map_id, seg_id, x, y FROM (
   SELECT map_id, seg_id, (CASE WHEN steep THEN b ELSE a END)::BIGINT AS x, (CASE WHEN steep THEN a ELSE b END)::BIGINT AS y FROM e6)
   WHERE x BETWEEN 0 AND 999 AND y BETWEEN 0 AND 999)"""
 )
+
+
+def _image(ends: str, side: int, pen: str) -> str:
+    """dots: the pixels of segments with these whole ends, drawn by a pen."""
+    steps = PIX[PIX.index("e2 AS"):].replace("AND 999", f"AND {side - 1}")
+    return f"""e1 AS ({ends}), {steps}, dots AS (SELECT DISTINCT map_id, x + dx AS x, y + dy AS y FROM pix, {pen} a(dx), {pen} b(dy) WHERE x + dx BETWEEN 0 AND {side - 1} AND y + dy BETWEEN 0 AND {side - 1})"""
+
+
+_DOTS = "SELECT map_id, count(*) AS n_pixels, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y FROM dots GROUP BY map_id"
 SEEN = (
     PIX
     + f""", tot AS (SELECT map_id, y, x, count(*) AS total FROM pix GROUP BY ALL),
@@ -75,6 +84,76 @@ turned AS (SELECT map_id, lin, CASE WHEN last > first THEN 'keep' ELSE 'switch'
 n1 AS (SELECT *, least(v / sqrt(sum(v * v) OVER (PARTITION BY map_id, lin)), 0.15::DOUBLE) AS v1 FROM turned),
 vec AS (SELECT map_id, lin, decision, pos, v1 / sqrt(sum(v1 * v1) OVER (PARTITION BY map_id, lin)) AS v FROM n1)"""
 )
+
+
+def _described(k: int, pix: str, r: int, side: int, angle: float | None = None) -> str:
+    """vec{k}: (map_id, lin, decision, pos, v) of descriptors of radius r of a level's pixels (map_id, seg_id, x, y, cnt)."""
+    off, cell = int(0.7 * r), 2 * r // 4
+    n = math.ceil((side - 2 * off) / r)
+    own = f"angles{k} AS (SELECT map_id, lin, {angle!r}::DOUBLE AS angle FROM hist{k})"
+    if angle is None:
+        own = f"""ha{k} AS (SELECT map_id, lin, [{", ".join(f"h{b}" for b in range(9))}] AS h FROM hist{k}),
+hb{k} AS (SELECT *, list_position(h, list_max(h)) - 1 AS b FROM ha{k}),
+hc{k} AS (SELECT *, h[(b + 8) % 9 + 1] AS hb, h[b + 1] AS hc, h[(b + 1) % 9 + 1] AS ha FROM hb{k}),
+angles{k} AS (SELECT map_id, lin, (CASE WHEN q < 0 THEN q + 9 WHEN q >= 9 THEN q - 9 ELSE q END) * {math.pi!r} / 9 AS angle
+  FROM (SELECT map_id, lin, (hb - ha) / (2 * (ha - 2 * hc + hb)) + b AS q FROM hc{k} WHERE ha - 2 * hc + hb <> 0))"""
+    at = lambda v: f"({v} / {cell}::DOUBLE - 0.5::DOUBLE)"
+    return f"""lev{k} AS ({pix}), tot{k} AS (SELECT map_id, y, x, sum(cnt) AS total FROM lev{k} GROUP BY ALL),
+kp{k} AS (SELECT *, {off} + {r} * col AS gx, {off} + {r} * row_ AS gy, row_ * {n} + col AS lin FROM (
+  SELECT map_id, seg_id, x, y, cnt, (floor((x - {off}) / {r}::DOUBLE) + d)::BIGINT AS col, (floor((y - {off}) / {r}::DOUBLE) + e)::BIGINT AS row_ FROM lev{k}, (VALUES (0), (1)) t1(d), (VALUES (0), (1)) t2(e))
+  WHERE col BETWEEN 0 AND {n - 1} AND row_ BETWEEN 0 AND {n - 1}),
+norm{k} AS (SELECT sqrt(4 * sum(exp(-(i * i + j * j) / {r * r}::DOUBLE)) FILTER (i > 0) + 1) AS nr FROM range({r + 1}) a(i), range({r + 1}) b(j)),
+el{k} AS (SELECT p.map_id, lin, gx, gy, p.x, p.y, p.seg_id, {ANGLE} AS angle_u, cnt * exp(-((p.x - gx) * (p.x - gx) + (p.y - gy) * (p.y - gy)) / {2 * r * r}::DOUBLE) / nr / total AS v
+  FROM kp{k} p JOIN tot{k} t ON p.map_id = t.map_id AND p.x = t.x AND p.y = t.y JOIN seg ON p.map_id = seg.map_id AND p.seg_id = seg.seg_id, norm{k}
+  WHERE p.x >= gx - {r} AND p.x < gx + {r} AND p.y >= gy - {r} AND p.y < gy + {r}),
+hist{k} AS (SELECT map_id, lin, {_H} FROM (SELECT *, angle_u / {math.pi / 9!r} AS p FROM el{k}) GROUP BY map_id, lin HAVING count(DISTINCT seg_id) > 10),
+{own},
+rot{k} AS (SELECT el.map_id, el.lin, v, {_BIN} AS p, round_even((x - gx) * cos(angle) + (y - gy) * sin(angle), 0)::INT + {r} AS j, round_even((y - gy) * cos(angle) - (x - gx) * sin(angle), 0)::INT + {r} AS i
+  FROM el{k} el JOIN angles{k} USING (map_id, lin)),
+cells{k} AS (SELECT *, ceil{at('i')}::INT AS c, 1 - (ceil{at('i')} - {at('i')}) AS wx, ceil{at('j')}::INT AS r, 1 - (ceil{at('j')} - {at('j')}) AS wy FROM rot{k} WHERE i BETWEEN 0 AND {2 * r - 1} AND j BETWEEN 0 AND {2 * r - 1}),
+shares{k} AS (SELECT map_id, lin, r - dr AS r, c - dc AS c, (floor(p)::INT + up) % 9 AS b,
+    v * (CASE WHEN up = 1 THEN p - floor(p) ELSE 1 - (p - floor(p)) END) * (CASE WHEN dr = 1 THEN 1 - wy ELSE wy END) * (CASE WHEN dc = 1 THEN 1 - wx ELSE wx END) AS v
+  FROM cells{k}, (VALUES (0), (1)) a(dr), (VALUES (0), (1)) b(dc), (VALUES (0), (1)) u(up)),
+entries{k} AS (SELECT map_id, lin, r, c, b, sum(v) AS v FROM shares{k} WHERE r BETWEEN 0 AND 3 AND c BETWEEN 0 AND 3 GROUP BY ALL),
+halves{k} AS (SELECT map_id, lin, coalesce(sum(v) FILTER (b = 0 AND r < 2), 0) AS first, coalesce(sum(v) FILTER (b = 0 AND r >= 2), 0) AS last FROM entries{k} GROUP BY ALL),
+turned{k} AS (SELECT map_id, lin, CASE WHEN last > first THEN 'keep' ELSE 'switch' END AS decision,
+    (CASE WHEN last > first THEN r * 4 + c ELSE 15 - (r * 4 + c) END) * 9 + b AS pos, v FROM entries{k} JOIN halves{k} USING (map_id, lin) WHERE last <> first),
+n1{k} AS (SELECT *, least(v / sqrt(sum(v * v) OVER (PARTITION BY map_id, lin)), 0.15::DOUBLE) AS v1 FROM turned{k}),
+vec{k} AS (SELECT map_id, lin, decision, pos, v1 / sqrt(sum(v1 * v1) OVER (PARTITION BY map_id, lin)) AS v FROM n1{k})"""
+
+
+_LEVEL = "SELECT map_id, seg_id, x // {z} AS x, y // {z} AS y, count(*) AS cnt FROM pix GROUP BY ALL"
+#: All numbers of a descriptor, in hundred thousandths, as one digest.
+_DIGEST = "md5(string_agg(pos || ':' || round(v * 100000)::BIGINT, ',' ORDER BY pos)) AS digest"
+
+
+def _hashed(seed: int, *of: str) -> str:
+    """A number in (0, 1) from a digest."""
+    return f"(('0x' || substr(md5({' || '.join(f'{c} || chr(47)' for c in of)} || '{seed}'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE"
+
+
+def _normal(seed: int, *of: str) -> str:
+    return f"(sqrt(-2 * ln({_hashed(seed, *of)})) * cos({2 * math.pi!r} * {_hashed(-1 - seed, *of)}))"
+
+
+_ID2 = ("map_id", "seg_id")
+
+
+def _moved(src: str, sd: float, *seeds: int) -> str:
+    return f"SELECT map_id, seg_id, {', '.join(f'{c} + {_normal(q, *_ID2)} * {sd!r}::DOUBLE AS {c}' for c, q in zip(('x1', 'y1', 'x2', 'y2'), seeds))} FROM {src}"
+
+
+def _left(share: float, seed: int) -> str:
+    return f"SELECT map_id, seg_id, x1, y1, x2, y2 FROM (SELECT *, row_number() OVER (PARTITION BY map_id ORDER BY md5(seg_id || '/{seed}'), seg_id) AS place, count(*) OVER (PARTITION BY map_id) AS n FROM seg) WHERE place > round(n * {share!r}::DOUBLE)"
+
+
+def _extra(share: float, length: float, sd: float, seed: int) -> str:
+    of = ("map_id", "i")
+    return f"""SELECT map_id, next_id + i AS seg_id, x1, y1, x1 + l * cos(a) AS x2, y1 + l * sin(a) AS y2 FROM (
+  SELECT map_id, i, next_id, {_hashed(seed, *of)} * 1000 AS x1, {_hashed(seed + 1, *of)} * 1000 AS y1, {_normal(seed + 2, *of)} * {sd!r}::DOUBLE + {length!r}::DOUBLE AS l, {_hashed(seed + 3, *of)} * {2 * math.pi!r} AS a
+  FROM (SELECT map_id, max(seg_id) + 1 AS next_id, unnest(range(round(count(*) * {share!r}::DOUBLE)::BIGINT)) AS i FROM seg GROUP BY map_id))"""
+
+
 KNN = """near AS (
   SELECT q.vec_id AS qid, r.vec_id AS rid, CAST(r.label AS VARCHAR) AS ref_id, list_distance(q.embedding::DOUBLE[], r.embedding::DOUBLE[]) AS dist
   FROM embeddings q, embeddings r WHERE q.vec_id % 5 = 0 AND r.vec_id % 5 <> 0
@@ -91,35 +170,60 @@ rws AS (SELECT m.*, r.x AS xr, r.y AS yr, r.s AS sr, r.o AS o_r, t.x AS xt, t.y
 )
 
 
-def _fit(source: str, keys: str) -> str:
-    """Centred weighted least squares of source (keys, xr, yr, xt, yt, w)."""
-    return f"""c1 AS (SELECT {keys}, count(*) AS n, sum(w * xr) / sum(w) AS mxr, sum(w * yr) / sum(w) AS myr, sum(w * xt) / sum(w) AS mxt, sum(w * yt) / sum(w) AS myt FROM {source} GROUP BY {keys}),
-c2 AS (SELECT {keys}, n, mxr, myr, mxt, myt, sum(w * ((xr - mxr) * (xt - mxt) + (yr - myr) * (yt - myt))) AS re, sum(w * ((yr - myr) * (xt - mxt) - (xr - mxr) * (yt - myt))) AS im,
-    sum(w * ((xt - mxt) * (xt - mxt) + (yt - myt) * (yt - myt))) AS tt, sum(w * ((xr - mxr) * (xr - mxr) + (yr - myr) * (yr - myr))) AS rr FROM {source} JOIN c1 USING ({keys}) GROUP BY {keys}, n, mxr, myr, mxt, myt),
-c3 AS (SELECT {keys}, mxr, myr, mxt, myt, re / tt AS a, im / tt AS b FROM c2 WHERE n >= 2 AND tt > 1e-9 AND (n > 2 OR rr > 1e-9)),
-model AS (SELECT {keys}, mxr - (a * mxt - b * myt) AS tx, myr - (a * myt + b * mxt) AS ty, sqrt(a * a + b * b) AS s, CASE WHEN atan2(b, a) >= {math.pi!r} THEN atan2(b, a) - {2 * math.pi!r} ELSE atan2(b, a) END AS o FROM c3)"""
+def _fit(source: str, keys: str, out: str = "model", tag: str = "") -> str:
+    """Centred weighted least squares of source (keys, xr, yr, xt, yt, w), as `out`."""
+    return f"""c1{tag} AS (SELECT {keys}, count(*) AS n, sum(w * xr) / sum(w) AS mxr, sum(w * yr) / sum(w) AS myr, sum(w * xt) / sum(w) AS mxt, sum(w * yt) / sum(w) AS myt FROM {source} GROUP BY {keys}),
+c2{tag} AS (SELECT {keys}, n, mxr, myr, mxt, myt, sum(w * ((xr - mxr) * (xt - mxt) + (yr - myr) * (yt - myt))) AS re, sum(w * ((yr - myr) * (xt - mxt) - (xr - mxr) * (yt - myt))) AS im,
+    sum(w * ((xt - mxt) * (xt - mxt) + (yt - myt) * (yt - myt))) AS tt, sum(w * ((xr - mxr) * (xr - mxr) + (yr - myr) * (yr - myr))) AS rr FROM {source} JOIN c1{tag} USING ({keys}) GROUP BY {keys}, n, mxr, myr, mxt, myt),
+c3{tag} AS (SELECT {keys}, mxr, myr, mxt, myt, re / tt AS a, im / tt AS b FROM c2{tag} WHERE n >= 2 AND tt > 1e-9 AND (n > 2 OR rr > 1e-9)),
+{out} AS MATERIALIZED (SELECT {keys}, mxr - (a * mxt - b * myt) AS tx, myr - (a * myt + b * mxt) AS ty, sqrt(a * a + b * b) AS s, CASE WHEN atan2(b, a) >= {math.pi!r} THEN atan2(b, a) - {2 * math.pi!r} ELSE atan2(b, a) END AS o FROM c3{tag})"""
 
 
-HYP = (
-    ROWS
-    + """, num AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY qid) - 1 AS k, count(*) OVER (PARTITION BY ref_id) AS cnt FROM rws),
+def _hypotheses(rows: str, keys: str, of_test: str) -> str:
+    """Models of sampled pairs of matches, each map (keys) having its share of the test map's 1000."""
+    return f"""num AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY qid) - 1 AS k, count(*) OVER (PARTITION BY {keys}) AS cnt FROM {rows}),
 enough AS (SELECT * FROM num WHERE cnt >= 2),
-cnts AS (SELECT DISTINCT ref_id, cnt FROM enough),
-hyps AS (SELECT ref_id, cnt, unnest(range(greatest(1, floor(1000 * cnt / (SELECT sum(cnt) FROM cnts)::DOUBLE)::BIGINT))) AS hyp FROM cnts),
-picks AS (SELECT ref_id, hyp, (hyp * 7919 + 13) % cnt AS i, ((hyp * 7919 + 13) % cnt + 1 + (hyp * 104729) % (cnt - 1)) % cnt AS j FROM hyps),
-pair AS (SELECT p.hyp, s.* FROM picks p JOIN enough s ON s.ref_id = p.ref_id AND s.k IN (p.i, p.j)), """
-    + _fit("pair", "ref_id, hyp")
-)
+cnts AS (SELECT *, sum(cnt) OVER ({of_test}) AS every FROM (SELECT DISTINCT {keys}, cnt FROM enough)),
+hyps AS (SELECT {keys}, cnt, unnest(range(greatest(1, floor(1000 * cnt / every::DOUBLE)::BIGINT))) AS hyp FROM cnts),
+picks AS (SELECT {keys}, hyp, (hyp * 7919 + 13) % cnt AS i, ((hyp * 7919 + 13) % cnt + 1 + (hyp * 104729) % (cnt - 1)) % cnt AS j FROM hyps),
+pair AS (SELECT hyp, e.* FROM picks JOIN enough e USING ({keys}) WHERE e.k IN (i, j)), """ + _fit("pair", keys + ", hyp")
+
+
+HYP = ROWS + ", " + _hypotheses("rws", "ref_id", "")
 _TURN = f"o_r - (CASE WHEN fmod(o_t + o, {math.pi!r}) < 0 THEN fmod(o_t + o, {math.pi!r}) + {math.pi!r} ELSE fmod(o_t + o, {math.pi!r}) END)"
-INLIER = (
-    HYP
-    + f""", sc AS (SELECT r.*, model.hyp, model.tx, model.ty, model.s, model.o, {_TURN} AS turn FROM rws r JOIN model ON r.ref_id = model.ref_id),
-sd AS (SELECT ref_id, hyp, CASE WHEN turn < -{math.pi / 2!r} THEN turn + {math.pi!r} WHEN turn >= {math.pi / 2!r} THEN turn - {math.pi!r} ELSE turn END AS d,
-    (power(s * (cos(o) * xt - sin(o) * yt) + tx - xr, 2) + power(s * (sin(o) * xt + cos(o) * yt) + ty - yr, 2)) / 1e6 AS far,
-    (power((cos(o) * (xr - tx) + sin(o) * (yr - ty)) / nullif(s, 0) - xt, 2) + power((cos(o) * (yr - ty) - sin(o) * (xr - tx)) / nullif(s, 0) - yt, 2)) / 1e6 AS nearer,
-    (power(sr / 1000, 2) + power(st / 1000, 2)) AS size FROM sc),
-cntd AS (SELECT ref_id, hyp, sum((abs(d) / {2 * math.pi!r} <= 0.2 AND coalesce(far + nearer < 64 * size, false))::BIGINT)::BIGINT AS n_inliers FROM sd GROUP BY ref_id, hyp)"""
-)
+#: Whether a match agrees with the model in the same row, with dtol 8 and atol 0.2.
+_AGREES = f"""(abs(CASE WHEN {_TURN} < -{math.pi / 2!r} THEN {_TURN} + {math.pi!r} WHEN {_TURN} >= {math.pi / 2!r} THEN {_TURN} - {math.pi!r} ELSE {_TURN} END) / {2 * math.pi!r} <= 0.2 AND coalesce(
+    (power(s * (cos(o) * xt - sin(o) * yt) + tx - xr, 2) + power(s * (sin(o) * xt + cos(o) * yt) + ty - yr, 2)) / 1e6
+    + (power((cos(o) * (xr - tx) + sin(o) * (yr - ty)) / nullif(s, 0) - xt, 2) + power((cos(o) * (yr - ty) - sin(o) * (xr - tx)) / nullif(s, 0) - yt, 2)) / 1e6
+    < 64 * (power(sr / 1000, 2) + power(st / 1000, 2)), false))"""
+
+
+def _counted(rows: str, keys: str) -> str:
+    return f"cntd AS (SELECT {keys}, hyp, sum({_AGREES}::BIGINT)::BIGINT AS n_inliers FROM {rows} JOIN model USING ({keys}) GROUP BY {keys}, hyp)"
+
+
+def _best(keys: str) -> str:
+    return f"best AS (SELECT {keys}, hyp, n_inliers FROM cntd WHERE n_inliers > 0 QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY n_inliers DESC, hyp) = 1)"
+
+
+INLIER = HYP + ", " + _counted("rws", "ref_id")
+# Two test maps: matches told apart by their test descriptor.
+MANY = (
+    ROWS + ", two AS (SELECT *, CASE WHEN qid % 10 = 0 THEN 'even' ELSE 'odd' END AS test_id FROM rws), " + _hypotheses("two", "test_id, ref_id", "PARTITION BY test_id")
+    + ", " + _counted("two", "test_id, ref_id") + ", " + _best("test_id, ref_id")
+)
+
+
+def _refits() -> str:
+    """Ten refits on the inliers of the model before; once the inliers stay the same, so does the model."""
+    parts = ["m0 AS MATERIALIZED (SELECT ref_id, tx, ty, s, o FROM model JOIN best USING (ref_id, hyp) WHERE (SELECT max(n_inliers) FROM best) < 30 OR n_inliers >= 30)"]
+    for k in range(11):
+        parts.append(f"i{k} AS MATERIALIZED (SELECT rws.*, tx, ty, s, o FROM rws JOIN m{k} USING (ref_id) WHERE {_AGREES})")
+        if k < 10:
+            parts.append(_fit(f"i{k}", "ref_id", f"m{k + 1}", f"_{k}"))
+    return ", ".join(parts)
+
+
 _VIS = "(least(999, {x} + {s}) - greatest(0, {x} - {s} + 1)) * (least(999, {y} + {s}) - greatest(0, {y} - {s} + 1)) / power(2 * {s}, 2)"
 VIS = ROWS + f""", vis AS (SELECT ref_id, {_VIS.format(x="xt", y="yt", s="st")} AS t, {_VIS.format(x="xr", y="yr", s="sr")} AS r FROM rws)"""
 
@@ -195,6 +299,24 @@ _INV = ", ".join(
 _SVG = """'<line x1="' || floor(x1)::BIGINT || '.0" y1="' || floor(y1)::BIGINT || '.0" x2="' || floor(x2)::BIGINT || '.0" y2="' || floor(y2)::BIGINT || '.0" />'"""
 
 ORACLES: dict[str, str] = {
+    "fuzz_missing": f"WITH {SEG} SELECT map_id, seg_id FROM ({_left(0.1, 5)})",
+    "fuzz_jitter": f"WITH {SEG} SELECT map_id, seg_id, {_xy('x1', 'y1', 'x2', 'y2')} FROM ({_moved('seg', 1.0, 5, 6, 7, 8)})",
+    "fuzz_inaccuracy": f"WITH {SEG} SELECT map_id, seg_id, {_xy('x1', 'y1', 'x2', 'y2')} FROM ({_moved('seg', 1.0, 5, 6, 5, 6)})",
+    "fuzz_extra": f"WITH {SEG} SELECT map_id, seg_id, {_xy('x1', 'y1', 'x2', 'y2')} FROM ({_extra(0.1, 40.0, 20.0, 5)})",
+    "fuzz_all": f"""WITH {SEG}, f1 AS ({_left(0.1, 7)}), f2 AS ({_moved('f1', 1.0, 17, 18, 19, 20)}), f3 AS ({_moved('f2', 2.0, 27, 28, 27, 28)})
+      SELECT map_id, seg_id, {_xy('x1', 'y1', 'x2', 'y2')} FROM (SELECT * FROM f3 UNION ALL {_extra(0.05, 40.0, 20.0, 37)})""",
+    "shift_segments": f"WITH {SEG} SELECT seg_id, {_xy('x1 - 12.5', 'y1 + 7.25', 'x2 - 12.5', 'y2 + 7.25')} FROM seg",
+    "map_image_pixels": f"""WITH {SEG}, {_image("SELECT map_id, seg_id, " + ", ".join(f"trunc({c} * 0.001::DOUBLE * 800)::BIGINT AS {a}" for c, a in zip(("x1", "y1", "x2", "y2"), ("ax", "ay", "bx", "cy")))
+      + " FROM seg WHERE sqrt(power((x1 - x2) * 0.001::DOUBLE, 2) + power((y1 - y2) * 0.001::DOUBLE, 2)) >= 0.05", 800, "(VALUES (0), (1))")} {_DOTS}""",
+    "wide_pixels": f"""WITH {SEG}, {_image("SELECT map_id, seg_id, round(x1)::BIGINT AS ax, round(y1)::BIGINT AS ay, round(x2)::BIGINT AS bx, round(y2)::BIGINT AS cy FROM seg", 1000, "(VALUES (-1), (0), (1))")} {_DOTS}""",
+    "match_picture": f"""WITH {ROWS}, t AS (SELECT ref_id, qid, trunc(xr)::INT AS xr, trunc(yr)::INT AS yr, trunc(xt)::INT + 1000 AS xt, trunc(yt)::INT AS yt, trunc(sr)::INT AS sr, trunc(st)::INT AS st FROM rws)
+      SELECT ref_id, qid, 'line' AS shape, xr AS x1, yr AS y1, xt AS x2, yt AS y2, -1 AS radius FROM t
+      UNION ALL SELECT ref_id, qid, 'ref', xr, yr, -1, -1, sr FROM t UNION ALL SELECT ref_id, qid, 'test', xt, yt, -1, -1, st FROM t""",
+    "npy_round_trip": f"WITH {SEG} SELECT map_id, count(*) AS n, count(*) - 1 AS last, {_xy('sum(x1)', 'sum(y1)', 'sum(x2)', 'sum(y2)')} FROM seg GROUP BY map_id",
+    "lrp_descriptor_entries": f"""WITH {PIX}, {_described(0, _LEVEL.format(z=1), 15, 1000)}, {_described(1, _LEVEL.format(z=2), 19, 500)}
+      SELECT level::INT AS level, map_id, lin::INT AS lin, count(*) AS n, {_DIGEST} FROM (SELECT 0 AS level, * FROM vec0 UNION ALL SELECT 1, * FROM vec1) WHERE round(v * 100000) <> 0 GROUP BY ALL""",
+    "lrp_descriptor_override": f"""WITH {PIX}, {_described(0, _LEVEL.format(z=1), 15, 1000, 0.5)}
+      SELECT map_id, lin::INT AS lin, decision, count(*) AS n, {_DIGEST} FROM vec0 WHERE round(v * 100000) <> 0 GROUP BY ALL""",
     "parse_wkt_osgb36": f"WITH {WKT} SELECT map_id, seg_id, a::DOUBLE AS x1, b::DOUBLE AS y1, c::DOUBLE AS x2, d::DOUBLE AS y2 FROM n WHERE seg_id % 7 <> 0 AND least(a, b, c, d) >= 0",
     "parse_wkt_latlong": f"WITH {WKT} SELECT map_id, seg_id, b::DOUBLE AS x1, a::DOUBLE AS y1, d::DOUBLE AS x2, c::DOUBLE AS y2 FROM n WHERE seg_id % 7 <> 0",
     "condition_osgb36": _cond(False),
@@ -247,7 +369,9 @@ ORACLES: dict[str, str] = {
     "lstsq_similarity": f"WITH {ROWS}, {_fit('rws', 'ref_id')} SELECT ref_id, {_MODELCOLS} FROM model",
     "ransac_pair_models": f"WITH {HYP} SELECT ref_id, hyp::INT AS hyp, {_MODELCOLS} FROM model",
     "model_inliers": f"WITH {INLIER} SELECT ref_id, hyp::INT AS hyp, n_inliers FROM cntd",
-    "best_hypothesis": f"WITH {INLIER} SELECT ref_id, hyp::INT AS hyp, n_inliers FROM cntd WHERE n_inliers > 0 QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY n_inliers DESC, hyp) = 1",
+    "best_hypothesis": f"WITH {INLIER}, {_best('ref_id')} SELECT ref_id, hyp::INT AS hyp, n_inliers FROM best",
+    "identify_many": f"WITH {MANY} SELECT test_id, ref_id, hyp::INT AS hyp, n_inliers FROM best",
+    "refined_models": f"WITH {INLIER}, {_best('ref_id')}, {_refits()} SELECT ref_id, qid, count(*) OVER (PARTITION BY ref_id) AS n_inliers, {_MODELCOLS} FROM i10",
     "weighted_inliers": f"WITH {VIS} SELECT ref_id, {r6('sum(2 * t * r / nullif(t + r, 0))', 'w')} FROM vis GROUP BY ref_id",
     "identify_confidence": f"""WITH {VIS}, {_fit('rws', 'ref_id')}, ws AS (SELECT ref_id, sum(2 * t * r / nullif(t + r, 0)) AS w FROM vis SEMI JOIN (SELECT ref_id FROM model WHERE 1000 * s * 2 BETWEEN 50 AND 10000) USING (ref_id) GROUP BY ref_id),
       en AS (SELECT *, max(w) OVER () AS top FROM ws WHERE w >= 0.5), nr AS (SELECT * FROM en WHERE w >= 0.6::DOUBLE * top) SELECT ref_id, {r6('w / sum(w) OVER ()', 'confidence')} FROM nr""",

@@ -30,13 +30,13 @@ def _levels(spark: SparkSession, map_id: str, width: int, height: int, plan: gri
     return spark.createDataFrame(rows, "map_id string, level int, radius int, w int, h int")
 
 
-def describe(segs: DataFrame, map_id: str, width: int, height: int, plan: grid.ScalePlan, config: DescriptorConfig | None = None) -> DataFrame:
-    """Descriptors with keypoints of one map given in pixels, at all octaves of the plan."""
+def describe(segs: DataFrame, map_id: str, width: int, height: int, plan: grid.ScalePlan, config: DescriptorConfig | None = None, angle: float | None = None) -> DataFrame:
+    """Descriptors with keypoints of one map given in pixels, at all octaves of the plan; `angle` overrides the reference angles."""
     config = config or DescriptorConfig()
     levels = _levels(segs.sparkSession, map_id, width, height, plan, config)
     pixels = raster.pyramid(raster.rasterize(segs, width, height), list(range(plan.smin, plan.smax + 1)))
     roads = segs.select("map_id", "seg_id", angle_unoriented().alias("angle_u"))
-    return descriptor.keypoints(descriptor.describe(pixels, roads, levels, grid.valid_radii(config), config))
+    return descriptor.keypoints(descriptor.describe(pixels, roads, levels, grid.valid_radii(config), config, angle))
 
 
 def plan_by_density(segs: DataFrame, width: int, height: int, low: float = 0.05, high: float = 0.2, config: DescriptorConfig | None = None) -> grid.ScalePlan:
@@ -55,17 +55,31 @@ def plan_by_scale(metres_a_pixel: float, smallest: float = 50.0, largest: float
     return grid.scale_plan(*[max(int(m / metres_a_pixel), config.radius_min) for m in (smallest, largest)], config)
 
 
-def match_rows(tests: DataFrame, refs: DataFrame, test_size: tuple[int, int], ref_sizes: DataFrame, config: MatchConfig | None = None) -> DataFrame:
-    """Matches with both keypoints: tests and refs as `describe` makes them, ref_sizes (map_id, w, h); sizes are (height, width)."""
-    config = config or MatchConfig()
-    number = F.xxhash64("map_id", "level", "radius", "lin")
-    q = tests.select(number.alias("qid"), "desc", *[F.col(a).alias(b) for a, b in (("x", "xt"), ("y", "yt"), ("s", "st"), ("o", "o_t"))])
+_ID = ("map_id", "level", "radius", "lin")
+
+
+def _matched(tests: DataFrame, refs: DataFrame, test_sizes: DataFrame, ref_sizes: DataFrame, config: MatchConfig) -> DataFrame:
+    """Matches with both keypoints and both maps' sizes, by test_id and ref_id."""
+    number = F.xxhash64(*_ID)
+    q = tests.select(number.alias("qid"), F.col("map_id").alias("test_id"), "desc", *[F.col(a).alias(b) for a, b in (("x", "xt"), ("y", "yt"), ("s", "st"), ("o", "o_t"))])
     r = refs.select(number.alias("rid"), F.col("map_id").alias("ref_id"), "desc", *[F.col(a).alias(b) for a, b in (("x", "xr"), ("y", "yr"), ("s", "sr"), ("o", "o_r"))])
     near = match.ratio_matches(match.knn2(q, r), config.ratio)
-    sizes = ref_sizes.select(F.col("map_id").alias("ref_id"), F.col("w").cast("double").alias("w_ref"), F.col("h").cast("double").alias("h_ref"))
-    both = near.join(q.drop("desc"), "qid").join(r.drop("desc"), ["rid", "ref_id"]).join(sizes, "ref_id")
-    h, w = map(float, test_size)
-    return both.withColumns({"w_test": F.lit(w), "h_test": F.lit(h), "c_test": F.lit(max(h, w)), "c_ref": F.greatest("w_ref", "h_ref")})
+    size = lambda d, name, s: d.select(F.col("map_id").alias(name), F.col("w").cast("double").alias("w_" + s), F.col("h").cast("double").alias("h_" + s))
+    both = near.join(q.drop("desc"), "qid").join(r.drop("desc"), ["rid", "ref_id"]).join(size(ref_sizes, "ref_id", "ref"), "ref_id").join(size(test_sizes, "test_id", "test"), "test_id")
+    return both.withColumns({"c_test": F.greatest("h_test", "w_test"), "c_ref": F.greatest("w_ref", "h_ref")})
+
+
+def match_rows(tests: DataFrame, refs: DataFrame, test_size: tuple[int, int] | DataFrame, ref_sizes: DataFrame, config: MatchConfig | None = None) -> DataFrame:
+    """Matches with both keypoints: tests and refs as `describe` makes them, ref_sizes (map_id, w, h).
+
+    test_size is (height, width) of the one test map, or sizes (map_id, w, h) of many, whose matches have a test_id.
+    """
+    config = config or MatchConfig()
+    if isinstance(test_size, DataFrame):
+        return _matched(tests, refs, test_size, ref_sizes, config)
+    h, w = test_size
+    sizes = tests.select("map_id").distinct().withColumns({"w": F.lit(w), "h": F.lit(h)})
+    return _matched(tests, refs, sizes, ref_sizes, config).drop("test_id")
 
 
 def identify_map(tests: DataFrame, refs: DataFrame, test_size: tuple[int, int], ref_sizes: DataFrame, scales: DataFrame, config: MatchConfig | None = None) -> tuple[DataFrame, DataFrame]:
@@ -74,6 +88,15 @@ def identify_map(tests: DataFrame, refs: DataFrame, test_size: tuple[int, int],
     return identify.identify(inliers, scales, max(test_size), config), inliers
 
 
+def identify_maps(tests: DataFrame, refs: DataFrame, test_sizes: DataFrame, ref_sizes: DataFrame, scales: DataFrame, config: MatchConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """As `identify_map` for any number of test maps in one plan, by test_id: test_sizes (map_id, w, h).
+
+    Descriptors of the test maps must have been made apart, each by its map_id; a test map without a match has no row.
+    """
+    inliers = model.estimate(match_rows(tests, refs, test_sizes, ref_sizes, config), config)
+    return identify.identify(inliers, scales, None, config), inliers
+
+
 def image_segments(segs: DataFrame, size: int) -> DataFrame:
     """The segments that a map drawn at `size` pixels describes."""
     return render.drawn(segs, size).where("is_described").drop("is_described")

@@ -31,8 +31,8 @@ def _binary(spark: SparkSession, path) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", _NAME, 1).alias("name"), "content")
 
 
-def read_segments(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(map_id, seg_id, x1..y2) of .npy files, a map a file, in the order of the rows."""
+def segments_of(files: DataFrame) -> DataFrame:
+    """(map_id, seg_id, x1..y2) of (name, content of a .npy file), in the order of the rows."""
 
     def run(batches):
         for batch in batches:
@@ -40,7 +40,12 @@ def read_segments(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 rows = as_segments(np.load(io.BytesIO(raw), allow_pickle=False))
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(np.arange(len(rows))), *[pa.array(rows[:, k]) for k in range(4)]], names=["map_id", "seg_id", "x1", "y1", "x2", "y2"])
 
-    return _binary(spark, path).mapInArrow(run, "map_id string, seg_id long, x1 double, y1 double, x2 double, y2 double")
+    return files.mapInArrow(run, "map_id string, seg_id long, x1 double, y1 double, x2 double, y2 double")
+
+
+def read_segments(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(map_id, seg_id, x1..y2) of .npy files, a map a file, in the order of the rows."""
+    return segments_of(_binary(spark, path))
 
 
 def read_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -76,3 +81,37 @@ def read_images(spark: SparkSession, path: str | list[str], colour: bool = False
 def write_segments(segs: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet, a folder a map."""
     segs.write.mode(mode).partitionBy("map_id").parquet(path)
+
+
+def npy_bytes(array: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, array, allow_pickle=False)
+    return out.getvalue()
+
+
+def save_array(spark: SparkSession, path: str, array: np.ndarray) -> None:
+    """One array to a .npy file of exactly this name, by Hadoop's file systems."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        stream.write(bytearray(npy_bytes(array)))
+    finally:
+        stream.close()
+
+
+def save_segments(segs: DataFrame, path: str) -> None:
+    """The segments of one map, in the order of seg_id, to a .npy file; a map that one process can draw."""
+    rows = segs.select("seg_id", "x1", "y1", "x2", "y2").orderBy("seg_id").toPandas()
+    save_array(segs.sparkSession, path, rows[["x1", "y1", "x2", "y2"]].to_numpy(np.float64))
+
+
+def npy_files(segs: DataFrame) -> DataFrame:
+    """(map_id, content): the .npy file of each map, made where its segments are."""
+
+    def one(key, table):
+        t = table.sort_by("seg_id")
+        values = np.stack([t[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
+        return pa.table({"map_id": pa.array([key[0].as_py()], pa.string()), "content": pa.array([npy_bytes(values)], pa.binary())})
+
+    return segs.groupBy("map_id").applyInArrow(one, "map_id string, content binary")

@@ -18,8 +18,10 @@ def read_descriptors(spark: SparkSession, path: str, schema) -> DataFrame:
 
 def matches_of(batch: DataFrame, refs: DataFrame, ratio: float = 0.95) -> DataFrame:
     """(map_id, qid, rid, ref_id, d1, d2) of a batch of (map_id, qid, desc)."""
-    found = match.ratio_matches(match.knn2(batch, refs), ratio)
-    return found.join(batch.select("map_id", "qid"), "qid").select("map_id", "qid", "rid", "ref_id", "d1", "d2")
+    # Two maps of a batch may use the same qid: rows are matched by both.
+    own = batch.withColumn("__q", F.xxhash64("map_id", "qid"))
+    found = match.ratio_matches(match.knn2(own.select(F.col("__q").alias("qid"), "desc"), refs), ratio)
+    return found.withColumnRenamed("qid", "__q").join(own.select("map_id", "qid", "__q"), "__q").select("map_id", "qid", "rid", "ref_id", "d1", "d2")
 
 
 def start(stream: DataFrame, refs: Callable[[], DataFrame], out: str, checkpoint: str, ratio: float = 0.95, once: bool = True) -> StreamingQuery:

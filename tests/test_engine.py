@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strada.operators import fuzz, grid, identify, match, render
+from strada.operators import fuzz, grid, identify, match, raster, render
 from strada.plans import pipeline
 from strada.schema import DescriptorConfig, MatchConfig
 from strada.sources import arrays, store
@@ -68,7 +68,9 @@ def test_two_nearest_and_streaming(spark, tmp_path, monkeypatch):
     tests = [("t", i, (np.array(refs[i][2]) + rng.normal(size=6) * 0.05).tolist()) for i in range(12)]
     r = spark.createDataFrame(refs, "ref_id string, rid long, desc array<double>").repartition(3)
     t = spark.createDataFrame(tests, "map_id string, qid long, desc array<double>")
-    monkeypatch.setattr(match, "SLICE", 5)
+    monkeypatch.setattr(match, "TESTS", 5)
+    monkeypatch.setattr(match, "REFS", 20)
+    monkeypatch.setattr(match, "TILE", 2)
     got = {(x["qid"], x["rn"]): (x["rid"], x["dist"]) for x in match.knn2(t, r).collect()}
     for _, q, v in tests:
         near = sorted((float(np.linalg.norm(np.array(v) - np.array(d))), rid) for _, rid, d in refs)[:2]
@@ -143,3 +145,37 @@ def test_a_turned_and_scaled_crop_is_found(spark, tmp_path):
     m = inliers.where("ref_id = 'town1'").first()
     assert abs(m["s"] / s - 1) < 0.05 and abs(math.remainder(m["o"] - o, math.pi)) < math.radians(4)
     assert DescriptorConfig().length == 144
+    # Two test maps in one plan are found as each by itself; half of the keypoints are the other one's.
+    half = tests.where("lin % 2 = 0").withColumn("map_id", F.lit("u"))
+    alone, _ = pipeline.identify_map(half, refs, (300, 330), sizes, scales, MatchConfig())
+    shapes = spark.createDataFrame([("t", 330, 300), ("u", 330, 300), ("v", 9, 9)], "map_id string, w int, h int")
+    both, seen = pipeline.identify_maps(tests.unionByName(half), refs, shapes, sizes, scales, MatchConfig())
+    want = {("t", k): v for k, v in got.items()} | {("u", r["ref_id"]): r["confidence"] for r in alone.collect()}
+    have = {(r["test_id"], r["ref_id"]): r["confidence"] for r in both.collect()}
+    assert have.keys() == want.keys() and all(np.isclose(have[k], want[k]) for k in want) and seen.select("test_id").distinct().count() == 2
+
+
+def test_noise_does_not_depend_on_the_layout(spark):
+    df = spark.createDataFrame([(f"m{i % 3}", i, float(i), 0.0, float(i), 10.0) for i in range(9000)], SEG)
+    noise = fuzz.Noise(0.3, 1.0, 2.0, 0.1)
+    one, two = (sorted(map(tuple, fuzz.fuzz(d, noise, 100, 100, 4).collect())) for d in (df, df.repartition(7, "y1")))
+    assert one == two and len(one) == 3 * (2100 + 300)
+    z = np.array([tuple(r) for r in spark.range(20_000).select(fuzz.normal(3, "id"), fuzz.uniform(3, "id")).collect()])
+    assert abs(z[:, 0].mean()) < 0.03 and abs(z[:, 0].std() - 1) < 0.03 and abs(z[:, 1].mean() - 0.5) < 0.01
+    assert [fuzz.remove(df, s, 1).count() for s in (0.0, 1.0, 2.0)] == [9000, 0, 0] and fuzz.remove(df.where("false"), 0.5, 1).count() == 0
+
+
+def test_wide_lines(spark):
+    df = spark.createDataFrame([("m", 0, 2.4, 2.0, 5.6, 2.0), ("m", 1, 0.0, 0.0, 0.0, 0.0)], SEG)
+    dots = lambda w, cut=False: {(r["x"], r["y"]) for r in raster.drawn_pixels(df, 8, 8, w, cut).collect()}
+    assert dots(1) == {(x, 2) for x in range(2, 7)} | {(0, 0)}
+    assert dots(1, True) == {(x, 2) for x in range(2, 6)} | {(0, 0)}
+    assert dots(3) == {(x, y) for x in range(1, 8) for y in (1, 2, 3)} | {(0, 0), (1, 0), (0, 1), (1, 1)}
+
+
+def test_npy_files(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 1.0, 2.0, 3.0, 4.0), ("a", 0, 5.0, 6.0, 7.0, 8.0)], SEG)
+    arrays.save_segments(df, f"file://{tmp_path}/a.npy")
+    assert np.load(tmp_path / "a.npy").tolist() == [[5, 6, 7, 8], [1, 2, 3, 4]]
+    arrays.save_array(spark, f"file://{tmp_path}/b.npy", np.arange(3))
+    assert np.load(tmp_path / "b.npy").tolist() == [0, 1, 2]
