@@ -101,7 +101,7 @@ class Vocabulary:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known = WordCache()
+        self.known = WordCache(self.model.get_piece_size())
 
     def encode(self, block: TextBlock, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all words in order, number of pieces of each word)."""

@@ -69,6 +69,10 @@ def _cut(block: TextBlock) -> None:
     block.cut(at)
 
 
+#: Words of one call of the library; its cost a word grows with their number.
+CALL = 2048
+
+
 class Encoder:
     def __init__(self, path: str, end: int, spaces: bool):
         """end: the id put after each text. spaces: whether white space gets ids (byte-level) or is dropped."""
@@ -76,7 +80,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.end, self.spaces = end, spaces
-        self.known = WordCache()
+        self.known = WordCache(self.library.get_vocab_size())
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; where each text begins in them, and the end)."""
@@ -102,8 +106,12 @@ class Encoder:
             at = first[new]
             before = np.where(head[at], "", " ") if self.spaces else np.full(len(at), "")
             words = [b + raw[s:e].decode() for b, s, e in zip(before.tolist(), block.starts[at].tolist(), block.ends[at].tolist())]
-            got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-            return np.bincount(np.array(got.word_ids, np.int64), minlength=len(words)), np.array(got.ids, np.int32)
+            sizes, ids = [], []
+            for k in range(0, len(words), CALL):
+                got = self.library.encode(words[k : k + CALL], is_pretokenized=True, add_special_tokens=False)
+                sizes.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(words[k : k + CALL])))
+                ids.append(np.array(got.ids, np.int32))
+            return np.concatenate(sizes), np.concatenate(ids)
 
         begin, n, flat = self.known.pieces(distinct, checks[first], learn)
         begin, n = begin[which], n[which]

@@ -23,19 +23,19 @@ def forget() -> None:
 
 
 class WordCache:
-    """Pieces of words met before: a table of SLOTS places of 41 bytes, never more.
+    """Pieces of words met before: a table of SLOTS places, never more; of 33 bytes each for a vocabulary of up to 65,536.
 
     A word has one place, told by its hash, and takes it from the word that was there. Two hashes
     of 64 bits, independent of each other, must agree. Words of more than WIDTH pieces are not kept.
     """
 
-    SLOTS, WIDTH = 1 << 19, 6
+    SLOTS, WIDTH = 1 << 21, 8
 
-    def __init__(self) -> None:
+    def __init__(self, vocabulary: int = 1 << 31) -> None:
         self.key = np.zeros(self.SLOTS, np.uint64)
         self.check = np.zeros(self.SLOTS, np.uint64)
         self.size = np.zeros(self.SLOTS, np.int8)
-        self.held = np.zeros((self.SLOTS, self.WIDTH), np.int32)
+        self.held = np.zeros((self.SLOTS, self.WIDTH), np.uint16 if vocabulary <= 1 << 16 else np.int32)
 
     def pieces(self, key: np.ndarray, check: np.ndarray, learn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
         """(place of each word's pieces, their number, pieces) of distinct words. `learn` gives (numbers, pieces) of those at some indices."""
@@ -55,7 +55,7 @@ class WordCache:
         before = np.cumsum(size[old])
         begin[old] = len(flat) + before - size[old]
         kept = self.held[slot[old]][np.arange(self.WIDTH) < size[old][:, None]]
-        out = np.concatenate([flat, kept])
+        out = np.concatenate([flat, kept.astype(np.int32, copy=False)])
         fits = new[(size[new] > 0) & (size[new] <= self.WIDTH)]
         if len(fits):
             # of new words with one place the last stays; all arrays are set for the same one
@@ -63,7 +63,7 @@ class WordCache:
             at = slot[fits]
             self.key[at], self.check[at], self.size[at] = key[fits], check[fits], size[fits]
             inside = np.arange(self.WIDTH) < size[fits][:, None]
-            rows = np.zeros((len(fits), self.WIDTH), np.int32)
+            rows = np.zeros((len(fits), self.WIDTH), self.held.dtype)
             rows[inside] = out[(begin[fits][:, None] + np.arange(self.WIDTH))[inside]]
             self.held[at] = rows
         return begin, size, out
