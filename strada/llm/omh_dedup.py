@@ -10,7 +10,8 @@ band keys; at similarity 0.8 a pair shares one of the 16 with probability 0.9998
 A pair is verified by an alignment: shingles of one are matched to equal ones of the
 other within a band of diagonals, and the longest chain that runs forward in both
 is the alignment (a sparse longest common subsequence). With c shingles in it the
-similarity is c / (a + b - c), at least 0.8. The band is not a cut-off: at that
+similarity is c / (a + b - c), at least 0.8. Words, labelled shingles and rows of words are compared by
+64-bit hashes (whole texts by two of them); no hash is a polynomial. The band is not a cut-off: at that
 similarity at most (a + b) / 9 shingles are not common, so no wider diagonal can matter.
 
 Copies are collapsed to representatives first. In each bucket of a band all members are
@@ -19,7 +20,8 @@ not the centre's. Then, so that no link is lost, the members of a bucket that ar
 its largest class are compared with all others: both sides are dealt into chunks of bounded
 size, a task compares two chunks in arrays and returns only links that join classes, so
 no pairs become rows. Pairs within a class are not compared: they change nothing.
-Classes are connected components, found with DataFrames.
+Classes are connected components, found with DataFrames; what is returned is one row per document with the id of
+its class, and the first of its exact copies, not its links.
 
 Defined results: a null text counts as empty; texts of equal words are copies, all
 empty ones of each other; a text of under five words has copies only; rows with one key
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import blocks, fresh, numbered, release, scratch, text_or_empty
+from .common import blocks, discard, fresh, numbered, release, scratch, text_or_empty
 from .components import components
 from .textblock import TextBlock, mix, repeats, summed
 from .wordcache import forget
@@ -196,6 +198,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     contents = scratch(rows.select("row", "text").mapInArrow(_contents(plane), "row long, shingles array<long>"), "contents")
 
     links = _linked(first_pairs, contents)
+    discard(first_pairs, candidates)
     labels = components(links)
     for turn in range(1, CENTRES + 2):
         more = _linked(centred(labels, turn), contents) if turn <= CENTRES else _joining(members, labels, contents)

@@ -1,9 +1,9 @@
-"""Operator 6, substring dedup: relative Lempel-Ziv parsing.
+"""Operator 6, substring dedup: what a relative Lempel-Ziv parse against the collection itself would factor.
 
-The collection is parsed relative to itself: the reference of a passage is its first
-occurrence in the order (document, position). A factor is a run of words that also
-starts earlier in that order; factors of at least `window` words are duplicate spans,
-and every word of them goes.
+The reference of a passage is its first occurrence in the order (document, position). A factor is a
+run of words that also starts earlier in that order; factors of at least `window` words are
+duplicate spans, and every word of them goes. Factors are not parsed greedily: by the contract each
+window counts by itself, so anchors (winnowing) and hashes of whole windows stand in for the parse.
 
 Reference blocks are indexed by anchors. Of each window's `gram`-word shingles the one
 with the smallest hash, the leftmost of equals, is the window's anchor: equal windows have
@@ -26,8 +26,7 @@ two independent 64-bit hashes (anchor and block, or anchor and window).
 
 Defined results: a null text has no words; an empty text and one of fewer words than a
 window lose none; rows with equal keys (repeated rows) are told apart by their content and
-place, the first one by text standing first; further columns are not read by `spans` and
-are kept by `remove`; an empty table gives an empty table.
+place, the first one by text standing first; further columns are neither read nor returned; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ driver holds one manifest row a shard.
 
 Defined results: a null text counts as empty and gets the end id only; rows with equal
 keys are all kept, ordered by their text; an empty table gives no shard and an empty
-table; further columns are not read.
+table; further columns are not read. The format's keys are 64-bit integers: a key of another type
+is cast, and one that cannot be is an error (Spark's, before anything is written). Shards are written by
+Arrow's file systems, to stores that these know; s3a, s3n, wasb and wasbs are taken for Arrow's names.
 """
 
 from __future__ import annotations
@@ -195,10 +197,20 @@ class Vocabulary:
         return 2 if self.size <= 1 << 16 else 4
 
 
-def open_shard(path: str):
+#: Hadoop's names of stores that have another one in Arrow.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def place(path: str):
+    """(file system, path in it) of a URI as Hadoop writes it."""
     from pyarrow import fs
 
-    where, at = fs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition(":")
+    return fs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + colon + rest)
+
+
+def open_shard(path: str):
+    where, at = place(path)
     return where.open_input_file(at)
 
 
@@ -208,7 +220,6 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str | None = None, ke
     folder = folder or scratch_path(spark, "sst")
 
     def run(batches):
-        from pyarrow import fs
         from pyspark import TaskContext
 
         task = TaskContext.get()
@@ -217,7 +228,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str | None = None, ke
         out = writer = None
         for batch in blocks(batches, size=2 << 20):
             if writer is None:
-                where, at = fs.FileSystem.from_uri(path)
+                where, at = place(path)
                 where.create_dir(at.rpartition("/")[0])
                 out = where.open_output_stream(at)
                 writer = Writer(out, vocabulary.width)

@@ -877,3 +877,31 @@ def test_pipeline_keeps_columns_and_is_whole(spark, tmp_path):
     assert set(kept["mixing"]) <= set(kept["near_dedup"])
     out = pipeline.run(spark, str(tmp_path))
     assert out.count() > 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(51)
+    long = spark.createDataFrame([(7, prose(rng, 60_000), "en", None, 0), (None, prose(rng, 80), None, "b", 0), (9, prose(rng, 70), "en", "c", 0)] + [(11, "same text of all " + prose(random.Random(52), 60), "en", "c", 0)] * 3, SCHEMA)
+    for name in odd.columns[5:]:
+        long = long.withColumn(name, F.lit("x"))
+    docs = odd.unionByName(long)
+    kept = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+        assert docs.columns == odd.columns
+        kept[name] = Counter(r["doc_id"] for r in docs.collect())
+        none = stage(spark, empty(spark), "")
+        assert none.columns == empty(spark).columns and none.count() == 0
+    assert kept["quality"] == {3: 1, 7: 1, None: 1, 9: 1, 11: 3}
+    assert kept["exact_dedup"] == kept["near_dedup"] == {3: 1, 7: 1, None: 1, 9: 1, 11: 1}
+    packed = pipeline.packing(spark, odd.unionByName(long), "").toPandas()
+    assert (packed.groupby("sequence_id")["length"].sum() <= 2048).all() and packed["length"].sum() > 60_000
+    assert len(packed[packed["doc_id"].isna()]) >= 3 and pipeline.packing(spark, empty(spark), "").count() == 0
+
+
+def test_hadoop_names_of_stores():
+    where, at = sst_tokens.place("file:///tmp/x.sst")
+    assert at == "/tmp/x.sst"
+    with pytest.raises(Exception, match="(?i)unrecognized|scheme|filesystem"):
+        sst_tokens.place("nostore://x/y")
