@@ -1,7 +1,14 @@
 """A training corpus from raw documents: filter, deduplicate, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
-and read again as the next stage's docs. All but the last keep the columns of documents.
+and read again as the next stage's docs. All but the last keep the columns of documents,
+and any further ones, whatever their names.
+
+Defined results: a null or empty text has no words and is rejected by the quality rules, as is any text
+of under 50 words; so later stages meet neither in a run of all, but each by itself takes them for
+empty texts (equal to each other, in one class, of size 0, of one token). Rows with a null key stay; of
+repeated rows one stays after exact dedup. A null source is a source of its own. Texts of any
+length go through whole. An empty table stays empty through all stages.
 """
 
 from __future__ import annotations
