@@ -38,6 +38,7 @@ def _context_dir(spark: SparkSession) -> str | None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's JVM ends."""
+    bounded(spark)
     path = f"{shared_dir(spark)}/strada-{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
@@ -45,6 +46,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of one Arrow batch: the JVM and a worker each hold it, and texts are taken in blocks of about a MB anyway.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bound the bytes of the session's Arrow batches, where it sets no bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: this cuts the
     lineage, and a lost executor costs no recomputation of what came before."""

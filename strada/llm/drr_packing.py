@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from .common import blocks, scratch, small, text_or_empty
 from .sst_tokens import Vocabulary
 from .tokenise import encoder
+from .wordcache import forget
 
 WINDOW = 2048
 #: Documents that a task lays out at once, and counters (windows by sources) that it holds.
@@ -201,6 +202,7 @@ def pack(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", targets:
     width, kind = vocabulary.width, docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        forget()
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             names = batch.schema.names
             keys = batch.column(names.index("key"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import blocks, parts, text_or_empty, whole
+from .common import blocks, bounded, parts, text_or_empty, whole
 from .textblock import TextBlock, mix, repeats
 from .wordcache import WordCache, only
 
@@ -101,7 +101,7 @@ class Vocabulary:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
-        self.known = WordCache(self.model.get_piece_size())
+        self.known = WordCache(self.model.get_piece_size(), 1 << 20)
 
     def encode(self, block: TextBlock, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(pieces of all words in order, number of pieces of each word)."""
@@ -188,12 +188,14 @@ def _mapper(path: str, bands: Bands, carry: bool):
 
 def measure(docs: DataFrame, model: str, key: str = "doc_id", bands: Bands | None = None) -> DataFrame:
     """One row per document: its key, the base counts, the measures and the verdict."""
+    bounded(docs.sparkSession)
     rows = docs.select(docs[key].alias(key), text_or_empty().alias("text"))
     return rows.mapInArrow(_mapper(model, bands or Bands(), False), f"`{key}` {docs.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
 def keep_good(docs: DataFrame, model: str, bands: Bands | None = None) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
+    bounded(docs.sparkSession)
     rows = docs.select(whole(docs).alias("row"), text_or_empty().alias("text"))
     kept = rows.mapInArrow(_mapper(model, bands or Bands(), True), T.StructType([rows.schema["row"]]))
     return kept.select(parts(docs.columns))

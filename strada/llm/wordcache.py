@@ -6,40 +6,45 @@ from collections.abc import Callable
 
 import numpy as np
 
+from .common import release
+
 _HELD: dict[tuple, object] = {}
 
 
 def only(key: tuple, make: Callable[[], object]):
     """The worker's model for key, made if it isn't there; models of other operators are let go."""
     if key not in _HELD:
-        _HELD.clear()
+        forget()
         _HELD[key] = make()
     return _HELD[key]
 
 
 def forget() -> None:
     """Let go what an operator before this one left in the worker."""
-    _HELD.clear()
+    if _HELD:
+        _HELD.clear()
+        release()
 
 
 class WordCache:
-    """Pieces of words met before: a table of SLOTS places, never more; of 33 bytes each for a vocabulary of up to 65,536.
+    """Pieces of words met before: a table of so many places, never more; of 33 bytes each for a vocabulary of up to 65,536.
 
     A word has one place, told by its hash, and takes it from the word that was there. Two hashes
     of 64 bits, independent of each other, must agree. Words of more than WIDTH pieces are not kept.
     """
 
-    SLOTS, WIDTH = 1 << 21, 8
+    WIDTH = 8
 
-    def __init__(self, vocabulary: int = 1 << 31) -> None:
-        self.key = np.zeros(self.SLOTS, np.uint64)
-        self.check = np.zeros(self.SLOTS, np.uint64)
-        self.size = np.zeros(self.SLOTS, np.int8)
-        self.held = np.zeros((self.SLOTS, self.WIDTH), np.uint16 if vocabulary <= 1 << 16 else np.int32)
+    def __init__(self, vocabulary: int = 1 << 31, slots: int = 1 << 21) -> None:
+        self.slots = slots
+        self.key = np.zeros(slots, np.uint64)
+        self.check = np.zeros(slots, np.uint64)
+        self.size = np.zeros(slots, np.int8)
+        self.held = np.zeros((slots, self.WIDTH), np.uint16 if vocabulary <= 1 << 16 else np.int32)
 
     def pieces(self, key: np.ndarray, check: np.ndarray, learn: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]):
         """(place of each word's pieces, their number, pieces) of distinct words. `learn` gives (numbers, pieces) of those at some indices."""
-        slot = (key & np.uint64(self.SLOTS - 1)).astype(np.int64)
+        slot = (key & np.uint64(self.slots - 1)).astype(np.int64)
         known = (self.key[slot] == key) & (self.check[slot] == check) & (self.size[slot] > 0)
         size = np.where(known, self.size[slot], 0).astype(np.int64)
         new = np.flatnonzero(~known)

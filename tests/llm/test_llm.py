@@ -830,9 +830,8 @@ def test_words_that_agree_in_one_hash_are_encoded_by_the_library(monkeypatch):
                 assert ids[at[k] : at[k + 1]].tolist() == made.library.encode(t, add_special_tokens=False).ids + [vocabulary.end]
 
 
-def test_word_cache_is_of_fixed_size(monkeypatch):
-    monkeypatch.setattr(WordCache, "SLOTS", 8)
-    cache, rng = WordCache(), np.random.default_rng(1)
+def test_word_cache_is_of_fixed_size():
+    cache, rng = WordCache(slots=8), np.random.default_rng(1)
     pieces = {int(k): rng.integers(0, 9, rng.integers(0, 9)) for k in rng.integers(1, 1 << 62, 300)}
     for _ in range(50):
         keys = rng.choice(list(pieces), 20, replace=False).astype(np.uint64)
