@@ -46,7 +46,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-#: Bytes of one Arrow batch: the JVM and a worker each hold it, and texts are taken in blocks of about a MB anyway.
+#: Bytes of one Arrow batch: the JVM and a worker each hold it, and texts are taken in blocks of about half a MB anyway.
 BATCH_BYTES = 4 << 20
 
 
@@ -133,7 +133,7 @@ def release() -> None:
         _trim(0)
 
 
-def blocks(batches, text: str = "text", size: int = 1 << 20):
+def blocks(batches, text: str = "text", size: int = 1 << 19):
     """Slices of Arrow batches with about `size` bytes of text each; a longer text stands alone."""
     for batch in batches:
         n = batch.num_rows
