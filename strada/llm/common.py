@@ -10,6 +10,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Class of the white space that separates words, for Java and Python patterns.
 SPACE = r"[\x20\x09-\x0D]"
@@ -74,6 +76,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """The driver's rows as a DataFrame, through Arrow: rows given as Python objects would start a second daemon with workers on each executor."""
+    fields = to_arrow_schema(T.StructType.fromDDL(ddl))
+    columns = [[list(v.items()) if isinstance(v, dict) else v for v in c] for c in zip(*rows)] or [[]] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields), ddl)
+
+
 #: Rows up to which a table of a few narrow columns is broadcast; a longer one is joined by a shuffle.
 SMALL = 200_000
 

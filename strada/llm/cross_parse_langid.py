@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch, small, text_offsets, text_or_empty
+from .common import blocks, local_rows, scratch, small, text_offsets, text_or_empty
 
 #: Labelled rows and characters a language; symbols that are parsed in one go; pieces of a long text.
 ROWS, SYMBOLS, SEGMENT, PARTS = 40, 24_000, 256, 4
@@ -236,7 +236,7 @@ def learn(docs: DataFrame, held_out: Column, key: str = "doc_id", rows: int = RO
     for lang, number, n in sorted(map(tuple, sample.select("lang", "rank", F.length("text")).collect())):
         lengths.setdefault(lang, []).append((number, n))
     quota = [(lang, number, q) for lang, held in lengths.items() for (number, _), q in zip(held, shares([n for _, n in held], symbols)) if q]
-    dealt = sample.join(small(spark.createDataFrame(quota, "lang string, rank int, quota int"), len(quota)), ["lang", "rank"])
+    dealt = sample.join(small(local_rows(spark, quota, "lang string, rank int, quota int"), len(quota)), ["lang", "rank"])
     size = F.ceil(F.col("quota") / PARTS).cast("int")
     begin = [F.floor((F.length("text") - size) * F.lit(j / (PARTS - 1))).cast("int") + 1 for j in range(PARTS)]
     some = F.when(F.length("text") <= F.col("quota"), F.col("text")).otherwise(F.concat_ws(" ", *[F.substring(F.col("text"), b, size) for b in begin]))

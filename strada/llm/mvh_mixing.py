@@ -40,7 +40,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, parts, scratch, small, text_or_empty, whole
+from .common import WORD, local_rows, parts, scratch, small, text_or_empty, whole
 
 WEIGHTS = (1.0, 2.0, 3.0)
 REPEAT = 3
@@ -121,7 +121,7 @@ class Plan:
         target = targets([n for _, n, _ in totals], [weights[i % len(weights)] for i in range(len(totals))])
         blocks = {s: max(1, min(BLOCKS, n // DOCS_A_BLOCK)) for s, _, n in totals}
         held = [(s, n, t, blocks[s]) for (s, n, _), t in zip(totals, target)]
-        self.sources = small(spark.createDataFrame(held, "source string, source_size long, target double, blocks int"), len(held))
+        self.sources = small(local_rows(spark, held, "source string, source_size long, target double, blocks int"), len(held))
         placed = self.sizes.join(self.sources, "source").withColumn("block", _block(F.col("blocks")))
         sums: dict[str, dict[int, int]] = {s: {} for s in names}
         least: dict[str, dict[int, int]] = {s: {} for s in names}
@@ -164,13 +164,13 @@ class Plan:
                 else:
                     where.setdefault((s, dealt[s][unit]), []).append(place)
         held = [(s, b, sorted(w)) for (s, b), w in where.items()]
-        self.blocks = small(spark.createDataFrame(held, "source string, block long, shards array<int>"), len(held))
-        self.extra = small(spark.createDataFrame([(s, h, short[s]) for s, h in filled], "source string, h long, shard int"), len(filled))
+        self.blocks = small(local_rows(spark, held, "source string, block long, shards array<int>"), len(held))
+        self.extra = small(local_rows(spark, [(s, h, short[s]) for s, h in filled], "source string, h long, shard int"), len(filled))
         dealt_cells: dict[tuple[str, int], list[tuple[int, int, int]]] = {}
         for s, b, n, c, most in cells:
             dealt_cells.setdefault((s, b, n), []).append((c, most))
         held = [(s, b, n, dict(of), short[s]) for (s, b, n), of in dealt_cells.items()]
-        self.cells = small(spark.createDataFrame(held, "source string, block long, n_cells int, most map<int,long>, cell_shard int"), len(held))
+        self.cells = small(local_rows(spark, held, "source string, block long, n_cells int, most map<int,long>, cell_shard int"), len(held))
 
     def _fill(self, placed: DataFrame, left: dict[str, list[int]], room: dict[str, int], least: dict[str, dict[int, int]]):
         """What fills the room: cells (source, block, number of cells, cell, longest size taken) and documents (source, h)."""
@@ -183,7 +183,7 @@ class Plan:
             n_cells, after = BLOCKS if many == 1 else CELLS, {s: (-1, -1) for s in held}
             while after:
                 rows = [(s, b, i, room[s], *after[s]) for s in after for i, b in enumerate(held[s])]
-                these = small(spark.createDataFrame(rows, "source string, block long, place int, room long, at_place int, at_cell int"), len(rows))
+                these = small(local_rows(spark, rows, "source string, block long, place int, room long, at_place int, at_cell int"), len(rows))
                 units = placed.join(these, ["source", "block"]).withColumn("cell", _cell(n_cells))
                 begun = "(place > at_place or place = at_place and cell > at_cell)"
                 sums: dict[str, list[tuple[int, int, int, int]]] = {s: [] for s in after}
@@ -215,7 +215,7 @@ class Plan:
                         del after[s]
                     room[s] = rest
                 if crossing:
-                    one = small(spark.createDataFrame(crossing, "source string, place int, cell long, rest long"), len(crossing))
+                    one = small(local_rows(spark, crossing, "source string, place int, cell long, rest long"), len(crossing))
                     fits = units.select("source", "place", "cell", "h", "size").join(one, ["source", "place", "cell"]).groupBy("source", "rest", "h").agg(F.sum("size").alias("size"))
                     fits = fits.where("size > 0 and size <= rest").groupBy("source").applyInPandas(_fitting, "source string, h long, size long")
                     for s, h, n in sorted(map(tuple, fits.collect())):

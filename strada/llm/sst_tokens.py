@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, scratch_path, text_or_empty
+from .common import blocks, local_rows, scratch_path, text_or_empty
 from .tokenise import encoder
 
 MAGIC = b"STRDSST1"
@@ -264,5 +264,5 @@ def read(spark: SparkSession, manifest: list[dict], key: str = "doc_id") -> Data
                     ends = start + np.cumsum(np.array(sizes, np.int64))
                     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], names=[key, "start", "n_tokens", "ids_crc32"])
 
-    rows = spark.createDataFrame(shards, "path string, start long")
+    rows = local_rows(spark, shards, "path string, start long")
     return rows.repartition(max(1, len(shards))).mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
