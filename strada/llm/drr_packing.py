@@ -46,6 +46,8 @@ from .wordcache import forget
 WINDOW = 2048
 #: Documents that a task lays out at once, and counters (windows by sources) that it holds.
 ROWS, CELLS = 512, 1 << 19
+#: Bytes of text that are tokenised at once.
+BYTES = 1 << 18
 
 
 class Rounds:
@@ -163,9 +165,9 @@ def tokenised(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id") -> D
     def run(batches):
         from pyspark import TaskContext
 
-        encode = encoder(vocabulary.path, vocabulary.end, vocabulary.spaces).encode
+        encode = encoder(vocabulary.path, vocabulary.end, vocabulary.spaces, vocabulary.places).encode
         part, queue = TaskContext.get().partitionId(), {}
-        for batch in blocks(batches):
+        for batch in blocks(batches, size=BYTES):
             flat, offsets = encode(batch.column(1))
             raw = flat.astype(f"<u{vocabulary.width}").tobytes()
             n, at = np.diff(offsets), []

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import blocks, local_rows, scratch_path, text_or_empty
-from .tokenise import encoder
+from .tokenise import PLACES, encoder
 
 MAGIC = b"STRDSST1"
 #: magic, width, entries, tokens, places of the index and of the filter
@@ -185,12 +185,13 @@ class Reader:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """path of a tokenizers file; the id after each document; whether white space gets ids; the number of ids."""
+    """path of a tokenizers file; the id after each document; whether white space gets ids; the number of ids; places of a worker's table of known words."""
 
     path: str
     end: int
     spaces: bool
     size: int
+    places: int = PLACES
 
     @property
     def width(self) -> int:
@@ -223,7 +224,7 @@ def write(docs: DataFrame, vocabulary: Vocabulary, folder: str | None = None, ke
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        encode = encoder(vocabulary.path, vocabulary.end, vocabulary.spaces).encode
+        encode = encoder(vocabulary.path, vocabulary.end, vocabulary.spaces, vocabulary.places).encode
         path = f"{folder}/shard-{task.partitionId():06d}-{task.taskAttemptId()}.sst"
         out = writer = None
         for batch in blocks(batches, size=2 << 20):

@@ -71,16 +71,18 @@ def _cut(block: TextBlock) -> None:
 
 #: Words of one call of the library; its cost a word grows with their number.
 CALL = 2048
+#: Places of a worker's table of known words, a power of two: 33 bytes each; fewer cost calls of the library, never results.
+PLACES = 1 << 21
 
 
 class Encoder:
-    def __init__(self, path: str, end: int, spaces: bool):
+    def __init__(self, path: str, end: int, spaces: bool, places: int = PLACES):
         """end: the id put after each text. spaces: whether white space gets ids (byte-level) or is dropped."""
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.end, self.spaces = end, spaces
-        self.known = WordCache(self.library.get_vocab_size())
+        self.known = WordCache(self.library.get_vocab_size(), places)
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; where each text begins in them, and the end)."""
@@ -133,6 +135,6 @@ class Encoder:
         return out, offsets
 
 
-def encoder(path: str, end: int, spaces: bool) -> Encoder:
+def encoder(path: str, end: int, spaces: bool, places: int = PLACES) -> Encoder:
     """One encoder a worker and vocabulary."""
-    return only(("encoder", path, end), lambda: Encoder(path, end, spaces))
+    return only(("encoder", path, end, places), lambda: Encoder(path, end, spaces, places))
