@@ -13,11 +13,16 @@ length go through whole. An empty table stays empty through all stages.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strada.llm import drr_packing, exact_dedup, fertility_quality, mvh_mixing, omh_dedup, queries
 from strada.llm.common import scratch, table
 
+#: Places of a worker's table of known words in packing: the executors have come through four stages by then, and memory is what is short.
+PLACES = 1 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: documents that its rules reject go."""
@@ -41,7 +46,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: pieces of documents in sequences of at most 2048 tokens."""
-    return drr_packing.pack(docs, queries.word_bpe())
+    return drr_packing.pack(docs, replace(queries.word_bpe(), places=PLACES))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixing), ("packing", packing)]
