@@ -34,9 +34,10 @@ def describe(segs: DataFrame, map_id: str, width: int, height: int, plan: grid.S
     """Descriptors with keypoints of one map given in pixels, at all octaves of the plan; `angle` overrides the reference angles."""
     config = config or DescriptorConfig()
     levels = _levels(segs.sparkSession, map_id, width, height, plan, config)
-    pixels = raster.pyramid(raster.rasterize(segs, width, height), list(range(plan.smin, plan.smax + 1)))
-    roads = segs.select("map_id", "seg_id", angle_unoriented().alias("angle_u"))
-    return descriptor.keypoints(descriptor.describe(pixels, roads, levels, grid.valid_radii(config), config, angle))
+    if plan.smin < 0:
+        raise ValueError("a map can only be made smaller")
+    roads = segs.withColumn("angle_u", angle_unoriented())
+    return descriptor.keypoints(descriptor.describe(roads, width, height, levels, config, angle))
 
 
 def plan_by_density(segs: DataFrame, width: int, height: int, low: float = 0.05, high: float = 0.2, config: DescriptorConfig | None = None) -> grid.ScalePlan:
