@@ -28,3 +28,7 @@ def of_input(spark, name):
 
 def test_lrp_descriptor_shuffles_no_pixels(spark):
     assert of_input(spark, "lrp_descriptor") < 10
+
+
+def test_half_choice_counts_shuffles_no_pixels(spark):
+    assert of_input(spark, "half_choice_counts") < 10
