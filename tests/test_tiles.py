@@ -36,3 +36,7 @@ def test_half_choice_counts_shuffles_no_pixels(spark):
 
 def test_lrp_descriptor_entries_shuffles_no_pixels(spark):
     assert of_input(spark, "lrp_descriptor_entries") < 10
+
+
+def test_lrp_descriptor_override_shuffles_no_pixels(spark):
+    assert of_input(spark, "lrp_descriptor_override") < 10
