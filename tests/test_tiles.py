@@ -40,3 +40,7 @@ def test_lrp_descriptor_entries_shuffles_no_pixels(spark):
 
 def test_lrp_descriptor_override_shuffles_no_pixels(spark):
     assert of_input(spark, "lrp_descriptor_override") < 10
+
+
+def test_global_orientation_hist_shuffles_no_pixels(spark):
+    assert of_input(spark, "global_orientation_hist") < 10
