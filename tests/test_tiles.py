@@ -44,3 +44,7 @@ def test_lrp_descriptor_override_shuffles_no_pixels(spark):
 
 def test_global_orientation_hist_shuffles_no_pixels(spark):
     assert of_input(spark, "global_orientation_hist") < 10
+
+
+def test_ref_angle_shuffles_no_pixels(spark):
+    assert of_input(spark, "ref_angle") < 10
