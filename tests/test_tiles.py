@@ -2,9 +2,15 @@
 
 import os
 
+import numpy as np
+
 import __spark_entry__ as entry
+from strada.operators import tile
+from strada.schema import DescriptorConfig
 
 DIR = "/root/testdata/sf0.001"
+#: Times the input that one level's segments may be shuffled; unpacked and a tile at a time they took about four times.
+LEAST = 2.5
 
 
 def shuffled(spark, run):
@@ -48,3 +54,28 @@ def test_global_orientation_hist_shuffles_no_pixels(spark):
 
 def test_ref_angle_shuffles_no_pixels(spark):
     assert of_input(spark, "ref_angle") < 10
+
+
+def test_half_choice_counts_shuffles_packed_segments(spark):
+    assert of_input(spark, "half_choice_counts") < LEAST
+
+
+def test_packed_segments_come_back_whole_and_in_one_order():
+    some = np.array([[3, -(2**15), 70_000, -(2**40)], [5, 7, 9, 2**40], [1, 2, 3, 4], [0, 0, 0, 0]])
+    angle = np.array([0.5, np.nan, 1.5, 3.0])
+    for order in ([0, 1, 2, 3], [3, 1, 0, 2]):
+        cut = [order[:1], order[1:3], order[3:]]
+        lines, angles = tile.unpack([tile.pack(some[:, c]) for c in cut], [angle[c].tobytes() for c in cut])
+        assert np.array_equal(np.stack([lines.ax, lines.ay, lines.bx, lines.by]), some[:, [0, 2, 3, 1]])  # by angle first
+        assert np.array_equal(angles, angle[[0, 2, 3, 1]], equal_nan=True)
+    assert [len(tile.pack(some[:, :n])) // (4 * n) for n in (1, 2, 3, 4)] == [2, 2, 4, 8]
+
+
+def test_lines_that_reach_a_tile_are_those_with_pixels_there(monkeypatch):
+    monkeypatch.setattr(tile, "SLICE", 50)
+    ends = np.random.default_rng(7).integers(-40, 400, (4, 333))
+    ends[2:, :20] = ends[:2, :20]  # without length
+    lines = tile.Lines(*ends)
+    seen = tile.Tile(15, 0, 7, 8, 4, 8, 8, 300, 280, DescriptorConfig())
+    met = {at + i for at, _, own, *_ in seen.pixels(lines) for i in own.tolist()}
+    assert met and met == set(lines.reaching(*seen.seen).tolist())
