@@ -79,3 +79,7 @@ def test_lines_that_reach_a_tile_are_those_with_pixels_there(monkeypatch):
     seen = tile.Tile(15, 0, 7, 8, 4, 8, 8, 300, 280, DescriptorConfig())
     met = {at + i for at, _, own, *_ in seen.pixels(lines) for i in own.tolist()}
     assert met and met == set(lines.reaching(*seen.seen).tolist())
+
+
+def test_lrp_descriptor_entries_shuffles_packed_segments(spark):
+    assert of_input(spark, "lrp_descriptor_entries") < 2 * LEAST  # two octaves
