@@ -83,3 +83,7 @@ def test_lines_that_reach_a_tile_are_those_with_pixels_there(monkeypatch):
 
 def test_lrp_descriptor_entries_shuffles_packed_segments(spark):
     assert of_input(spark, "lrp_descriptor_entries") < 2 * LEAST  # two octaves
+
+
+def test_lrp_descriptor_override_shuffles_packed_segments(spark):
+    assert of_input(spark, "lrp_descriptor_override") < LEAST
