@@ -87,3 +87,7 @@ def test_lrp_descriptor_entries_shuffles_packed_segments(spark):
 
 def test_lrp_descriptor_override_shuffles_packed_segments(spark):
     assert of_input(spark, "lrp_descriptor_override") < LEAST
+
+
+def test_global_orientation_hist_shuffles_packed_segments(spark):
+    assert of_input(spark, "global_orientation_hist") < LEAST
