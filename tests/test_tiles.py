@@ -91,3 +91,7 @@ def test_lrp_descriptor_override_shuffles_packed_segments(spark):
 
 def test_global_orientation_hist_shuffles_packed_segments(spark):
     assert of_input(spark, "global_orientation_hist") < LEAST
+
+
+def test_ref_angle_shuffles_packed_segments(spark):
+    assert of_input(spark, "ref_angle") < LEAST
