@@ -5,7 +5,7 @@ import os
 import numpy as np
 
 import __spark_entry__ as entry
-from strada.operators import tile
+from strada.operators import descriptor, tile
 from strada.schema import DescriptorConfig
 
 DIR = "/root/testdata/sf0.001"
@@ -95,3 +95,38 @@ def test_global_orientation_hist_shuffles_packed_segments(spark):
 
 def test_ref_angle_shuffles_packed_segments(spark):
     assert of_input(spark, "ref_angle") < LEAST
+
+
+def test_lrp_descriptor_entries_shuffles_segments_once_for_two_octaves(spark):
+    assert of_input(spark, "lrp_descriptor_entries") < LEAST
+
+
+def test_levels_that_share_regions_give_what_each_gives_alone(spark):
+    rng = np.random.default_rng(3)
+    segs = [("m" if k % 3 else "n", k, *map(float, rng.integers(-60, 700, 4)), float(rng.uniform(0, np.pi))) for k in range(900)]
+    segs = spark.createDataFrame(segs, "map_id string, seg_id long, x1 double, y1 double, x2 double, y2 double, angle_u double")
+    rows = [(m, k, r, w >> k, h >> k) for m, w, h in (("m", 640, 500), ("n", 300, 610)) for k, r in ((0, 15), (0, 24), (1, 19), (2, 15), (1, 130))]
+    levels = lambda some: spark.createDataFrame(some, "map_id string, level int, radius int, w int, h int")
+    made = lambda some: descriptor.looked(segs, 640, 610, levels(some), DescriptorConfig()).drop("hist")
+    key = lambda row: tuple(row[:6])
+    at_once = sorted(made(rows).collect(), key=key)
+    alone = sorted([row for one in rows for row in made([one]).collect()], key=key)
+    assert {row[:3] for row in at_once} >= {row[:3] for row in rows if row[2] < 100}
+    assert list(map(key, at_once)) == list(map(key, alone))
+    for a, b in zip(at_once, alone):
+        assert a.decision == b.decision and np.allclose([a.angle, *a.desc], [b.angle, *b.desc], equal_nan=True)
+
+
+def test_tiles_of_regions_hold_each_keypoint_once():
+    for radius, level, n in ((15, 0, 66), (19, 1, 25), (24, 1, 20), (130, 0, 4), (7, 0, 3)):
+        side = tile.REGION * max(tile.SIDE, radius)
+        off = int(radius * 0.7)
+        cut = [c for k in range(1 + (off + n * radius << level) // side) for c in tile.cuts(side * k >> level, side * (k + 1) >> level, off, radius, n)]
+        assert [i for a, m in cut for i in range(a, a + m)] == list(range(n))
+        assert max(m for _, m in cut) <= 1.5 * tile.keypoints_a_side(radius) + 1
+
+
+def test_squeezed_numbers_come_back_whole():
+    for kind, n in (("<i2", 4000), ("<f8", 1000), ("<i8", 1)):
+        data = np.random.default_rng(1).integers(0, 99, n).astype(kind).tobytes()
+        assert tile.restore(tile.squeeze(data, n)) == data
