@@ -3,6 +3,9 @@
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
 from strada.operators import descriptor, tile
@@ -158,3 +161,33 @@ def test_lines_are_dealt_to_every_region_that_sees_a_pixel():
         for rx in range(4):
             seen = (max(0, rx * 240 - 38), max(0, ry * 240 - 38), min(800, rx * 240 + 278), min(700, ry * 240 + 278))
             assert {(k, ry, rx) for k in lines.reaching(*seen).tolist()} <= got
+
+
+def test_equal_lines_travel_once_and_come_back_as_often_as_they_were():
+    rng = np.random.default_rng(2)
+    some, angle = rng.integers(0, 900, (4, 60)), np.append(rng.uniform(0, np.pi, 58), [np.nan, -0.0])
+    which = rng.integers(0, 60, 500)
+    ends, angles = some[:, which], angle[which]
+    one, times = tile.merged([*ends, np.zeros(500, int), which % 2], angles)
+    assert len(one) == len(set(which.tolist())) and times.sum() == 500
+    plain = tile.unpack([tile.pack(ends)], [angles.tobytes()])
+    half = len(one) // 2
+    parts = [(one[:half], times[:half].tobytes()), (one[half:], times[half:].tobytes()), (np.arange(7), None)]
+    got = tile.unpack([tile.pack(ends[:, p]) for p, _ in parts], [angles[p].tobytes() for p, _ in parts], [t for _, t in parts])
+    more = tile.unpack([tile.pack(ends), tile.pack(ends[:, :7])], [angles.tobytes(), angles[:7].tobytes()])
+    assert len(plain[1]) == 500 and len(got[1]) == 507
+    for name in ("ax", "ay", "bx", "by"):
+        assert np.array_equal(getattr(got[0], name), getattr(more[0], name))
+    assert np.array_equal(got[1], more[1], equal_nan=True)
+
+
+def test_global_orientation_hist_shuffles_equal_segments_once(spark, tmp_path):
+    rows, copies = pq.read_table(f"{DIR}/embeddings.parquet"), 8
+    shifted = [rows.set_column(0, "vec_id", pc.add(rows["vec_id"], pa.scalar(k * len(rows), pa.int64()))) for k in range(copies)]
+    pq.write_table(pa.concat_tables(shifted), tmp_path / "embeddings.parquet")
+    made = {}
+    read = lambda d: made.update({d: {row[:2]: row[2:] for row in entry.queries()["global_orientation_hist"](spark, d).collect()}})
+    often, once = shuffled(spark, lambda: read(str(tmp_path))), shuffled(spark, lambda: read(DIR))
+    assert often < 2 * once
+    assert len(made[str(tmp_path)]) >= len(made[DIR]) > 0
+    assert all(np.allclose(made[str(tmp_path)][k], v, atol=2e-6) for k, v in made[DIR].items())
