@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
-from strada.operators import descriptor, tile
+from strada.operators import descriptor, grid, tile
 from strada.schema import DescriptorConfig
 
 DIR = "/root/testdata/sf0.001"
@@ -191,3 +191,11 @@ def test_global_orientation_hist_shuffles_equal_segments_once(spark, tmp_path):
     assert often < 1.5 * once
     assert len(made[str(tmp_path)]) >= len(made[DIR]) > 0
     assert all(np.allclose(made[str(tmp_path)][k], v, atol=2e-6) for k, v in made[DIR].items())
+
+
+def test_lrp_descriptor_entries_has_both_octaves_and_all_radii(spark):
+    made = entry.queries()["lrp_descriptor_entries"](spark, DIR)
+    assert {"map_id", "level", "radius", "lin", "n", "digest"} <= set(made.columns)
+    rows = made.select("map_id", "level", "radius", "lin").collect()
+    assert {(row.level, row.radius) for row in rows} == {(k, r) for k in (0, 1) for r in grid.valid_radii(DescriptorConfig())}
+    assert len(rows) == len(set(rows))
