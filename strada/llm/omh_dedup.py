@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import blocks, discard, fresh, numbered, release, scratch, text_or_empty
+from .common import blocks, discard, fresh, numbered, release, scratch, settle, text_or_empty
 from .components import components
 from .textblock import TextBlock, mix, repeats, summed
 from .wordcache import forget
@@ -171,8 +171,8 @@ def classes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return own.select(key, "class_id", "copy_of", kept)
 
 
-def _classes(rows: DataFrame) -> DataFrame:
-    """(row, first, label) of (row, text)."""
+def _classes(rows: DataFrame, between=lambda: None) -> DataFrame:
+    """(row, first, label) of (row, text); between is called after each part of the work."""
     sketches = scratch(rows.select("row", "text").mapInArrow(_sketch, "row long, one long, two long, n int, bands array<long>"), "sketches")
     same = sketches.groupBy("one", "two").agg(F.min("row").alias("first"), F.xxhash64("one", "two").alias("x"))
     copies = scratch(sketches.select("row", "one", "two", F.xxhash64("one", "two").alias("x")).join(same, ["one", "two", "x"]).select("row", "first"), "copies")
@@ -196,11 +196,13 @@ def _classes(rows: DataFrame) -> DataFrame:
     candidates = scratch(members.withColumn("x", F.xxhash64("band")).join(shared.select("band", "x"), ["band", "x"], "left_semi").select("row").distinct(), "candidates")
     plane = bloom.members(candidates.select("row").mapInArrow(_mixed, "h long"), bloom.bits_for(candidates.count()))
     contents = scratch(rows.select("row", "text").mapInArrow(_contents(plane), "row long, shingles array<long>"), "contents")
+    between()
 
     links = _linked(first_pairs, contents)
     discard(first_pairs, candidates)
     labels = components(links)
     for turn in range(1, CENTRES + 2):
+        between()
         more = _linked(centred(labels, turn), contents) if turn <= CENTRES else _joining(members, labels, contents)
         if more.limit(1).count():
             links = scratch(links.union(more), "links")
@@ -287,7 +289,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     rows, _ = numbered(docs, key)
     hashed = rows.select("row", F.xxhash64(key, "text").alias("h"))
-    found = scratch(_classes(rows).join(hashed, "row").select("h", (F.col("row") == F.col("label")).alias("kept")), "kept")
+    found = scratch(_classes(rows, lambda: settle(docs.sparkSession)).join(hashed, "row").select("h", (F.col("row") == F.col("label")).alias("kept")), "kept")
     gone, stay = found.where("not kept").select("h"), found.where("kept").select("h")
     plane = bloom.members(gone, bloom.bits_for(gone.count()))
 

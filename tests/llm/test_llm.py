@@ -899,6 +899,17 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
     assert len(packed[packed["doc_id"].isna()]) >= 3 and pipeline.packing(spark, empty(spark), "").count() == 0
 
 
+def test_pipeline_stages_begin_and_write_with_heaps_collected(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+    docs = spark.createDataFrame(corpus(n=10), SCHEMA).where("text is not null")
+    for name, stage in pipeline.STAGES:
+        before = full()
+        stage(spark, docs, "")
+        assert full() >= before + 2, name
+
+
 def test_hadoop_names_of_stores():
     where, at = sst_tokens.place("file:///tmp/x.sst")
     assert at == "/tmp/x.sst"
